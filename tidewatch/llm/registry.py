@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .licenses import op4_licenses
+from .pii import op9_pii
+from .urls import op3_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_urls": op3_urls,
+    "op4_licenses": op4_licenses,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
