@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .licenses import op4_licenses
+from .vectors import op10_neardup
+from .mixing import op6_mixing
 from .pii import op9_pii
+from .toxicity import op7_toxicity
 from .urls import op3_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_urls": op3_urls,
     "op4_licenses": op4_licenses,
+    "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op9_pii": op9_pii,
+    "op10_neardup": op10_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
