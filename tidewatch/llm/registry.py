@@ -10,6 +10,7 @@ from .bpe import op1_bpe
 from .licenses import op4_licenses
 from .vectors import op10_neardup
 from .mixing import op6_mixing
+from .ngrams import op5_ngram_join
 from .pii import op9_pii
 from .toxicity import op7_toxicity
 from .urls import op3_urls
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_urls": op3_urls,
     "op4_licenses": op4_licenses,
+    "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_pii": op9_pii,
