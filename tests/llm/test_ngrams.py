@@ -69,6 +69,8 @@ def test_keep_one(spark):
     assert not any(len(a & b) * 180 >= 80 * (len(a) + len(b)) for i, a in enumerate(sets) for b in sets[:i] if a)
     parts = {c for (d, n, c), (_, t) in zip(plain(rows), rows) if plain_set(t) and c is not None}
     assert parts <= {d for d, _ in kept}
+    nameless = spark.createDataFrame([(None, "a b c"), (None, "d e f"), (None, "a b c"), (None, ""), (None, None)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in ngrams.keep_one(nameless).collect()) == ["", "None", "a b c", "d e f"]
 
 
 def test_tree_equals_all_pairs():

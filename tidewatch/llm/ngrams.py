@@ -297,7 +297,10 @@ def _join_pieces(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) for every row of docs (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id, component) for every row of docs (doc_id, text).
+
+    component numbers the components; it is null for the empty set.
+    """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,9 +337,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     linked = connected_components(edges).withColumnRenamed("node", "cls")
     named = firsts.select("cls", "first_id").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(ids, "component").select("cls", "component_id")
-    some = rows.where("n > 0").join(named, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(ids, "component").select("cls", "component", "component_id")
+    some = rows.where("n > 0").join(named, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "component")
+    none = rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return some.unionByName(none)
 
 
@@ -352,7 +355,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = ngram_join(docs)
     lone = found.where("n_shingles = 0").select("doc_id", "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(first.alias("one")).select("one.doc_id", "one.text_hash")
+    best = found.where("n_shingles > 0").groupBy("component").agg(first.alias("one")).select("one.doc_id", "one.text_hash")
     keys = best.unionByName(lone).distinct().select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
