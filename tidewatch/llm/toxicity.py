@@ -33,6 +33,8 @@ ORDERS = (3, 5, 6)
 BINS = 2**20
 #: At most so many labelled documents are learned from.
 SAMPLE = 12_000
+#: Tasks that count the sample's n-grams.
+COUNTERS = 8
 #: So many features are kept and weighed.
 KEPT = 2_048
 #: Added to each count of documents.
@@ -69,7 +71,8 @@ def bin_counts(labelled: DataFrame) -> DataFrame:
         found = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"bin": found, "toxic": sums[1, found], "clean": sums[0, found]})
 
-    return labelled.mapInPandas(count, "bin long, toxic long, clean long").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # The sample is bounded, so a few tasks do; each yields at most BINS rows.
+    return labelled.coalesce(COUNTERS).mapInPandas(count, "bin long, toxic long, clean long").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_count_ratios(counts: DataFrame, n_toxic: int, n_clean: int, kept: int = KEPT) -> DataFrame:
