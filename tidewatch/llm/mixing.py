@@ -114,7 +114,7 @@ def _flown(last: bool, level: int):
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every document; taken counts words, repeats included."""
+    """(doc_id, row_hash, size, source_size, target, copies, taken) for every document; taken counts words, repeats included."""
     units = stored(sizes(docs))
     goal = stored(targets(units, weights, share, cap)).withColumnRenamed("source", "goal_source")
     most = goal.agg(F.max("n_rows")).first()[0] or 0
@@ -136,8 +136,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "size", "source_size", "target", ((F.col("copies") + F.col("chance").cast("long")) * F.col("size")).alias("taken"))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies") + F.col("chance").cast("long")).otherwise(0))
+    return out.select("doc_id", "row_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of docs (doc_id, text, source and more), each as often as the mix takes it.
+
+    Rows without words are never taken.  Rows with equal id, source and text are
+    told apart by nothing, so any of them stands for all their copies.
+    """
+    taken = mix(docs, weights, share, cap).where("copies > 0")
+    taken = taken.groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
+    rows = docs.withColumn("_hash", F.xxhash64("doc_id", "source", "text"))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("row_hash"))).dropDuplicates(["doc_id", "_hash"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")

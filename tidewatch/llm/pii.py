@@ -113,6 +113,14 @@ def redacted(text: str = "text", spans: str = "pii_spans") -> Column:
     )
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """docs (text, n_chars and more) with the spans of every text replaced by their kinds."""
+    found = find_spans(docs, into="_pii_spans").withColumn("_text", redacted("text", "_pii_spans"))
+    changed = F.size("_pii_spans") > 0
+    columns = {"text": F.col("_text"), "n_chars": F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
+    return found.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+
+
 def _joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
 
