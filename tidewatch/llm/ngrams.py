@@ -43,7 +43,7 @@ from .components import connected_components, local_roots
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Most rows of the table of frequent n-grams, and the count that brings one in.
-FREQUENT, FREQUENT_COUNT = 200_000, 24
+FREQUENT, FREQUENT_COUNT = 400_000, 6
 #: N-grams of a batch counted together.
 BATCH = 4_000_000
 #: Most classes of an n-gram that are paired with each other.
@@ -309,8 +309,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     found = stored(docs.mapInPandas(facts, _FACTS))
     rows = found.where("cls IS NOT NULL").select("doc_id", "text_hash", "cls", "n")
     counted = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= FREQUENT_COUNT)
-    top = counted.orderBy(F.desc("seen"), "gram").limit(FREQUENT).collect()  # of bounded size
-    frequent = np.array([r.gram for r in reversed(top)], np.int64).view(np.uint64)
+    top = counted.orderBy(F.desc("seen"), "gram").limit(FREQUENT).toPandas()  # of bounded size
+    frequent = top["gram"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
     blocks = connected_components(candidate_links(docs, frequent))
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).unionByName(blocks.select(F.col("component").alias("cls"), F.col("component").alias("block")).distinct())
