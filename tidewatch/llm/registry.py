@@ -12,11 +12,13 @@ from .vectors import op10_neardup
 from .mixing import op6_mixing
 from .ngrams import op5_ngram_join
 from .pii import op9_pii
+from .topk import op2_topk
 from .toxicity import op7_toxicity
 from .urls import op3_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_topk": op2_topk,
     "op3_urls": op3_urls,
     "op4_licenses": op4_licenses,
     "op5_ngram_join": op5_ngram_join,
