@@ -12,6 +12,7 @@ from .vectors import op10_neardup
 from .mixing import op6_mixing
 from .ngrams import op5_ngram_join
 from .pii import op9_pii
+from .quality import op8_quality
 from .topk import op2_topk
 from .toxicity import op7_toxicity
 from .urls import op3_urls
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_neardup": op10_neardup,
 }
