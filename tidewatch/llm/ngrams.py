@@ -320,7 +320,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     members = members.join(block_sizes, "block").withColumn("pieces", F.ceil(F.col("grams") / PIECE))
     total = block_sizes.agg(F.sum("grams")).first()[0] or 0
     buckets = total // TOGETHER + 1
-    texts = docs.join(members, (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
+    # The members grow with the corpus, so they are never broadcast.
+    texts = docs.join(members.hint("merge"), (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
