@@ -60,7 +60,7 @@ def chunked_window(rows: DataFrame, p: Params, bucket_s: int, null_as_zero: bool
     before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.select("flow_id", "_piece", before.alias("_upto"), (before - F.col("_n")).alias("_start"))
     following = F.collect_list(F.struct("_piece", "_start")).over(order.rowsBetween(1, k))
-    reach = placed.select("flow_id", "_piece", "_upto", F.explode(following).alias("_next")).where(F.col("_next._start") - F.col("_upto") < k)
+    reach = placed.withColumn("_following", following).select("flow_id", "_piece", "_upto", F.explode("_following").alias("_next")).where(F.col("_next._start") - F.col("_upto") < k)
     reach = reach.select("flow_id", "_piece", F.col("_next._piece").alias("_to"), (F.col("_next._start") - F.col("_upto")).alias("_between"))
     halo = tail.join(reach, ["flow_id", "_piece"]).where(F.col("_between") + F.col("_back") <= k)
     halo = halo.drop("_piece", "_back", "_between").withColumnRenamed("_to", "_piece").withColumn("_own", F.lit(False))
