@@ -146,10 +146,11 @@ def repeat_taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     Rows without words are never taken.  Rows with equal id, source and text are
     told apart by nothing, so any of them stands for all their copies.
     """
-    taken = mix(docs, weights, share, cap).where("copies > 0")
-    taken = taken.groupBy("doc_id", "row_hash").agg(F.sum("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    rows = docs.withColumn("_hash", F.xxhash64("doc_id", "source", "text"))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("row_hash"))).dropDuplicates(["doc_id", "_hash"])
+    taken = mix(docs, weights, share, cap).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("_copies"))
+    taken = taken.withColumnRenamed("row_hash", "_key")
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    # One shuffle of the texts by one key serves the join and the removal of repeats; the keys are never broadcast.
+    rows = rows.join(taken.hint("merge"), "_key").dropDuplicates(["_key"])
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
