@@ -44,6 +44,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Most rows of the table of frequent n-grams, and the count that brings one in.
 FREQUENT, FREQUENT_COUNT = 400_000, 6
+#: Bytes of text that are hashed together.
+TEXT = 1_000_000
 #: N-grams of a batch counted together.
 BATCH = 4_000_000
 #: Most classes of an n-gram that are paired with each other.
@@ -91,7 +93,7 @@ def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
     for k, t in enumerate(texts):
         part.append((t or "").encode("utf-8", "surrogatepass").lower())
         size += len(part[-1])
-        if size > 4_000_000 or k == len(texts) - 1:
+        if size > TEXT or k == len(texts) - 1:
             yield from _sets_of(part)
             part, size = [], 0
 
@@ -142,7 +144,9 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
 
     def counts() -> pd.DataFrame:
-        grams = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+        grams = np.concatenate(held) if held else np.empty(0, np.uint64)
+        held.clear()
+        grams.sort()
         first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.empty(0, np.int64)
         seen = np.diff(np.append(first, len(grams)))
         many = seen > 1
@@ -357,7 +361,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lone = found.where("n_shingles = 0").select("doc_id", "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     best = found.where("n_shingles > 0").groupBy("component").agg(first.alias("one")).select("one.doc_id", "one.text_hash")
-    keys = best.unionByName(lone).distinct().select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
-    return rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    keys = best.unionByName(lone).select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct()
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    # One shuffle of the texts by one key serves the join and the removal of repeats; the keys are never broadcast.
+    return rows.join(keys.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
