@@ -162,7 +162,8 @@ def _summed(text: Column, grams: list[str], logps: np.ndarray) -> Column:
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, trusted, perplexity) for every row of docs (doc_id, lang, text); trusted names ids (doc_id)."""
     ids = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    known = stored(ngram_counts(docs.join(ids, "doc_id", "left_semi")))
+    # The ids grow with the corpus, so they are never broadcast.
+    known = stored(ngram_counts(docs.join(ids.hint("merge"), "doc_id", "left_semi")))
     asked = stored(ngram_counts(docs))
     alphabet = asked.select(F.substring("g", ORDER, 1).alias("w")).distinct().count() + 1
     finished = stored(log_probabilities(known, asked, alphabet))
