@@ -30,53 +30,68 @@ from .common import stored, table
 K = 5
 #: Queries and candidates of a block.
 QUERIES, CANDIDATES = 512, 4096
+#: Queries whose bounds are computed together.
+TOGETHER = 128
 #: Shares of the lists after which the bounds are compared.
-DEPTHS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+DEPTHS = (0.1, 0.25, 0.4, 0.55, 0.7, 0.85)
 #: Candidates whose scores are resolved at the end, as a multiple of k.
 RESOLVED = 8
 
 
 class SortedLists:
-    """The sorted lists of a block of integer vectors."""
+    """The sorted lists of a block of integer vectors, read from the top or, for negative weights, from the bottom."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[by_id], vectors[by_id].astype(float)
-        self.order = np.argsort(-self.vectors, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best candidates that don't have the query's id."""
+        self.ids, self.vectors = ids, vectors.astype(float)
+        self.order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.vectors, self.order, axis=0)
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries of each list the first ``depth`` sequential reads have met: from the top, from the bottom."""
+        top, bottom = np.zeros(self.vectors.shape), np.zeros(self.vectors.shape)
+        np.put_along_axis(top, self.order[len(self.ids) - depth :], 1.0, axis=0)
+        np.put_along_axis(bottom, self.order[:depth], 1.0, axis=0)
+        return top, bottom
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and scores of the k best candidates that don't have its id.
+
+        Queries read the same lists, so the bounds of all that still read are computed together.
+        """
         n = len(self.ids)
-        mine = self.ids == query_id
-        dims = np.flatnonzero(query)
-        weight = query[dims].astype(float)
-        order, values = self.order[dims], self.values[dims]
-        down = weight < 0
-        order[down], values[down] = order[down, ::-1], values[down, ::-1]
-        values *= weight[:, None]
-        read = np.zeros(n)
-        unread = np.ones((n, len(dims)), np.float32)
-        worst = values[:, -1]
-        alive = np.flatnonzero(~mine)
-        at = 0
-        for share in DEPTHS:
-            if len(alive) <= RESOLVED * k:
+        weights = queries.astype(float)
+        mine = self.ids[:, None] == query_ids
+        alive = [np.flatnonzero(~mine[:, q]) for q in range(len(queries))]
+        reading = np.array([q for q in range(len(queries)) if len(alive[q]) > RESOLVED * k], np.int64)
+        for depth in (int(n * share) for share in DEPTHS):
+            if not len(reading):
                 break
-            to = int(n * share)
-            if to <= at:
+            if depth < 1:
                 continue
-            rows = order[:, at:to].ravel()
-            read += np.bincount(rows, weights=values[:, at:to].ravel(), minlength=n)
-            unread[rows, np.repeat(np.arange(len(dims)), to - at)] = 0
-            at = to
-            open_parts = unread[alive].astype(float) @ np.stack((worst, values[:, to - 1]), axis=1)
-            low, high = read[alive] + open_parts[:, 0], read[alive] + open_parts[:, 1]
-            bound = np.partition(low, -k)[-k]
-            alive = alive[high >= bound]
-        scores = (self.vectors[alive][:, dims] * weight).sum(axis=1)
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive[best]], scores[best].astype(np.int64)
+            top, bottom = self.read(depth)
+            up, down = np.maximum(weights[reading], 0).T, np.minimum(weights[reading], 0).T
+            known = (top * self.vectors) @ up + (bottom * self.vectors) @ down
+
+            def unread(from_top: np.ndarray, from_bottom: np.ndarray) -> np.ndarray:
+                """What the unread entries add if each has its list's given value."""
+                high, low = up * from_top[:, None], down * from_bottom[:, None]
+                return (high + low).sum(axis=0) - top @ high - bottom @ low
+
+            least = known + unread(self.values[0], self.values[-1])
+            most = known + unread(self.values[n - depth], self.values[depth - 1])
+            own = mine[:, reading]
+            least[own], most[own] = -np.inf, -np.inf
+            bound = np.partition(least, n - k, axis=0)[n - k]
+            able = most >= bound
+            for column, q in enumerate(reading):
+                alive[q] = np.flatnonzero(able[:, column])
+            reading = reading[able.sum(axis=0) > RESOLVED * k]
+        out = []
+        for q in range(len(queries)):
+            scores = self.vectors[alive[q]] @ weights[q]
+            best = np.lexsort((self.ids[alive[q]], -scores))[:k]
+            out.append((self.ids[alive[q][best]], scores[best].astype(np.int64)))
+        return out
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -103,8 +118,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         there, asks = block[~block["asks"]], block[block["asks"]]
         if len(there) and len(asks):
             lists = SortedLists(there["vec_id"].to_numpy(), np.array(there["v"].tolist(), np.int64).reshape(len(there), -1))
-            for query_id, v in zip(asks["vec_id"].tolist(), asks["v"]):
-                ids, scores = lists.top(query_id, np.asarray(v, np.int64), k)
+            found = []
+            for at in range(0, len(asks), TOGETHER):
+                some = asks.iloc[at : at + TOGETHER]
+                found += lists.top(some["vec_id"].to_numpy(), np.array(some["v"].tolist(), np.int64).reshape(len(some), -1), k)
+            for query_id, v, (ids, scores) in zip(asks["vec_id"].tolist(), asks["v"], found):
                 out.append(pd.DataFrame({"query_id": query_id, "v": pd.Series([v] * len(ids), dtype=object), "vec_id": ids, "score": scores}))
         return pd.concat(out)
 
