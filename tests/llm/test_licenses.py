@@ -42,5 +42,55 @@ def test_equals_plain_scan(spark, tmp_path):
     assert sorted(((*r[:7], round(r.score, 9)) for r in got), key=key) == want
 
 
+def windows(text):
+    """Labels and the highest containment over lines and over every window of words."""
+    words = re.findall(WORD, lowered(text))
+    width = licenses.window_words()
+    blocks = [words[i : i + width] for i in range(max(len(words) - width, 0) + 1)]
+    blocks += [re.findall(WORD, lowered(line)) for line in text.split("\n")]
+    more, most = set(), 0.0
+    for block in map(set, blocks):
+        for label, t in licenses.TEMPLATES:
+            want = set(re.findall(WORD, lowered(t)))
+            share = len(block & want) / len(want)
+            if share >= licenses.CONTAINMENT - 1e-9:
+                more.add(label)
+                most = max(most, share)
+    return more, most
+
+
+def test_wrapped_templates_equal_plain_windows(spark):
+    import textwrap
+
+    rnd = random.Random(4)
+    filler = "some other words of the text stand here before and after a license under which it comes".split()
+    texts, whole = [], 0
+    for label, t in licenses.TEMPLATES:
+        for width in (72, 24):
+            for mark in ("", " * ", "# "):
+                for before in (0, 1, 30, 31, 32, 33, 64, 200):
+                    body = " ".join([*rnd.choices(filler, k=before), t, *rnd.choices(filler, k=rnd.randint(0, 60))])
+                    texts.append((label, "\n".join(mark + x for x in textwrap.wrap(body, width))))
+                    whole += 1
+    for _ in range(400):  # scattered, shortened and stretched ones
+        label, t = rnd.choice(licenses.TEMPLATES)
+        body = [w for w in t.split() if rnd.random() > 0.05]
+        for _ in range(rnd.randint(0, 12)):
+            body.insert(rnd.randint(0, len(body)), rnd.choice(filler))
+        texts.append((None, "\n".join(textwrap.wrap(" ".join([*rnd.choices(filler, k=rnd.randint(0, 90)), *body, *rnd.choices(filler, k=rnd.randint(0, 40))]), 40))))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))), r.n_base, r.score) for r in licenses.scan(df).collect()}
+    lost = 0
+    for i, (label, text) in enumerate(texts):
+        more, most = windows(text)
+        base = set(plain(text)[4].split(","))
+        assert got[i][0] == more - base, text
+        assert got[i][1] or abs(got[i][2] - most) < 1e-9, text
+        if i < whole:
+            assert label in more
+            lost += label not in plain(text)[5].split(",")
+    assert lost > 100  # lines alone miss them
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,8 +1,13 @@
 """Operator 4: license scans, by phrases and by an exact set-similarity join with templates.
 
 Base labels: places where the words of a phrase stand consecutively.  Added
-labels: every text block (a line) whose words hold at least CONTAINMENT of a
-template's distinct words.  Tokens of the templates are ordered by how many
+labels: every text block whose words hold at least CONTAINMENT of a template's
+distinct words.  A block is a line, or any window of window_words consecutive
+words, whatever lines they stand on: the words of the longest template divided
+by CONTAINMENT, so that wrapped templates fit with some words between theirs.
+Windows are first taken together in overlapping stretches of nearly twice their
+length, each of them in one stretch; where a stretch passes the filters, every
+window of it is counted.  Tokens of the templates are ordered by how many
 documents hold them, rarest first.  A block can only meet a template's
 threshold if it holds one of the rarest (size - needed + 1) tokens (prefix
 filter), enough template tokens at all (length filter), and enough of them from
@@ -98,6 +103,11 @@ def token_frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {r.token: r.n for r in counts.collect()}
 
 
+def window_words(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> int:
+    """Words of a window: the longest template with room for other words between its own."""
+    return math.ceil(max(len(_words(t)) for _, t in templates) / containment - 1e-9)
+
+
 def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, text_hash, label, containment) of each document's blocks that meet a template's threshold."""
     spark = docs.sparkSession
@@ -119,15 +129,27 @@ def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = T
     def holds(text: Column) -> Column:
         return functools.reduce(operator.or_, (text.contains(w) for w in rare))
 
+    width = window_words(templates, containment)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _lowered(F.col("text")).alias("_low")).where(holds(F.col("_low")))
-    blocks = rows.select("doc_id", "text_hash", F.explode(F.filter(F.split("_low", "\n"), holds)).alias("block"))
+    lines = F.transform(F.filter(F.split("_low", "\n"), holds), lambda x: F.struct(F.lit(True).alias("line"), F.split(_normal(x), " ").alias("words")))
+    # A text of one line has no window that its line doesn't hold.
+    words = F.when(F.col("_low").contains("\n"), F.split(_normal(F.col("_low")), " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - width, F.lit(0)) + 1, F.lit(width))
+    has_rare = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, rare)))
+    stretches = F.filter(F.transform(starts, lambda i: F.struct(F.lit(False).alias("line"), F.slice("_words", i, 2 * width - 1).alias("words"))), lambda x: has_rare(x["words"]))
+    none = F.array().cast("array<struct<line:boolean,words:array<string>>>")
+    rows = rows.select("doc_id", "text_hash", lines.alias("_lines"), words.alias("_words"))
+    blocks = rows.select("doc_id", "text_hash", F.explode(F.concat("_lines", F.when(F.col("_words").isNotNull(), stretches).otherwise(none))).alias("_block"))
+    blocks = blocks.select("doc_id", "text_hash", "_block.line", "_block.words")
     # array_intersect keeps the order of its first array: rarest token first.
-    blocks = blocks.select("doc_id", "text_hash", F.array_intersect(F.array(*map(F.lit, order)), F.split(_normal(F.col("block")), " ")).alias("held"))
+    blocks = blocks.select("*", F.array_intersect(F.array(*map(F.lit, order)), F.col("words")).alias("held"))
     blocks = blocks.where(F.size("held") >= least_needed)
     prefix = F.slice("held", 1, F.size("held") - least_needed + 1)
     shared = blocks.select("*", F.posexplode(prefix).alias("held_place", "token")).join(F.broadcast(index), "token")
     shared = shared.where(F.size("held") >= F.col("needed")).where(1 + F.least(F.size("held") - F.col("held_place"), F.col("size") - F.col("place")) - 1 >= F.col("needed"))
-    found = shared.join(F.broadcast(wanted), "template").withColumn("overlap", F.size(F.array_intersect("held", "tokens")))
+    found = shared.join(F.broadcast(wanted), "template").withColumn("most", F.size(F.array_intersect("held", "tokens")))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - width, F.lit(0)) + 1), lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, width))))
+    found = found.withColumn("overlap", F.when(F.col("line") | (F.col("most") < F.col("needed")), F.col("most")).otherwise(F.array_max(windows)))
     return found.where(F.col("overlap") >= F.col("needed")).select("doc_id", "text_hash", "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
