@@ -68,5 +68,26 @@ def test_added_spans_redaction_and_other_columns(spark):
     assert all(0 <= s.score <= 1 for s in out[1].pii_spans)
 
 
+def test_ibans_before_other_words(spark):
+    """Each IBAN is found whole, whatever follows it or stands before it."""
+    ibans = [
+        ("AT611904300234573201 EUR", ["AT611904300234573201"]),
+        ("ES91 2100 0418 4502 0005 1332 BIC", ["ES91 2100 0418 4502 0005 1332"]),
+        ("BE68 5390 0754 7034 12", ["BE68 5390 0754 7034"]),
+        ("AT611904300234573201, EUR", ["AT611904300234573201"]),
+        ("MT84 MALT 0110 0001 2345 MTLC AST0 01S OR DE89370400440532013000 1234", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE89370400440532013000"]),
+        ("SE10 GB82 WEST 1234 5698 7654 32 and NO93 8601 1117 947 X", ["GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]),
+        ("😀 BE68 5390 0754 7034BE68 5390 0754 7034 xAT611904300234573201 AT611904300234573201x AT611904300234573202", []),
+        ("😀 FR14 2004 1010 0505 0001 3M02 606 é BE68539007547034", ["FR14 2004 1010 0505 0001 3M02 606", "BE68539007547034"]),
+        ("DE89 3704 0044 0532 0130 00" * 2 + " ES91 2100 0418 4502 0005 133", []),
+    ]
+    rows = pii.find_spans(spark.createDataFrame(list(enumerate(t for t, _ in ibans)), "doc_id long, text string")).withColumn("clean", pii.redacted()).orderBy("doc_id").collect()
+    for (text, want), r in zip(ibans, rows):
+        spans = [s for s in r.pii_spans if s.kind == "iban"]
+        assert all(text[s.start : s.end] == s.value for s in spans)
+        assert [s.value for s in spans] == want, text
+    assert [r.clean for r in rows[:3]] == ["[IBAN] EUR", "[IBAN] BIC", "[IBAN] 12"]
+
+
 def test_empty_table(spark):
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0

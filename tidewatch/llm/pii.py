@@ -10,7 +10,9 @@ where the match before ended), which finds the same leftmost matches.
 
 Defined results: a null text counts as empty and has no spans; the digest of no
 spans is that of the empty string; equal rows stay as many rows; other columns
-of the input stay.  Spans of different kinds may overlap.
+of the input stay.  Spans of different kinds may overlap.  An added kind is
+tried wherever its pattern begins, inside candidates that fail too, so its
+confirmed spans may overlap each other.
 """
 
 from __future__ import annotations
@@ -30,6 +32,37 @@ _MOD_97 = (
     "ELSE (r * 100 + ascii(c) - 55) % 97 END) = 1"
 )
 
+#: Characters of an IBAN by country: of the registry, and of countries that use it without an entry there.
+_IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI BL CF CG CM DJ FR GA GF GP GQ IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def _iban() -> str:
+    """Country, check digits, then groups of four and the rest that the country's length leaves; a space may stand before each."""
+    parts = []
+    for n, countries in _IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        parts.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join(parts)})(?![A-Za-z0-9])))[A-Z]"
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -37,6 +70,8 @@ class Kind:
 
     confirm is SQL over x.value; near are words that raise the score when they
     stand within CONTEXT characters before the span, doubt words that lower it.
+    The pattern of a kind that is not base matches one character and looks ahead
+    at its candidate, group 1.
     """
 
     name: str
@@ -55,7 +90,7 @@ KINDS = (
     Kind("ip", ".", r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++", rf"x.value RLIKE '^{_OCTET}(?:[.]{_OCTET}){{3}}$'", 0.6, "ip|host|server|address|addr"),
     Kind("card", "", r"[0-9]++(?:[ -][0-9]++)*+", "length(translate(x.value, ' -', '')) BETWEEN 14 AND 19 AND luhn_check(translate(x.value, ' -', ''))", 0.8, "card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", "length(translate(x.value, '+ ().-', '')) BETWEEN 10 AND 15", 0.7, "phone|tel|call|mobile|fax"),
-    Kind("iban", "", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", f"length(translate(x.value, ' ', '')) BETWEEN 15 AND 34 AND {_MOD_97.format(v=chr(39).join(('translate(x.value, ', ' ', ', ', '', ')')))}", 0.9, "iban|account|bank|konto|compte|cuenta", base=False),
+    Kind("iban", "", _iban(), _MOD_97.format(v="translate(x.value, ' ', '')"), 0.9, "iban|account|bank|konto|compte|cuenta", base=False),
 )
 
 #: Characters before a span that are searched for context words.
@@ -67,9 +102,9 @@ _SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string,sc
 
 
 def _found(text: Column, kind: Kind) -> Column:
-    """The matches of a kind, leftmost and not overlapping."""
+    """The candidates of a kind: of base ones leftmost and not overlapping."""
     none = F.array().cast("array<string>")
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0 if kind.base else 1))
     return F.when(text.contains(kind.guard), found).otherwise(none) if kind.guard else found
 
 
@@ -77,10 +112,11 @@ def _spans(text: str, found: str, kind: Kind, number: int) -> Column:
     """The confirmed spans of a kind.  Places follow from the lengths of the matches and of the gaps between them."""
     q = kind.pattern.replace("\\", "\\\\").replace("'", "\\'")
     confirm = kind.confirm
+    passed = "x.n" if kind.base else "1"  # characters that the match uses up
     placed = (
         f"aggregate(zip_with(slice(split({text}, '{q}', -1), 1, size({found})), {found}, (g, m) -> struct(length(g) AS g, length(m) AS n, m AS m)), "
         "named_struct('at', 0, 'spans', CAST(array() AS array<struct<start:int,end:int,value:string>>)), "
-        "(a, x) -> named_struct('at', a.at + x.g + x.n, 'spans', concat(a.spans, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + x.n, 'value', x.m)))), "
+        f"(a, x) -> named_struct('at', a.at + x.g + {passed}, 'spans', concat(a.spans, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + x.n, 'value', x.m)))), "
         "a -> a.spans)"
     )
     before = f"lower(substring({text}, greatest(x.start - {CONTEXT}, 0) + 1, least(x.start, {CONTEXT})))"
