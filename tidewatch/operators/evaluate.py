@@ -69,24 +69,53 @@ def metrics_long(cm: DataFrame) -> DataFrame:
     return per.unionByName(total).select("metric", "class", "value")
 
 
-def bootstrap_ci(df: DataFrame, pred_a: str, pred_b: str, resamples: int, key: str = "flow_id") -> DataFrame:
+def _numbered_by_ranges(rows: DataFrame, key: str, pieces: int = 64) -> DataFrame:
+    """Adds _no, the place of each row in the order of a unique key of any type, from 0, without sorting all rows in one task.
+
+    Edges of the ranges are taken from a sample of keys; they set the sizes of the ranges only, not the numbers.
+    """
+    sample = rows.select(key).orderBy(F.xxhash64(key), key).limit(100 * pieces).agg(F.sort_array(F.collect_list(key)).alias("_s"))
+    edges = sample.select(F.array_compact(F.array(*(F.get("_s", F.floor(F.size("_s") * i / pieces).cast("int")) for i in range(1, pieces)))).alias("_edges"))
+    ranged = rows.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    counts = counts.select("_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return ranged.join(F.broadcast(counts), "_range").withColumn("_no", F.col("_before") + place).drop("_range", "_before")
+
+
+def bootstrap_ci(df: DataFrame, pred_a: str, pred_b: str, resamples: int, key: str = "flow_id", pieces: int = 64, chunk: int = 4_096) -> DataFrame:
     """95 % interval of the difference in macro F1, resampling whole flows; draws follow from MD5 hashes.
 
-    Flows are numbered, every resample draws as many numbers as there are flows,
-    and confusion counts of the flows are summed by draw count.
+    Each flow is one row of counts (hits, predictions and support of each class)
+    and has a number; every resample draws as many numbers as there are flows, in
+    pieces, and the counts of the drawn flows are summed.
     """
-    rows = df.where("status_future IS NOT NULL")
-    flows = rows.select(key).distinct().withColumn("_no", F.row_number().over(Window.orderBy(key)) - 1)
+    truth, sums = F.col("status_future"), []
+    for c in CLASSES:
+        sums.append(F.count_if(truth == c).alias(f"_support_{c}"))
+        for m, pred in (("a", pred_a), ("b", pred_b)):
+            sums += [F.count_if((truth == c) & (F.col(pred) == c)).alias(f"_hit_{m}_{c}"), F.count_if(F.col(pred) == c).alias(f"_said_{m}_{c}")]
+    flows = df.where("status_future IS NOT NULL").groupBy(key).agg(*sums)
     f = flows.agg(F.count("*").alias("_f"))
-    spark = df.sparkSession
-    draws = spark.range(resamples).withColumnRenamed("id", "resample").crossJoin(F.broadcast(f)).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_f") - 1)))
+    ids = df.sparkSession.range(resamples * pieces).select(F.expr(f"id DIV {pieces}").alias("resample"), (F.col("id") % pieces).alias("_piece"))
+    first = lambda piece: F.floor(F.col("_f") * piece / pieces).cast("long")
+    parts = ids.crossJoin(F.broadcast(f)).select("resample", "_f", first(F.col("_piece")).alias("_a"), first(F.col("_piece") + 1).alias("_b")).where("_a < _b")
+    parts = parts.select("resample", "_f", "_b", F.explode(F.sequence("_a", F.col("_b") - 1, F.lit(chunk).cast("long"))).alias("_c"))
+    draws = parts.select("resample", "_f", F.explode(F.sequence("_c", F.least(F.col("_c") + chunk, "_b") - 1)).alias("_i"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", "resample", "_i")), 1, 8), 16, 10).cast("long") % F.col("_f")
-    weights = draws.select("resample", number.alias("_no")).groupBy("resample", "_no").agg(F.count("*").alias("_w"))
-    pairs = rows.select(key, F.col("status_future").alias("truth"), F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col(pred_a).alias("pred")), F.struct(F.lit("b").alias("model"), F.col(pred_b).alias("pred")))).alias("_p"))
-    per_flow = pairs.groupBy(key, "truth", "_p.model", "_p.pred").agg(F.count("*").alias("_n"))
-    drawn = per_flow.join(flows, key).join(weights, "_no").groupBy("resample", "model", "truth", "pred").agg(F.sum(F.col("_n") * F.col("_w")).alias("n"))
-    f1 = class_metrics(drawn, ("resample", "model")).groupBy("resample").agg((F.sum(F.when(F.col("model") == "a", F.col("f1"))) / len(CLASSES) - F.sum(F.when(F.col("model") == "b", F.col("f1"))) / len(CLASSES)).alias("diff"))
-    return f1.agg(F.percentile("diff", 0.025).alias("low"), F.percentile("diff", 0.975).alias("high"), F.count("*").alias("resamples"))
+    counts = [c for c in flows.columns if c != key]
+    drawn = draws.select("resample", number.alias("_no")).join(_numbered_by_ranges(flows, key).drop(key), "_no").groupBy("resample").agg(*(F.sum(c).alias(c) for c in counts))
+
+    def macro(m: str) -> Column:
+        each = []
+        for c in CLASSES:
+            precision, recall = _share(F.col(f"_hit_{m}_{c}"), F.col(f"_said_{m}_{c}")), _share(F.col(f"_hit_{m}_{c}"), F.col(f"_support_{c}"))
+            each.append(_share(2 * precision * recall, precision + recall))
+        return sum(each[1:], each[0]) / len(CLASSES)
+
+    diffs = drawn.select((macro("a") - macro("b")).alias("diff"))
+    return diffs.agg(F.percentile("diff", 0.025).alias("low"), F.percentile("diff", 0.975).alias("high"), F.count("*").alias("resamples"))
 
 
 def scoreboard(df: DataFrame, instant: Column, pred: str) -> DataFrame:

@@ -186,7 +186,7 @@ query("a17_transitions", "SELECT a.class AS now, b.class AS future, count(f.flow
 query("a17_change_split", "SELECT status_now <> status_future AS changes, count(*) AS n, round(avg(CAST(rule_pred = status_future AS INTEGER)), 6) AS accuracy FROM fut WHERE status_future IS NOT NULL GROUP BY 1")(lambda c: E.change_split(c.fut, "rule_pred"))
 query("a18_metrics_by_region", "SELECT region, round(sum(CASE WHEN rule_pred = status_future THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS accuracy, count(*) AS n FROM fut WHERE status_future IS NOT NULL GROUP BY region")(lambda c: E.summary_metrics(E.confusion(c.fut, "status_future", "rule_pred", ("region",)), ("region",)).select("region", "accuracy", "n"))
 query("a19_metrics_long", "SELECT 'precision' AS metric, class, round(precision, 6) AS value FROM f1s UNION ALL SELECT 'recall', class, round(recall, 6) FROM f1s UNION ALL SELECT 'f1', class, round(f1, 6) FROM f1s UNION ALL SELECT 'support', class, CAST(support AS DOUBLE) FROM f1s UNION ALL SELECT 'macro_f1', 'all', round(avg(f1), 6) FROM f1s UNION ALL SELECT 'balanced_accuracy', 'all', round(avg(recall), 6) FROM f1s UNION ALL SELECT 'accuracy', 'all', round(sum(CASE WHEN truth = pred THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) FROM cm")(lambda c: E.metrics_long(E.confusion(c.fut, "status_future", "rule_pred")))
-query("a22_bootstrap")(lambda c: E.bootstrap_ci(c.fut, "rule_pred", "persistence_pred", 200))
+query("a22_bootstrap")(lambda c: E.bootstrap_ci(c.fut, "rule_pred", "persistence_pred", 2_000))
 query("a23_scoreboard", f"SELECT count(*) AS verified, count(*) FILTER (WHERE rule_pred = status_future) AS hits, count(*) FILTER (WHERE status_now = status_future) AS persistence_hits FROM fut WHERE status_future IS NOT NULL AND t_future <= {AT}")(lambda c: E.scoreboard(c.fut, c.instant, "rule_pred"))
 query("a24_counters", f"SELECT count(*) AS n, count(*) FILTER (WHERE status_now = 'OK') AS n_ok, count(*) FILTER (WHERE status_now = 'RISK') AS n_risk, count(*) FILTER (WHERE status_now = 'FAIL') AS n_fail, count(*) FILTER (WHERE is_timeout = 1) AS n_timeout, count(*) FILTER (WHERE status_future IS NULL) AS n_without_future FROM fut WHERE t <= {AT}")(lambda c: E.counters(c.fut, c.instant))
 _LAG = "SELECT flow_id, t, CAST(floor(epoch(t)) - floor(epoch(lag(t) OVER (PARTITION BY flow_id ORDER BY t))) AS BIGINT) AS delta_s FROM meas"
