@@ -3,7 +3,9 @@
 Bursts arrive as JSON files; late rows within the watermark take their place in
 time, later ones are dropped; repeats are dropped; rows at or before the fence,
 and of flows without a card, take no part.  The only Python step is the keyed
-state: a flow's last rows and the predictions that wait for their future.
+state: a flow's last rows and the predictions that wait for their future.  A
+fitted model scores each micro-batch on its way to the sink; what it said at
+arrival stands there on the row of kind 'predicted' and is never changed.
 """
 
 from __future__ import annotations
@@ -12,17 +14,19 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.params import BASELINE_COLUMNS, Params
+from ..functions.params import BASELINE_COLUMNS, MODEL_COLUMNS, Params
 from ..operators.baseline import baseline
 from ..operators.features import relative_metrics
+from ..operators.models import assemble, score
 
 MEASUREMENT_SCHEMA = "flow_id string, t timestamp, rtt double, jitter double, loss_pct double, is_timeout int"
-OUTPUT_SCHEMA = "flow_id string, t timestamp, kind string, n5_timeout long, n5_increase80 long, n5_moderate long, min5_z double, mean5_z double, rule int, status string, prediction string"
-_KEPT = ("increase_pct", "robust_z", "moderate", "is_timeout", "loss_pct")
+OUTPUT_SCHEMA = "flow_id string, t timestamp, kind string, n5_timeout long, n5_increase80 long, n5_moderate long, min5_z double, mean5_z double, rule int, status string, prediction string, robust_z double, increase_pct double, jitter_ratio double, loss_pct double, is_timeout int"
+_KEPT = ("increase_pct", "robust_z", "moderate", "is_timeout", "loss_pct", "jitter_ratio")
 
 
 def read_bursts(spark: SparkSession, path: str, schema: str = MEASUREMENT_SCHEMA, files_per_batch: int = 1) -> DataFrame:
@@ -90,13 +94,14 @@ def _rule(row: dict, window: list[dict], p: Params) -> tuple[int, str, dict]:
 
 
 def fixed_prediction(features: dict, moderate: int) -> str:
-    """The model that needs no fitting; another one scores the rows of the sink in foreachBatch."""
+    """The model that needs no fitting; for a fitted one see predict_on_arrival."""
     z = features["mean5_z"]
     return "FAIL" if z is not None and z >= 3.5 else "RISK" if (z is not None and z >= 2) or moderate == 1 else "OK"
 
 
 def flow_state(p: Params, delay_s: int):
     """The keyed step: emits kind 'predicted' at arrival, then 'verified' (status: the class that came) or 'expired'."""
+    no_features = (None,) * 5
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = json.loads(state.get[0]) if state.exists else []
@@ -110,7 +115,7 @@ def flow_state(p: Params, delay_s: int):
             window = rows[max(0, at - p.window + 1) : at + 1]
             rule, status, f = _rule(row, window, p)
             row["prediction"] = fixed_prediction(f, row["moderate"])
-            out.append((key[0], row["us"], "predicted", f["n5_timeout"], f["n5_increase80"], f["n5_moderate"], f["min5_z"], f["mean5_z"], rule, status, row["prediction"]))
+            out.append((key[0], row["us"], "predicted", f["n5_timeout"], f["n5_increase80"], f["n5_moderate"], f["min5_z"], f["mean5_z"], rule, status, row["prediction"], *(row[c] for c in ("robust_z", "increase_pct", "jitter_ratio", "loss_pct", "is_timeout"))))
         mark = state.getCurrentWatermarkMs() * 1000
         for i, row in enumerate(rows):
             if not row["waits"]:
@@ -121,10 +126,10 @@ def flow_state(p: Params, delay_s: int):
                 window = rows[max(0, i + p.horizon - p.window + 1) : i + p.horizon + 1]
                 _, status, _ = _rule(ahead, window, p)
                 ok = p.gate[0] <= gap <= p.gate[1]
-                out.append((key[0], row["us"], "verified" if ok else "expired", None, None, None, None, None, None, status if ok else None, row["prediction"]))
+                out.append((key[0], row["us"], "verified" if ok else "expired", None, None, None, None, None, None, status if ok else None, row["prediction"], *no_features))
                 row["waits"] = False
             elif row["us"] + p.gate[1] * 1_000_000 < mark and ahead is None:
-                out.append((key[0], row["us"], "expired", None, None, None, None, None, None, None, row["prediction"]))
+                out.append((key[0], row["us"], "expired", None, None, None, None, None, None, None, row["prediction"], *no_features))
                 row["waits"] = False
         # Rows before the watermark that nothing waits for are kept only as far as windows reach back.
         old = next((i for i, r in enumerate(rows) if r["waits"] or r["us"] > mark), len(rows))
@@ -136,7 +141,7 @@ def flow_state(p: Params, delay_s: int):
         names = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
         frame = pd.DataFrame(out, columns=names)
         frame["t"] = pd.to_datetime(frame["t"], unit="us")
-        yield frame.astype({"n5_timeout": "Int64", "n5_increase80": "Int64", "n5_moderate": "Int64", "rule": "Int32"})
+        yield frame.astype({"n5_timeout": "Int64", "n5_increase80": "Int64", "n5_moderate": "Int64", "rule": "Int32", "is_timeout": "Int32"})
 
     return step
 
@@ -153,10 +158,31 @@ def run_available(out: DataFrame, sink: str, checkpoint: str) -> None:
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def predict_on_arrival(df: DataFrame, model: Model, model_id: str, cols: tuple[str, ...] = MODEL_COLUMNS) -> DataFrame:
+    """A micro-batch with the fitted model's class as the prediction of the rows that arrived, its id and probabilities.
+
+    Rows of other kinds get none: theirs is the one frozen at arrival.
+    """
+    keep = tuple(c for c in df.columns if c != "prediction")
+    scored = score(model, assemble(df.select(*keep), cols), model_id, keep)
+    arrived = F.col("kind") == "predicted"
+    said = [c for c in scored.columns if c not in keep]
+    return scored.select(*keep, *(F.when(arrived, F.col(c)).alias("prediction" if c == "model_pred" else c) for c in said))
+
+
+def run_predicting(out: DataFrame, model: Model, model_id: str, sink: str, checkpoint: str, cols: tuple[str, ...] = MODEL_COLUMNS) -> None:
+    """As run_available, with the predictions of a fitted model; a batch that is run again replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        predict_on_arrival(batch, model, model_id, cols).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def live_scoreboard(sink: DataFrame) -> DataFrame:
-    """Verified predictions and hits of the prediction and of 'nothing changes'."""
-    now = sink.where("kind = 'predicted'").select("flow_id", "t", F.col("status").alias("status_now"))
-    both = sink.where("kind = 'verified'").select("flow_id", "t", "status", "prediction").join(now, ["flow_id", "t"])
+    """Verified predictions and hits of the prediction frozen at arrival and of 'nothing changes'."""
+    now = sink.where("kind = 'predicted'").select("flow_id", "t", F.col("status").alias("status_now"), "prediction")
+    both = sink.where("kind = 'verified'").select("flow_id", "t", "status").join(now, ["flow_id", "t"])
     return both.agg(F.count("*").alias("verified"), F.count_if(F.col("prediction") == F.col("status")).alias("hits"), F.count_if(F.col("status_now") == F.col("status")).alias("persistence_hits"))
 
 
