@@ -41,3 +41,13 @@ def test_one_kind_and_empty(spark):
     assert urls.judge(spark.createDataFrame([], "url string")).count() == 0
     rows = urls.judge(spark.createDataFrame([("http://a.net/es/",), ("http://b.org/",)], "url string")).orderBy("url").collect()
     assert [r.verdict for r in rows] == ["block", "block"]
+
+
+def test_copies_of_a_url_count_once(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE", 60)
+    rows = [(f"http://a{i}.com/x{i}", 0.0) for i in range(40)] + [(f"http://a{i}.net/es/{i}", 1.0) for i in range(40)]
+    df = urls.host_and_path(spark.createDataFrame(rows, "url string, label double")).cache()
+    first = df.selectExpr("*", "xxhash64(url) AS h").orderBy("h").first()
+    copies = df.where(df.url == first.url).crossJoin(spark.range(200)).drop("id")
+    score = urls.fit(df.unionByName(copies))(df.select("url", "host", "path")).collect()
+    assert all((r.block_score >= 0.5) == (".net/" in r.url) for r in score)

@@ -34,7 +34,7 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: At most so many labelled URLs fit the trees: those with the least hashes.
+#: At most so many different labelled URLs fit the trees: those with the least hashes.  Copies count once.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 15, 4, 11
 #: Weight, in URLs, of the overall share in a suffix's share of blocked URLs.
@@ -104,7 +104,7 @@ def _with_suffixes(urls: DataFrame, sample: DataFrame, share: float) -> DataFram
 
 def fit(labelled: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Learns from rows (url, host, path, label 0.0 or 1.0); the result adds block_score to rows with url, host and path."""
-    sample = stored(lexical(labelled.select("url", "host", "path", "label").orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)))
+    sample = stored(lexical(labelled.select("url", "host", "path", "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)))
     kinds = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return lambda urls: urls.withColumn("block_score", F.lit(1.0 if kinds.get(1.0) else 0.0))
