@@ -1,12 +1,17 @@
 """Operator 9: personal data by patterns, checksums and context words.
 
 Regular expressions propose spans, validators (octets, Luhn, mod 97, digit
-counts) confirm them, and words shortly before a span move its score.  All of it
-is DataFrame functions on one row at a time: nothing is shuffled.
+counts) confirm them, and words shortly before a span, back to the candidate
+before it, move its score.  The score decides on added kinds: bare numbers and
+credentials stay only where their context speaks for them.  Base kinds stay
+whatever their score.  All of it is DataFrame functions on one row at a time:
+nothing is shuffled.
 
 The patterns are written so that Java's matcher needs linear time: repetitions
 are possessive and a match begins only where a run of its characters begins (or
-where the match before ended), which finds the same leftmost matches.
+where the match before ended), which finds the same leftmost matches.  Places
+are running sums over pieces of an array and texts are cut from pieces of
+bounded length, so the whole is in proportion to the text.
 
 Defined results: a null text counts as empty and has no spans; the digest of no
 spans is that of the empty string; equal rows stay as many rows; other columns
@@ -17,6 +22,7 @@ confirmed spans may overlap each other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,10 +74,10 @@ def _iban() -> str:
 class Kind:
     """A kind of personal data.
 
-    confirm is SQL over x.value; near are words that raise the score when they
-    stand within CONTEXT characters before the span, doubt words that lower it.
-    The pattern of a kind that is not base matches one character and looks ahead
-    at its candidate, group 1.
+    confirm is SQL over x.value; near are words that raise the score by gain when
+    they stand within CONTEXT characters before the span, doubt words that lower
+    it by 0.3.  The pattern of a kind that is not base matches one character and
+    looks ahead at its candidate, group 1.
     """
 
     name: str
@@ -80,6 +86,7 @@ class Kind:
     confirm: str
     prior: float
     near: str
+    gain: float = 0.1
     doubt: str = "isbn|order|version|build"
     base: bool = True
 
@@ -90,7 +97,13 @@ KINDS = (
     Kind("ip", ".", r"[0-9](?<![0-9]{2})[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++", rf"x.value RLIKE '^{_OCTET}(?:[.]{_OCTET}){{3}}$'", 0.6, "ip|host|server|address|addr"),
     Kind("card", "", r"[0-9]++(?:[ -][0-9]++)*+", "length(translate(x.value, ' -', '')) BETWEEN 14 AND 19 AND luhn_check(translate(x.value, ' -', ''))", 0.8, "card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", "length(translate(x.value, '+ ().-', '')) BETWEEN 10 AND 15", 0.7, "phone|tel|call|mobile|fax"),
-    Kind("iban", "", _iban(), _MOD_97.format(v="translate(x.value, ' ', '')"), 0.9, "iban|account|bank|konto|compte|cuenta", base=False),
+    Kind("iban", "", _iban(), _MOD_97.format(v="translate(x.value, ' ', '')"), 0.7, "iban|account|bank|konto|compte|cuenta", 0.2, base=False),
+    # Three, two and four digits; areas, groups and numbers of zeros, area 666 and areas from 900 on were never given out.
+    Kind("ssn", "-", r"(?<![0-9A-Za-z-])(?=([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z-]))[0-9]", "NOT x.value RLIKE '^(?:000|666|9..)|-00-|-0000$'", 0.4, "ssn|social security|taxpayer|insurance n", 0.3, base=False),
+    # Eight to twelve digits in one run: an account only where words say so.
+    Kind("account", "", r"(?<![0-9A-Za-z.+-])(?=([0-9]{8,12}+)(?![0-9A-Za-z-]|[.][0-9]))[0-9]", "true", 0.3, "account n|account:|acct|kontonummer|konto-nr|cuenta n|compte n", 0.3, base=False),
+    # Letters and digits mixed, 16 characters or more, named as a credential.
+    Kind("secret", "", r"(?<![0-9A-Za-z_+/=-])(?=([0-9A-Za-z_+/=-]{16,}+))[0-9A-Za-z]", "x.value RLIKE '[0-9]' AND x.value RLIKE '[A-Za-z]'", 0.3, "passw|secret|token|api[_ -]?key|access[_ -]?key|credential", 0.3, base=False),
 )
 
 #: Characters before a span that are searched for context words.
@@ -98,6 +111,9 @@ CONTEXT = 40
 #: Added (not base) spans need this score.
 KEEP_SCORE = 0.5
 
+#: Items of a piece of an array, and characters of a piece of a text.
+RUN, CUT = 512, 512
+
 _SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double>>"
 
 
@@ -108,23 +124,39 @@ def _found(text: Column, kind: Kind) -> Column:
     return F.when(text.contains(kind.guard), found).otherwise(none) if kind.guard else found
 
 
-def _spans(text: str, found: str, kind: Kind, number: int) -> Column:
-    """The confirmed spans of a kind.  Places follow from the lengths of the matches and of the gaps between them."""
-    q = kind.pattern.replace("\\", "\\\\").replace("'", "\\'")
-    confirm = kind.confirm
-    passed = "x.n" if kind.base else "1"  # characters that the match uses up
-    placed = (
-        f"aggregate(zip_with(slice(split({text}, '{q}', -1), 1, size({found})), {found}, (g, m) -> struct(length(g) AS g, length(m) AS n, m AS m)), "
-        "named_struct('at', 0, 'spans', CAST(array() AS array<struct<start:int,end:int,value:string>>)), "
-        f"(a, x) -> named_struct('at', a.at + x.g + {passed}, 'spans', concat(a.spans, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + x.n, 'value', x.m)))), "
-        "a -> a.spans)"
-    )
-    before = f"lower(substring({text}, greatest(x.start - {CONTEXT}, 0) + 1, least(x.start, {CONTEXT})))"
-    score = f"greatest(0D, least(1D, {kind.prior}D + CASE WHEN {before} RLIKE '{kind.near}' THEN 0.1D ELSE 0D END - CASE WHEN {before} RLIKE '{kind.doubt}' THEN 0.3D ELSE 0D END))"
-    kept = f"transform(filter({placed}, x -> {confirm}), x -> named_struct('start', x.start, 'kind_no', {number}, 'end', x.end, 'kind', '{kind.name}', 'value', x.value, 'score', {score}))"
+def _running(values: str, start: str, step: Callable[[str, str], str], whole: bool = False) -> str:
+    """SQL: for each item of the array ``values``, ``step`` over all items before it, from ``start``.
+
+    An array grows by copying, so the items are taken in pieces of RUN: what
+    stands before a piece comes from the totals of the pieces before it.
+    """
+    scan = "aggregate({over}, named_struct('now', {at}, 'seen', CAST(array() AS array<int>)), (s, v) -> named_struct('now', {then}, 'seen', concat(s.seen, array(s.now))), s -> s.seen)"
+    if whole:
+        return scan.format(over=values, at=start, then=step("s.now", "v"))
+    pieces = f"transform(sequence(0, greatest(size({values}) - 1, 0) div {RUN}), i -> slice({values}, i * {RUN} + 1, {RUN}))"
+    totals = f"transform({pieces}, p -> aggregate(p, {start}, (a, v) -> {step('a', 'v')}))"
+    before = _running(totals, start, step, whole=True)
+    return f"flatten(zip_with({pieces}, {before}, (p, o) -> {scan.format(over='p', at='o', then=step('s.now', 'v'))}))"
+
+
+def _plus(a: str, v: str) -> str:
+    return f"{a} + {v}"
+
+
+def _most(a: str, v: str) -> str:
+    return f"greatest({a}, {v})"
+
+
+def _kept(k: int) -> Column:
+    """The confirmed spans of a kind from its matches (_m), the gaps before them (_g) and their places (_p)."""
+    kind = KINDS[k]
+    placed = f"zip_with(_p{k}, arrays_zip(_g{k}, _m{k}), (p, m) -> named_struct('start', p, 'end', p + length(m._m{k}), 'value', m._m{k}, 'before', m._g{k}))"
+    before = f"lower(right(x.before, {CONTEXT}))"
+    score = f"greatest(0D, least(1D, {kind.prior}D + CASE WHEN {before} RLIKE '{kind.near}' THEN {kind.gain}D ELSE 0D END - CASE WHEN {before} RLIKE '{kind.doubt}' THEN 0.3D ELSE 0D END))"
+    kept = f"transform(filter({placed}, x -> {kind.confirm}), x -> named_struct('start', x.start, 'kind_no', {k}, 'end', x.end, 'kind', '{kind.name}', 'value', x.value, 'score', {score}))"
     if not kind.base:
         kept = f"filter({kept}, x -> x.score >= {KEEP_SCORE}D)"
-    return F.expr(f"CASE WHEN size({found}) > 0 THEN {kept} ELSE CAST(array() AS {_SPANS}) END")
+    return F.expr(f"CASE WHEN size(_m{k}) > 0 THEN {kept} ELSE CAST(array() AS {_SPANS}) END")
 
 
 def find_spans(df: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
@@ -132,29 +164,50 @@ def find_spans(df: DataFrame, text_col: str = "text", into: str = "pii_spans") -
 
     Places count code points; the end is exclusive.
     """
+    every = range(len(KINDS))
     rows = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    rows = rows.select("*", *(_found(F.col("_text"), k).alias(f"_m{i}") for i, k in enumerate(KINDS)))
-    rows = rows.select("_row", *(_spans("_text", f"_m{i}", k, i).alias(f"_s{i}") for i, k in enumerate(KINDS)))
-    spans = F.array_sort(F.concat(*(F.col(f"_s{i}") for i in range(len(KINDS)))))
+    rows = rows.select("*", *(_found(F.col("_text"), KINDS[k]).alias(f"_m{k}") for k in every))
+    gaps = (F.when(F.size(f"_m{k}") > 0, F.slice(F.split("_text", KINDS[k].pattern, -1), 1, F.size(f"_m{k}"))).otherwise(F.array().cast("array<string>")) for k in every)
+    rows = rows.select("*", *(g.alias(f"_g{k}") for k, g in zip(every, gaps)))
+    # The match of a base kind uses its characters up, that of an added one only the first.
+    used = (f"zip_with(_g{k}, _m{k}, (g, m) -> length(g) + {'length(m)' if KINDS[k].base else '1'})" for k in every)
+    rows = rows.select("*", *(F.expr(u).alias(f"_u{k}") for k, u in zip(every, used)))
+    places = (f"zip_with({_running(f'_u{k}', '0', _plus)}, _g{k}, (o, g) -> o + length(g))" for k in every)
+    rows = rows.select("_row", *(f"_m{k}" for k in every), *(f"_g{k}" for k in every), *(F.expr(f"CASE WHEN size(_m{k}) > 0 THEN {p} ELSE CAST(array() AS array<int>) END").alias(f"_p{k}") for k, p in zip(every, places)))
+    spans = F.array_sort(F.concat(*map(_kept, every)))
     return rows.select("_row", spans.alias("_spans")).select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns if c != into), F.col("_spans").alias(into))
 
 
-def redacted(text: str = "text", spans: str = "pii_spans") -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first gives the name."""
-    return F.expr(
-        f"CASE WHEN size({spans}) = 0 THEN {text} ELSE aggregate({spans}, named_struct('at', 0, 'done', ''), "
-        f"(a, x) -> CASE WHEN x.start >= a.at THEN named_struct('at', x.end, 'done', concat(a.done, substring({text}, a.at + 1, x.start - a.at), '[', upper(x.kind), ']')) "
-        "ELSE named_struct('at', greatest(a.at, x.end), 'done', a.done) END, "
-        f"a -> concat(a.done, substring({text}, a.at + 1))) END"
-    )
-
+def _redacted(rows: DataFrame) -> DataFrame:
+    """_row and _clean of rows with _row, _text and _spans: each span replaced by its kind in brackets.
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs (text, n_chars and more) with the spans of every text replaced by their kinds."""
-    found = find_spans(docs, into="_pii_spans").withColumn("_text", redacted("text", "_pii_spans"))
-    changed = F.size("_pii_spans") > 0
-    columns = {"text": F.col("_text"), "n_chars": F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
-    return found.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    Of overlapping spans the first gives the name.  The text is cut into pieces
+    of CUT characters, so that a part is found without reading all before it.
+    """
+    rows = rows.withColumn("_ends", F.expr("transform(_spans, x -> x.end)"))
+    rows = rows.withColumn("_upto", F.expr(_running("_ends", "0", _most)))
+    rows = rows.withColumn("_pieces", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))
+
+    def part(a: str, b: str) -> str:
+        """The text from place a to place b."""
+        held = f"array_join(slice(_pieces, {a} div {CUT} + 1, ({b} - 1) div {CUT} - {a} div {CUT} + 1), '')"
+        return f"CASE WHEN {b} > {a} THEN substring({held}, {a} % {CUT} + 1, {b} - {a}) ELSE '' END"
+
+    named = f"transform(filter(zip_with(_spans, _upto, (x, u) -> named_struct('x', x, 'u', u)), z -> z.x.start >= z.u), z -> concat({part('z.u', 'z.x.start')}, '[', upper(z.x.kind), ']'))"
+    rest = part("array_max(_ends)", "length(_text)")
+    return rows.select("_row", F.expr(f"CASE WHEN size(_spans) = 0 THEN _text ELSE concat(array_join({named}, ''), {rest}) END").alias("_clean"))
+
+
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs (text, n_chars and more) with the spans of every text replaced by their kinds; n_chars follows where a text has spans."""
+    wrapped = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    found = find_spans(wrapped, "_text", "_spans")
+    rows = _redacted(found.select(F.struct("_row", (F.size("_spans") > 0).alias("changed")).alias("_row"), "_text", "_spans"))
+    columns = {c: F.col(f"_row._row.`{c}`") for c in docs.columns}
+    columns[text_col] = F.col("_clean")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_row.changed"), F.length("_clean").cast("long")).otherwise(columns["n_chars"])
+    return rows.select(*(column.alias(c) for c, column in columns.items()))
 
 
 def _joined(spans: str) -> str:
