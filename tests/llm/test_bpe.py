@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from tokenizers import Tokenizer
 
@@ -32,4 +33,25 @@ def test_columns_round_trip(spark):
     v = bpe.default_vocabulary()
     df = spark.createDataFrame([(t,) for t in texts()[:200]], "text string").select("*", bpe.encode(F.col("text"), v).alias("ids")).select("*", bpe.decode(F.col("ids"), v).alias("back"))
     assert all(r.back == (r.text or "") for r in df.collect())
-    assert df.where("1 = 0").count() == 0
+    assert df.where("1 = 0").collect() == []
+
+
+def test_runs_take_time_in_proportion_to_their_length():
+    vocabulary, lib = bpe.read_vocabulary(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary())
+    for bit in ("a", "ab", "7", " ", "é", "aab"):
+        took = []
+        for n in (50_000, 200_000):
+            began = time.time()
+            ids = bpe.PairIndexEncoder(vocabulary).encode_batch([bit * n])[0]
+            took.append(time.time() - began)
+        assert took[1] < 5, (bit, took)
+        assert bpe.PairIndexEncoder(vocabulary).decode(ids) == bit * n
+        short = bit * 7_001
+        assert bpe.PairIndexEncoder(vocabulary).encode_batch([short])[0] == lib.encode(short, add_special_tokens=False).ids
+
+
+def test_words_are_remembered_and_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 20)
+    enc, lib = bpe.PairIndexEncoder(bpe.read_vocabulary(bpe.default_vocabulary())), Tokenizer.from_file(bpe.default_vocabulary())
+    for t in texts()[6:300]:
+        assert enc.encode_batch([t, t]) == [lib.encode(t, add_special_tokens=False).ids] * 2

@@ -1,13 +1,15 @@
 """Operator 1: byte-level BPE encoding and decoding with a pair occurrence index.
 
-A task takes the texts of one Arrow batch, splits them into words, and encodes
-the distinct words together.  For these it builds one index from the pairs of
-neighbouring symbols to all their places, takes the active ranks in ascending
-order from a heap, merges at all their places at once and adds the pairs that
-this makes to the lists of their ranks.  Ranks that follow each other and don't
-depend on each other share a list (a window); within it the lower rank still
-goes first wherever two places overlap.  No row leaves its partition, so nothing
-is shuffled and a hot source or group of copies has no cost of its own.
+A task takes the texts of its partition part by part, splits them into words,
+and encodes those distinct words that it hasn't met before.  For these it builds
+one index that maps each pair of neighbouring symbols to all its places, takes
+the active ranks in ascending order from a heap, merges the pair of that rank at
+all its places at once, and updates the lists of the pairs that this makes.  In
+a run of one symbol every second place is merged, counted from the run's start,
+so a run takes as many steps as its length has digits.  No row leaves its
+partition, so nothing is shuffled and a hot source or group of copies has no
+cost of its own.  The vocabulary, of bounded size, is read once by the driver
+and broadcast: no executor opens its file.
 
 Defined results: a null text counts as empty; an empty text has no ids; ids of
 null decode to the empty text; other columns of the input stay as they are.
@@ -16,7 +18,6 @@ The strings of special tokens become their ids, as in the tokenizers library.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -27,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: The characters that are encoded together; more than one text only up to here.
 PART_CHARS = 2_000_000
+#: Words, and ids of words, that a task remembers; beyond them it starts anew.
+KNOWN_WORDS, KNOWN_IDS = 500_000, 4_000_000
 
 NO_RANK = np.int32(2**31 - 1)
 
@@ -61,40 +65,47 @@ def gathered(flat: np.ndarray, at: np.ndarray, picks: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(at[picks] - ends + n, n) + np.arange(total)], ends
 
 
+def read_vocabulary(path: str) -> dict:
+    """What encoding and decoding need of a tokenizers JSON file, as plain arrays."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids: dict[str, int] = spec["model"]["vocab"]
+    letters = byte_letters()
+    of_letter = {c: b for b, c in enumerate(letters)}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    bytes_of = {i: bytes(of_letter[c] for c in s) for s, i in ids.items()}
+    bytes_of |= {i: s.encode() for s, i in special.items()}
+    width = max(bytes_of) + 1
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+    a, b, ab = (np.array([ids[x] for x in xs], np.int64) for xs in ([p[0] for p in pairs], [p[1] for p in pairs], [p[0] + p[1] for p in pairs]))
+    codes, ranks = np.unique(a * width + b, return_index=True)
+    return {
+        "first": np.array([ids[c] for c in letters], np.int32),
+        "special": special,
+        "width": width,
+        "byte_table": _laid_out([bytes_of.get(i, b"") for i in range(width)]),
+        "name_table": _laid_out([b"%d," % i for i in range(width)]),
+        "merged": ab.astype(np.int32),
+        "codes": np.append(codes, np.iinfo(np.int64).max),
+        "ranks": np.append(ranks, NO_RANK).astype(np.int32),
+    }
+
+
 class PairIndexEncoder:
-    """Encodes and decodes with the vocabulary in a tokenizers JSON file."""
-
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        ids: dict[str, int] = spec["model"]["vocab"]
-        letters = byte_letters()
-        of_letter = {c: b for b, c in enumerate(letters)}
-        self.first = np.array([ids[c] for c in letters], np.int32)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        bytes_of = {i: bytes(of_letter[c] for c in s) for s, i in ids.items()}
-        bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.width = max(bytes_of) + 1
-        self.byte_table = _laid_out([bytes_of.get(i, b"") for i in range(self.width)])
-        self.name_table = _laid_out([b"%d," % i for i in range(self.width)])
-        pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
-        a, b, ab = (np.array([ids[x] for x in xs], np.int64) for xs in ([p[0] for p in pairs], [p[1] for p in pairs], [p[0] + p[1] for p in pairs]))
-        self.merged = ab.astype(np.int32)
-        codes, self.ranks = np.unique(a * self.width + b, return_index=True)
-        self.codes, self.ranks = np.append(codes, np.iinfo(np.int64).max), np.append(self.ranks, NO_RANK).astype(np.int32)
-        # Ranks of one window use no symbol that the window makes, so their places can be merged together.
-        made: dict[int, int] = {}
-        self.window_of = np.zeros(len(pairs), np.int32)
-        start = window = 0
-        for rank, (x, y, z) in enumerate(zip(a.tolist(), b.tolist(), ab.tolist())):
-            needs = max(made.get(x, -1), made.get(y, -1))
-            if needs >= start:
-                start, window = rank, window + 1
-            made.setdefault(z, rank)
-            self.window_of[rank] = window
-        self.windows = window + 1
+    """Encodes and decodes with a vocabulary; remembers the words that it has encoded."""
+
+    def __init__(self, vocabulary: dict) -> None:
+        self.first, self.merged, self.codes, self.ranks = (vocabulary[k] for k in ("first", "merged", "codes", "ranks"))
+        self.width, self.special = vocabulary["width"], vocabulary["special"]
+        self.byte_table, self.name_table = vocabulary["byte_table"], vocabulary["name_table"]
         self.words = regex.compile(WORD_PATTERN)
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Knows the special tokens only."""
+        self.known = {w: k for k, w in enumerate(self.special)}
+        self.known_ids, self.known_at = np.array(list(self.special.values()), np.int32), np.arange(len(self.special) + 1)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair; NO_RANK where the vocabulary has none."""
@@ -115,50 +126,48 @@ class PairIndexEncoder:
         rank = np.full(n + 1, NO_RANK, np.int32)  # of the pair that begins at a place
         rank[: n - 1] = self.rank(symbols[:-1], symbols[1:])
 
-        places: dict[int, list[np.ndarray]] = {}  # the index: for each window of ranks, the places of its pairs
+        index: dict[int, list[np.ndarray]] = {}  # the places of each pair, by its rank
         active: list[int] = []
 
         def add(at: np.ndarray) -> None:
-            at = at[rank[at] < NO_RANK]
+            of = rank[at]
+            at, of = at[of < NO_RANK], of[of < NO_RANK]
             if not len(at):
                 return
-            w = self.window_of[rank[at]]
-            order = np.argsort(w, kind="stable")
-            at, w = at[order], w[order]
-            cuts = np.flatnonzero(w[1:] != w[:-1]) + 1
-            for k, part in zip(w[np.concatenate(([0], cuts))].tolist(), np.split(at, cuts)):
-                if k not in places:
-                    places[k] = []
-                    heapq.heappush(active, k)
-                places[k].append(part)
+            order = np.argsort(of, kind="stable")
+            at, of = at[order], of[order]
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(at)]
+            for r, i, j in zip(of[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(active, r)
+                index[r].append(at[i:j])
 
         add(np.flatnonzero(rank[:n] < NO_RANK).astype(np.int32))
         while active:
-            k = heapq.heappop(active)
-            lists = places.pop(k)
-            at = np.sort(np.concatenate(lists))
-            at = at[np.append(True, at[1:] != at[:-1])]
-            at = at[rank[at] < NO_RANK]
-            at = at[self.window_of[rank[at]] == k]
-            while len(at):
-                # A place goes first if its rank is below that of the pairs it overlaps; of equal ones, the left.
-                own = rank[at]
-                now = (own < rank[before[at]]) & (own <= rank[after[at]])
-                p = at[now]
-                q = after[p]
-                r = after[q]
-                symbols[p] = self.merged[own[now]]
-                symbols[q] = -2
-                rank[q] = NO_RANK
-                after[p] = r
-                before[r] = p
-                left = before[p]
-                touched = np.concatenate((p, left[left >= 0]))
-                rank[touched] = self.rank(symbols[touched], symbols[after[touched]])
-                add(touched)
-                at = at[~now]
-                at = at[rank[at] < NO_RANK]
-                at = at[self.window_of[rank[at]] == k]
+            r = heapq.heappop(active)
+            lists = index.pop(r)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            at = at[rank[at] == r]
+            if len(at) > 1:
+                # Places stand in the order of the text.  Where one pair overlaps the next, every second one counts from the first on.
+                chained = np.append(False, after[at[:-1]] == at[1:])
+                if chained.any():
+                    number = np.arange(len(at))
+                    at = at[(number - np.maximum.accumulate(np.where(chained, 0, number))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            following = after[gone]
+            symbols[at] = self.merged[r]
+            symbols[gone] = -2
+            rank[gone] = NO_RANK
+            after[at] = following
+            before[following[following < n]] = at[following < n]
+            left = before[at]
+            touched = np.concatenate((at, left[left >= 0]))
+            rank[touched] = self.rank(symbols[touched], symbols[after[touched]])
+            add(np.unique(touched))
         parts = np.cumsum(symbols >= 0)
         return symbols[symbols >= 0], np.concatenate(([0], parts[ends]))
 
@@ -177,14 +186,15 @@ class PairIndexEncoder:
         """The ids of all texts on end, and where each text's ids begin (with the end)."""
         split = [self.split(t) for t in texts]
         words = list(chain.from_iterable(split))
-        distinct = dict.fromkeys(chain(self.special, words))
-        numbers = dict(zip(distinct, range(len(distinct))))
-        new = list(distinct)[len(self.special) :]
-        ids, at = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new]) if new else (np.empty(0, np.int32), np.zeros(1, np.int64))
-        ids = np.concatenate((np.array(list(self.special.values()), np.int32), ids))
-        at = np.concatenate((np.arange(len(self.special)), at + len(self.special)))
-        own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-        out, ends = gathered(ids, at, own)
+        if len(self.known) > KNOWN_WORDS or len(self.known_ids) > KNOWN_IDS:
+            self.forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            ids, at = self.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
+            self.known_ids, self.known_at = np.concatenate((self.known_ids, ids)), np.concatenate((self.known_at, at[1:] + len(self.known_ids)))
+        own = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        out, ends = gathered(self.known_ids, self.known_at, own)
         return out, np.append(0, ends)[np.cumsum([0, *map(len, split)])]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
@@ -208,10 +218,9 @@ class PairIndexEncoder:
         return [raw[i : max(i, j - 1)] for i, j in zip(cuts, cuts[1:])]
 
 
-@functools.cache
-def encoder(path: str) -> PairIndexEncoder:
-    """One encoder for each worker and vocabulary."""
-    return PairIndexEncoder(path)
+def _shipped(path: str) -> Broadcast:
+    """The vocabulary for all workers: of bounded size, and plain arrays, so that a worker needs no copy of this module."""
+    return SparkSession.active().sparkContext.broadcast(read_vocabulary(path))
 
 
 def _parts(texts: pd.Series, most: int = PART_CHARS) -> Iterator[list[str]]:
@@ -230,9 +239,11 @@ def _parts(texts: pd.Series, most: int = PART_CHARS) -> Iterator[list[str]]:
 def encode(text: Column, vocabulary: str) -> Column:
     """array<int>: the ids of a text."""
 
+    shipped = _shipped(vocabulary)
+
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(vocabulary)
+        enc = PairIndexEncoder(shipped.value)
         for texts in batches:
             yield pd.Series([x for part in _parts(texts) for x in enc.encode_batch(part)], dtype=object)
 
@@ -242,9 +253,11 @@ def encode(text: Column, vocabulary: str) -> Column:
 def decode(ids: Column, vocabulary: str) -> Column:
     """string: the text of an array of ids; null as no ids."""
 
+    shipped = _shipped(vocabulary)
+
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(vocabulary)
+        enc = PairIndexEncoder(shipped.value)
         for rows in batches:
             yield pd.Series([enc.decode(x if x is not None else []) for x in rows], dtype=object)
 
@@ -257,9 +270,11 @@ def round_trip(text: Column, vocabulary: str) -> Column:
     One Python step, so the ids of a corpus need not pass to the JVM and back.
     """
 
+    shipped = _shipped(vocabulary)
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = PairIndexEncoder(shipped.value)
         for texts in batches:
             rows = []
             for part in _parts(texts):
