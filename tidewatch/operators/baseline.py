@@ -1,70 +1,102 @@
-"""Robust baselines: one frozen card for each flow."""
+"""Robust baselines: one frozen card for each flow, from ranks in one shuffle.
+
+Equal values of a flow are counted before the shuffle.  Then the flow's values of
+one column stand in their order, and every statistic is read off at its rank:
+the median and the quartiles in the order of the values, the median absolute
+deviation in the order of their distances from the median, which a window over
+the same partition already knows.  Windows sort and spill, so a flow of any
+length needs no value map in memory, and no second pass over the rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.exprs import robust_scale
 from ..functions.params import Params
 
-
-def _middle(col: str, approx: bool) -> F.Column:
-    return F.percentile_approx(col, 0.5) if approx else F.percentile(col, 0.5)
+#: Columns of a measurement that a card describes.
+DESCRIBED = ("rtt", "jitter", "loss_pct")
 
 
-def baseline_stats(rows: DataFrame, approx: bool = False) -> DataFrame:
-    """Counts, medians and quartiles of each flow.
+def at_rank(value: Column, upto: Column, times: Column, total: Column, share: float) -> Column:
+    """What a value adds to the quantile at ``share``, between ranks in proportion; summed over all values it is the quantile.
 
-    approx: percentile_approx, whose state is bounded, for flows of very many rows.
+    upto counts the values up to and with this one, times how often it stands there.
     """
-    q = (lambda c, x: F.percentile_approx(c, x)) if approx else (lambda c, x: F.percentile(c, x))
-    return rows.groupBy("flow_id", "route").agg(
-        F.count("*").alias("n_rows"),
-        F.count("rtt").alias("n_valid"),
-        q("rtt", 0.5).alias("median"),
-        (q("rtt", 0.75) - q("rtt", 0.25)).alias("iqr"),
-        q("jitter", 0.5).alias("jitter_typical"),
-        q("loss_pct", 0.5).alias("loss_typical"),
-    ).withColumn("response_rate", F.col("n_valid") / F.col("n_rows"))
+    rank = (total - 1) * share
+    low = F.floor(rank)
+    holds = lambda r: ((r < upto) & (r >= upto - times)).cast("double")
+    return value * (holds(low) * (low + 1 - rank) + holds(low + 1) * (rank - low))
+
+
+def order_statistics(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """(keys, column, n_rows, n, q25, q50, q75, mad) of each column; quantiles of no values are null."""
+    values = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(list(keys), list(columns), "column", "value")
+    counted = values.groupBy(*keys, "column", "value").agg(F.count("*").alias("times"))
+    group = Window.partitionBy(*keys, "column")
+    there = F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)
+    upto = lambda by: F.sum("there").over(group.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("there", there).withColumn("n", F.sum("there").over(group)).withColumn("upto", upto(F.asc_nulls_last("value")))
+    quantile = lambda q: at_rank(F.col("value"), F.col("upto"), F.col("there"), F.col("n"), q)
+    ranked = ranked.withColumn("middle", F.sum(quantile(0.5)).over(group)).withColumn("away", F.abs(F.col("value") - F.col("middle")))
+    ranked = ranked.withColumn("upto_away", upto(F.asc_nulls_last("away")))
+    mad = at_rank(F.col("away"), F.col("upto_away"), F.col("there"), F.col("n"), 0.5)
+    return ranked.groupBy(*keys, "column").agg(
+        F.sum("times").alias("n_rows"),
+        F.max("n").alias("n"),
+        *(F.sum(quantile(q)).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)),
+        F.sum(mad).alias("mad"),
+    )
 
 
-def deviation(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Rows with an rtt and their distance from their flow's median."""
-    joined = rows.where("rtt IS NOT NULL").join(stats.select("flow_id", "median"), "flow_id")
-    return joined.withColumn("distance", F.abs(F.col("rtt") - F.col("median")))
+def described(rows: DataFrame) -> DataFrame:
+    """A line for each flow: counts, medians, quartile range and MAD, whatever the number of answers."""
+    stats = order_statistics(rows, ("flow_id", "route"), DESCRIBED)
+    of = lambda column, stat: F.max(F.when(F.col("column") == column, F.col(stat)))
+    return stats.groupBy("flow_id", "route").agg(
+        of("rtt", "n_rows").alias("n_rows"),
+        of("rtt", "n").alias("n_valid"),
+        of("rtt", "q50").alias("median"),
+        (of("rtt", "q75") - of("rtt", "q25")).alias("iqr"),
+        of("rtt", "mad").alias("mad"),
+        of("jitter", "q50").alias("jitter_typical"),
+        of("loss_pct", "q50").alias("loss_typical"),
+        (of("rtt", "n") / of("rtt", "n_rows")).alias("response_rate"),
+    )
 
 
-def mad(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    return deviation(rows, stats).groupBy("flow_id").agg(F.percentile("distance", 0.5).alias("mad"))
+def distances(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(flow_id, t, distance) of every answered row from its flow's median."""
+    answered = rows.where("rtt IS NOT NULL").select("flow_id", "t", "rtt")
+    return answered.join(lines.select("flow_id", "median"), "flow_id").selectExpr("flow_id", "t", "abs(rtt - median) AS distance")
 
 
-def apply_floor(cards: DataFrame, min_valid: int) -> DataFrame:
-    """Marks flows with too few answers and takes their median and MAD away."""
-    few = F.col("n_valid") < min_valid
-    return cards.withColumn("insufficient", few).withColumn("median", F.when(~few, F.col("median"))).withColumn("mad", F.when(~few, F.col("mad")))
+def cards(rows: DataFrame, p: Params) -> DataFrame:
+    """The cards of the rows given: those with too few answers are marked, and their median and MAD are null."""
+    enough = F.col("n_valid") >= p.min_valid
+    guarded = {c: F.when(enough, F.col(c)).alias(c) for c in ("median", "mad")}
+    lines = described(rows)
+    return lines.select(*(guarded.get(c, F.col(c)) for c in lines.columns), (~enough).alias("insufficient"))
 
 
 def baseline(measured: DataFrame, p: Params) -> DataFrame:
-    rows = measured.where("period = 'A'")
-    stats = baseline_stats(rows)
-    return apply_floor(stats.join(mad(rows, stats), "flow_id", "left"), p.min_valid)
+    """The cards of period A."""
+    return cards(measured.where("period = 'A'"), p)
 
 
-def limits_by_route(cards: DataFrame, p: Params) -> DataFrame:
+def limits_by_route(frozen: DataFrame, p: Params) -> DataFrame:
     """The thresholds in milliseconds: for each route the medians of its flows' limits."""
-    m = F.col("median")
-    each = cards.where("NOT insufficient").select(
-        "route",
-        "median",
-        (m + p.z_risk * robust_scale(p)).alias("limit_z_risk"),
-        (m + p.z_fail * robust_scale(p)).alias("limit_z_fail"),
-        (m * (1 + p.increase_risk / 100)).alias("limit_increase_risk"),
-        (m * (1 + p.increase_fail / 100)).alias("limit_increase_fail"),
-    )
-    return each.groupBy("route").agg(F.count("*").alias("flows"), *(F.round(F.percentile(c, 0.5), 1).alias(c) for c in each.columns[1:]))
+    limits = {"median": F.col("median")}
+    for name, z, increase in (("risk", p.z_risk, p.increase_risk), ("fail", p.z_fail, p.increase_fail)):
+        limits[f"limit_z_{name}"] = F.col("median") + z * robust_scale(p)
+        limits[f"limit_increase_{name}"] = F.col("median") * (1 + increase / 100)
+    each = frozen.where("NOT insufficient").select("route", *(c.alias(n) for n, c in limits.items()))
+    return each.groupBy("route").agg(F.count("*").alias("flows"), *(F.round(F.percentile(n, 0.5), 1).alias(n) for n in limits))
 
 
-def median_of_medians(cards: DataFrame) -> DataFrame:
+def median_of_medians(frozen: DataFrame) -> DataFrame:
     """Each flow weighs once."""
-    return cards.agg(F.percentile("median", 0.5).alias("median_of_medians"))
+    return frozen.agg(F.percentile("median", 0.5).alias("median_of_medians"))

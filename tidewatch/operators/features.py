@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import deviated, flag, jitter_ratio, moderate, robust_z
-from ..functions.params import BASELINE_COLUMNS, Params
+from ..functions.params import BASELINE_COLUMNS, TRAILING, Params
 
 
 def attach_baseline(rows: DataFrame, cards: DataFrame) -> DataFrame:
@@ -16,23 +16,23 @@ def attach_baseline(rows: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def relative_metrics(rows: DataFrame, p: Params) -> DataFrame:
-    rows = rows.withColumn("latency_ratio", F.try_divide("rtt", "median")).withColumn("increase_pct", F.try_divide(F.col("rtt") - F.col("median"), F.col("median")) * 100)
-    rows = rows.withColumn("robust_z", robust_z(p)).withColumn("jitter_ratio", jitter_ratio(p))
-    return rows.withColumn("moderate", flag(moderate(p))).withColumn("deviated", flag(deviated(p)))
+    """Adds a measurement's relation to its card, in two steps: numbers, then the flags that read them."""
+    times = F.try_divide("rtt", "median")
+    numbers = {"latency_ratio": times, "increase_pct": F.try_divide(F.col("rtt") - F.col("median"), "median") * 100, "robust_z": robust_z(p), "jitter_ratio": jitter_ratio(p)}
+    flags = {"moderate": flag(moderate(p)), "deviated": flag(deviated(p))}
+    for step in (numbers, flags):
+        rows = rows.select("*", *(c.alias(n) for n, c in step.items()))
+    return rows
 
 
 def _trailing(rows: DataFrame, p: Params, frame, null_as_zero: bool) -> DataFrame:
-    large = flag(F.col("increase_pct") > p.increase_fail) if null_as_zero else (F.col("increase_pct") > p.increase_fail).cast("int")
-    return rows.select(
-        "*",
-        F.sum("is_timeout").over(frame).alias("n5_timeout"),
-        F.sum(large).over(frame).alias("n5_increase80"),
-        F.sum("moderate").over(frame).alias("n5_moderate"),
-        F.try_divide(F.col("rtt") - F.avg("rtt").over(frame), F.col("median")).alias("trend"),
-        F.avg("deviated").over(frame).alias("persistence"),
-        F.min("robust_z").over(frame).alias("min5_z"),
-        F.avg("robust_z").over(frame).alias("mean5_z"),
-    )
+    """The table of trailing features, and the trend, over one frame."""
+    large = F.col("increase_pct") > p.increase_fail
+    sources = {"large_increase": flag(large) if null_as_zero else large.cast("int")}
+    aggregates = {"sum": F.sum, "avg": F.avg, "min": F.min}
+    named = (aggregates[how](sources.get(c, F.col(c))).over(frame).alias(name) for name, how, c in TRAILING)
+    away = F.col("rtt") - F.avg("rtt").over(frame)
+    return rows.select("*", *named, F.try_divide(away, "median").alias("trend"))
 
 
 def window_features(rows: DataFrame, p: Params, null_as_zero: bool = False) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import epoch_s, epoch_us, rule_number, status_of
-from ..functions.params import Params
+from ..functions.exprs import class_of_line, epoch_s, epoch_us, first_line, rule_number, status_of
+from ..functions.params import FIXED_RULE, Params
 
 
 def _by_flow():
@@ -20,19 +20,21 @@ def current_labels(rows: DataFrame, p: Params) -> DataFrame:
 
 def future_labels(rows: DataFrame, p: Params) -> DataFrame:
     """status_future: the class of the horizon-th next row if it lies within the gate, in whole seconds."""
-    ahead = epoch_s(F.lead("t", p.horizon).over(_by_flow())) - epoch_s(F.col("t"))
-    rows = rows.withColumn("delta_s", ahead).withColumn("t_future", F.lead("t", p.horizon).over(_by_flow()))
-    status = F.when(F.col("delta_s").between(*p.gate), F.lead("status_now", p.horizon).over(_by_flow()))
-    return rows.withColumn("status_future", status)
+    ahead = F.lead(F.struct("t", "status_now"), p.horizon).over(_by_flow())
+    rows = rows.select("*", ahead.alias("_ahead"))
+    wait = epoch_s(F.col("_ahead.t")) - epoch_s(F.col("t"))
+    at, after = p.gate
+    come = F.when((wait >= at) & (wait <= after), F.col("_ahead.status_now"))
+    return rows.select("*", wait.alias("delta_s"), F.col("_ahead.t").alias("t_future"), come.alias("status_future")).drop("_ahead")
 
 
-def tag_block(rows: DataFrame, splits: tuple[float, float]) -> DataFrame:
-    """Adds block (train, validation, test) by instants that part the whole time range, in whole microseconds."""
-    ends = rows.agg(F.min(epoch_us(F.col("t"))).alias("_a"), F.max(epoch_us(F.col("t"))).alias("_b"))
-    cuts = ends.select(*(F.col("_a") + F.floor((F.col("_b") - F.col("_a")) * s) for s in splits)).toDF("_c1", "_c2")
+def tag_block(rows: DataFrame, splits: tuple[float, ...], names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Adds block: the part of the whole time range, cut at ``splits``, that a row lies in.  Cuts are whole microseconds after the first row."""
     us = epoch_us(F.col("t"))
-    block = F.when(us < F.col("_c1"), "train").when(us < F.col("_c2"), "validation").otherwise("test")
-    return rows.crossJoin(F.broadcast(cuts)).withColumn("block", block).drop("_c1", "_c2")
+    span = rows.agg(F.min(us).alias("_zero"), (F.max(us) - F.min(us)).alias("_length"))
+    cuts = span.select(F.array(*(F.col("_zero") + F.floor(F.col("_length") * s) for s in splits)).alias("_cuts"))
+    number = F.size(F.filter("_cuts", lambda c: c <= us))
+    return rows.crossJoin(F.broadcast(cuts)).select(*rows.columns, F.get(F.array(*map(F.lit, names)), number).alias("block"))
 
 
 def tag_block_by_rows(rows: DataFrame, order: list[str], splits: tuple[float, float], pieces: int = 64) -> DataFrame:
@@ -81,8 +83,7 @@ def verifiable(rows: DataFrame) -> DataFrame:
 
 def with_predictions(rows: DataFrame) -> DataFrame:
     """Two predictions that need no model: nothing changes, and a fixed rule on the mean z."""
-    by_rule = F.when(F.col("mean5_z") >= 3.5, "FAIL").when((F.col("mean5_z") >= 2) | (F.col("moderate") == 1), "RISK").otherwise("OK")
-    return rows.withColumn("persistence_pred", F.col("status_now")).withColumn("rule_pred", by_rule)
+    return rows.select("*", F.col("status_now").alias("persistence_pred"), class_of_line(first_line(FIXED_RULE), FIXED_RULE).alias("rule_pred"))
 
 
 def labelled(rows: DataFrame, p: Params) -> DataFrame:

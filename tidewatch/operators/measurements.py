@@ -22,30 +22,32 @@ def route(origin: str, region: str) -> Column:
     return F.concat(F.lit(origin + "→"), F.col(region))
 
 
+def tag_by_age(df: DataFrame, ages: dict[str, int], into: str) -> DataFrame:
+    """Adds the name of the last span that has begun; ages: hours after the first instant of the whole table, ascending."""
+    began = F.array(*(F.col("_zero") + F.expr(f"INTERVAL {hours} HOURS") for hours in ages.values()))
+    passed = F.size(F.filter(began, lambda b: b <= F.col("t")))
+    zero = df.agg(F.min("t").alias("_zero"))
+    return df.crossJoin(F.broadcast(zero)).select(*df.columns, F.element_at(F.array(*map(F.lit, ages)), passed).alias(into))
+
+
 def tag_period(df: DataFrame, hours: int) -> DataFrame:
     """Adds period: A for the hours after the first instant of the whole table, then B."""
-    first = df.agg(F.min("t").alias("_first"))
-    early = F.col("t") < F.col("_first") + F.expr(f"INTERVAL {hours} HOURS")
-    return df.crossJoin(F.broadcast(first)).withColumn("period", F.when(early, "A").otherwise("B")).drop("_first")
+    return tag_by_age(df, {"A": 0, "B": hours}, "period")
 
 
 def measurements(bursts: DataFrame, origin: str = "net") -> DataFrame:
     """One row for each burst: flow, time, rtt, jitter, loss, timeout."""
-    rtts = bursts.withColumn("_rtts", valid_rtts(F.col("pings")))
-    rows = rtts.select(
-        flow_id("prb_id", "dst_addr", "msm_id").alias("flow_id"),
-        "prb_id",
-        "dst_addr",
-        "msm_id",
-        route(origin, "destination_region").alias("route"),
-        "destination_country",
-        "destination_region",
-        F.col("start_time").alias("t"),
-        array_mean(F.col("_rtts")).alias("rtt"),
-        mean_step(F.col("_rtts")).alias("jitter"),
-        loss_pct(F.col("packets_sent"), F.col("packets_received")).alias("loss_pct"),
-    )
-    return rows.withColumn("is_timeout", timeout_flag(F.col("rtt"), F.col("loss_pct")))
+    answers, rtt, loss = F.col("_answers"), F.col("rtt"), F.col("loss_pct")
+    place = {
+        "flow_id": flow_id("prb_id", "dst_addr", "msm_id"),
+        **{c: F.col(c) for c in ("prb_id", "dst_addr", "msm_id")},
+        "route": route(origin, "destination_region"),
+        **{c: F.col(c) for c in ("destination_country", "destination_region")},
+        "t": F.col("start_time"),
+    }
+    measured = {"rtt": array_mean(answers), "jitter": mean_step(answers), "loss_pct": loss_pct(F.col("packets_sent"), F.col("packets_received"))}
+    rows = bursts.select("*", valid_rtts(F.col("pings")).alias("_answers")).select(*(c.alias(n) for n, c in (place | measured).items()))
+    return rows.select("*", timeout_flag(rtt, loss).alias("is_timeout"))
 
 
 def measure(bursts: DataFrame, p: Params) -> DataFrame:
