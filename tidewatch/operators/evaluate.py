@@ -84,28 +84,33 @@ def _numbered_by_ranges(rows: DataFrame, key: str, pieces: int = 64) -> DataFram
     return ranged.join(F.broadcast(counts), "_range").withColumn("_no", F.col("_before") + place).drop("_range", "_before")
 
 
-def bootstrap_ci(df: DataFrame, pred_a: str, pred_b: str, resamples: int, key: str = "flow_id", pieces: int = 64, chunk: int = 4_096) -> DataFrame:
-    """95 % interval of the difference in macro F1, resampling whole flows; draws follow from MD5 hashes.
-
-    Each flow is one row of counts (hits, predictions and support of each class)
-    and has a number; every resample draws as many numbers as there are flows, in
-    pieces, and the counts of the drawn flows are summed.
-    """
-    truth, sums = F.col("status_future"), []
+def flow_counts(df: DataFrame, preds: dict[str, str], key: str = "flow_id") -> DataFrame:
+    """One numbered row for each flow with verified rows: its rows, and support, hits and sayings of each class for each named prediction."""
+    truth, sums = F.col("status_future"), [F.count("*").alias("_rows")]
     for c in CLASSES:
         sums.append(F.count_if(truth == c).alias(f"_support_{c}"))
-        for m, pred in (("a", pred_a), ("b", pred_b)):
+        for m, pred in preds.items():
             sums += [F.count_if((truth == c) & (F.col(pred) == c)).alias(f"_hit_{m}_{c}"), F.count_if(F.col(pred) == c).alias(f"_said_{m}_{c}")]
-    flows = df.where("status_future IS NOT NULL").groupBy(key).agg(*sums)
+    return _numbered_by_ranges(df.where("status_future IS NOT NULL").groupBy(key).agg(*sums), key)
+
+
+def bootstrap_draws(flows: DataFrame, resamples: int, pieces: int = 64, chunk: int = 4_096) -> DataFrame:
+    """(resample, _no): as many numbers of flows for each resample as there are flows.  They follow from MD5 hashes and are made in pieces."""
     f = flows.agg(F.count("*").alias("_f"))
-    ids = df.sparkSession.range(resamples * pieces).select(F.expr(f"id DIV {pieces}").alias("resample"), (F.col("id") % pieces).alias("_piece"))
+    ids = flows.sparkSession.range(resamples * pieces).select(F.expr(f"id DIV {pieces}").alias("resample"), (F.col("id") % pieces).alias("_piece"))
     first = lambda piece: F.floor(F.col("_f") * piece / pieces).cast("long")
     parts = ids.crossJoin(F.broadcast(f)).select("resample", "_f", first(F.col("_piece")).alias("_a"), first(F.col("_piece") + 1).alias("_b")).where("_a < _b")
     parts = parts.select("resample", "_f", "_b", F.explode(F.sequence("_a", F.col("_b") - 1, F.lit(chunk).cast("long"))).alias("_c"))
     draws = parts.select("resample", "_f", F.explode(F.sequence("_c", F.least(F.col("_c") + chunk, "_b") - 1)).alias("_i"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", "resample", "_i")), 1, 8), 16, 10).cast("long") % F.col("_f")
-    counts = [c for c in flows.columns if c != key]
-    drawn = draws.select("resample", number.alias("_no")).join(_numbered_by_ranges(flows, key).drop(key), "_no").groupBy("resample").agg(*(F.sum(c).alias(c) for c in counts))
+    return draws.select("resample", number.alias("_no"))
+
+
+def bootstrap_ci(df: DataFrame, pred_a: str, pred_b: str, resamples: int, key: str = "flow_id", pieces: int = 64, chunk: int = 4_096) -> DataFrame:
+    """95 % interval of the difference in macro F1, resampling whole flows: the counts of the drawn flows are summed."""
+    flows = flow_counts(df, {"a": pred_a, "b": pred_b}, key)
+    counts = [c for c in flows.columns if c not in (key, "_no", "_rows")]
+    drawn = bootstrap_draws(flows, resamples, pieces, chunk).join(flows, "_no").groupBy("resample").agg(*(F.sum(c).alias(c) for c in counts))
 
     def macro(m: str) -> Column:
         each = []
@@ -128,11 +133,21 @@ def counters(df: DataFrame, instant: Column) -> DataFrame:
     return now.agg(F.count("*").alias("n"), *(F.count_if(F.col("status_now") == c).alias(f"n_{c.lower()}") for c in CLASSES), F.count_if(F.col("is_timeout") == 1).alias("n_timeout"), F.count_if(F.col("status_future").isNull()).alias("n_without_future"))
 
 
-def score_curve(df: DataFrame, pred: str, by: str = "region") -> DataFrame:
-    """Running hits and verified rows along t_future in each group."""
-    order = Window.partitionBy(by).orderBy("t_future", "flow_id", "t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.where("status_future IS NOT NULL")
-    return rows.select(by, "flow_id", "t_future", F.count("*").over(order).alias("verified"), F.sum((F.col(pred) == F.col("status_future")).cast("long")).over(order).alias("hits"))
+def score_curve(df: DataFrame, pred: str, by: str = "region", bucket_s: int = 86_400) -> DataFrame:
+    """Running hits and verified rows along t_future in each group.
+
+    Time buckets of a group are summed first; their sums are cumulated, and a row's
+    place within its bucket is added, so no task orders a whole group.
+    """
+    bucket = F.floor(F.col("t_future").cast("timestamp").cast("long") / bucket_s)
+    rows = df.where("status_future IS NOT NULL").select(by, "flow_id", "t", "t_future", (F.col(pred) == F.col("status_future")).cast("long").alias("_hit"), bucket.alias("_bucket"))
+    sums = rows.groupBy(by, "_bucket").agg(F.count("*").alias("_n"), F.sum("_hit").alias("_h"))
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    starts = sums.select(F.col(by).alias("_by"), F.col("_bucket").alias("_of"), start("_n").alias("_n0"), start("_h").alias("_h0"))
+    placed = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_of")))
+    own = Window.partitionBy(by, "_bucket").orderBy("t_future", "flow_id", "t").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select(by, "flow_id", "t_future", (F.col("_n0") + F.count("*").over(own)).alias("verified"), (F.col("_h0") + F.sum("_hit").over(own)).alias("hits"))
 
 
 def global_curve(df: DataFrame, pred: str, bucket_s: int) -> DataFrame:

@@ -48,12 +48,17 @@ def lookup_at(rows: DataFrame) -> DataFrame:
 
 
 def count_between(rows: DataFrame) -> DataFrame:
-    """For verifiable rows, how many rows of the flow lie in (t, t_future]."""
-    ask = rows.where("status_future IS NOT NULL").select("flow_id", "t", "t_future")
-    have = rows.select("flow_id", F.col("t").alias("t_row"))
-    hit = (F.col("t_row") > F.col("t")) & (F.col("t_row") <= F.col("t_future"))
-    a = ask.alias("a")
-    return a.join(have.alias("h"), (F.col("a.flow_id") == F.col("h.flow_id")) & hit).groupBy("a.flow_id", "t").agg(F.count("*").alias("n_between"))
+    """For verifiable rows, how many rows of the flow lie in (t, t_future].
+
+    The number of rows up to an instant is a running count over rows and asked
+    instants together, so a flow's work grows with its rows, not with their pairs.
+    """
+    ask = rows.where("status_future IS NOT NULL").select("flow_id", "t", F.explode(F.array(F.struct(F.col("t").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("t_future").alias("at"), F.lit(1).alias("sign")))).alias("end"))
+    asked = ask.select("flow_id", "t", "end.at", "end.sign", F.lit(0).alias("there"))
+    have = rows.select("flow_id", F.lit(None).cast(dict(rows.dtypes)["t"]).alias("t"), F.col("t").alias("at"), F.lit(0).alias("sign"), F.lit(1).alias("there"))
+    upto = Window.partitionBy("flow_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = asked.unionByName(have).withColumn("upto", F.sum("there").over(upto)).where("sign <> 0")
+    return counted.groupBy("flow_id", "t").agg(F.sum(F.col("sign") * F.col("upto")).alias("n_between"))
 
 
 def as_of(rows: DataFrame, instant: Column) -> DataFrame:
@@ -80,8 +85,8 @@ def restrict(rows: DataFrame, probes: DataFrame, destinations: DataFrame) -> Dat
     return rows.join(probes, "probe").join(destinations, "destination")
 
 
-def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tol: float) -> DataFrame:
-    """Keys that only one table has, that repeat, or whose values differ by more than tol."""
+def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tol: float, rel: float = 0.0) -> DataFrame:
+    """Keys that only one table has, that repeat, or whose values differ by more than tol and by more than their share rel."""
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count("*").alias(f"_n{name}"), *(F.first(v).alias(f"{v}_{name}") for v in values))
 
@@ -89,7 +94,8 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], values: list[str
     apart = []
     for v in values:
         x, y = F.col(f"{v}_a"), F.col(f"{v}_b")
-        far = F.abs(x - y) > tol if dict(a.dtypes)[v] in ("double", "float", "int", "bigint") else ~x.eqNullSafe(y)
+        room = F.greatest(F.lit(tol), rel * F.greatest(F.abs(x), F.abs(y))) if rel else F.lit(tol)
+        far = F.abs(x - y) > room if dict(a.dtypes)[v] in ("double", "float", "int", "bigint") else ~x.eqNullSafe(y)
         apart.append(F.when(x.isNull() != y.isNull(), True).otherwise(F.coalesce(far, F.lit(False))))
     why = F.when(F.col("_na").isNull(), "only_b").when(F.col("_nb").isNull(), "only_a").when((F.col("_na") > 1) | (F.col("_nb") > 1), "repeated").when(reduce(lambda p, q: p | q, apart), "differs")
     return both.withColumn("why", why).where("why IS NOT NULL").select(*keys, "why")
@@ -147,3 +153,8 @@ def different_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows, with repeats, that only one table holds; equal tables give none."""
     cols = a.columns
     return a.exceptAll(b.select(*cols)).withColumn("side", F.lit("a")).unionByName(b.select(*cols).exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def candidates(places: DataFrame, wanted: DataFrame, known: DataFrame, key: str, group: str) -> DataFrame:
+    """Keys of places in a wanted group that are not known yet."""
+    return places.join(wanted.select(group), group, "left_semi").join(known.select(key), key, "left_anti").select(key)
