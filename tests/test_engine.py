@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
 from tidewatch.functions.params import Params
+from tidewatch.operators import audits as U
 from tidewatch.operators import baseline as B
 from tidewatch.operators import checks as C
 from tidewatch.operators import evaluate as E
@@ -124,8 +125,68 @@ def test_results_csv_history_replay(spark, tmp_path):
     assert S.read_layer(spark, f"{tmp_path}/h", "scoring").count() == 2
     with pytest.raises(FileNotFoundError):
         S.read_layer(spark, f"{tmp_path}/none", "scoring")
-    doc = S.export_replay(spark.createDataFrame([("f", 1, T, None, 1, "OK", None)], "flow_id string, region int, t timestamp_ntz, rtt double, is_timeout int, status_now string, status_future string")).first().document
-    assert json.loads(doc)["rows"][0]["rtt"] is None
+
+
+def test_replay_documents(spark):
+    rows = [("f", 1, T + dt.timedelta(hours=h), 2.0, 0, "OK", "RISK", "FAIL" if h < 40 else None, T + dt.timedelta(hours=h + 3)) for h in range(0, 50, 2)] + [("g", 2, T, None, 1, "FAIL", None, None, None)]
+    df = spark.createDataFrame(rows, "flow_id string, region int, t timestamp_ntz, rtt double, is_timeout int, status_now string, prediction string, status_future string, t_future timestamp_ntz")
+    model = spark.createDataFrame([("fixed", 0)], "model string, trees int")
+    docs = S.export_replay(df, {"block": "validation"}, model).cache()
+    assert {r.part: r.n for r in docs.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"meta": 1, "model": 1, "flow": 2, "rows": 4}
+    meta = json.loads(docs.where("part = 'meta'").first().document)
+    assert (meta["block"], meta["rows"], meta["flows"], meta["first_t"]) == ("validation", 26, 2, "2024-01-01T00:00:00.000000")
+    assert json.loads(docs.where("key LIKE 'g|%'").first().document)["rows"][0]["rtt"] is None
+    back, flows = S.read_replay(docs)
+    assert U.replay_faults(back, flows).count() == 0
+    cols = ["flow_id", "t", "rtt", "status_now", "prediction", "status_future", "t_future"]
+    assert J.different_rows(back.select(*cols), df.select(*cols)).count() == 0
+    bad = back.withColumn("status_now", F.when(F.hour("t") == 2, "ODD").otherwise(F.col("status_now"))).withColumn("verifiable", F.col("verifiable") | (F.hour("t") == 4)).withColumn("in_order", F.hour("t") != 6).withColumn("t_future", F.when(F.hour("t") == 8, F.col("t")).otherwise(F.col("t_future")))
+    found = {(r.flow_id, r.t.hour, tuple(r.faults)) for r in U.replay_faults(bad, flows.where("flow_id = 'f'")).collect() if r.t.day == 1}
+    assert found == {("f", 2, ("class",)), ("f", 6, ("order",)), ("f", 8, ("time",)), ("g", 0, ("unknown flow",))}
+    assert U.outside_block(back.unionByName(back.where("flow_id = 'g'")), df.withColumn("block", F.when(F.col("t") < F.lit("2024-01-02").cast("timestamp_ntz"), "a").otherwise("b")), "b").groupBy("fault").count().count() == 2
+
+
+def test_iso_instants(spark):
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-01-01T02:30:00+02:30",), ("2024-01-01 00:00:00",), (None,)], "text string")
+    assert [r.x for r in df.select(X.parse_iso_utc(F.col("text")).alias("x")).collect()] == [T, T, T, None]
+    with pytest.raises(Exception, match="not an ISO instant"):
+        spark.createDataFrame([("yesterday",)], "text string").select(X.parse_iso_utc(F.col("text"))).collect()
+
+
+def test_layers_reports_and_counts(spark, tmp_path):
+    """Snapshot, small CSV, metric tables, expected counts, schemas, classes of a split, pages by key."""
+    df = spark.createDataFrame([(i, "abc"[i % 3], float(i)) for i in range(9)], "k int, s string, v double")
+    df.write.parquet(f"{tmp_path}/source")
+    copy, source = S.snapshot(spark, "parquet", {}, f"{tmp_path}/source", f"{tmp_path}/copy")
+    assert J.different_rows(copy, source).count() == 0 and C.same_schema(copy, source) == []
+    assert C.same_schema(copy, source.select("k", F.col("v").cast("int").alias("v"))) == [("s", "string", None), ("v", "double", "int")]
+    S.write_report(df.orderBy("k"), f"{tmp_path}/report")
+    assert S.read_csv(spark, f"{tmp_path}/report", "k int, s string, v double", ",").count() == 9
+    both = S.write_metrics({"a": df, "b": df.limit(2)}, f"{tmp_path}/metrics")
+    assert {r.model: r["count"] for r in both.groupBy("model").count().collect()} == {"a": 9, "b": 2}
+    counts = {"rows": F.count("*"), "kinds": F.count_distinct("s")}
+    assert [tuple(r) for r in C.expected_counts(df, {"rows": 9, "kinds": 4}, counts).select("name", "found", "expected").collect()] == [("kinds", 3, 4)]
+    split = spark.createDataFrame([("x", c) for c in ("OK", "RISK", "FAIL")] + [("y", "OK")], "block string, status string")
+    assert [(r.block, sorted(r.missing)) for r in C.all_classes_present(split, "block", "status").collect()] == [("y", ["FAIL", "RISK"])]
+    times = spark.createDataFrame([(T + dt.timedelta(seconds=i // 2), i) for i in range(10)], "t timestamp_ntz, k int")
+    first = E.page_after(times, "t", "k", (T + dt.timedelta(seconds=99), 0), 3).collect()
+    then = E.page_after(times, "t", "k", (first[-1].t, first[-1].k), 3).collect()
+    assert [r.k for r in first + then] == [9, 8, 7, 6, 5, 4]
+
+
+def test_audits_find_seeded_faults(spark):
+    blk = spark.createDataFrame([("f", T + dt.timedelta(hours=i), "train" if i < 5 else "validation" if i < 7 else "test", ("OK", "RISK", "FAIL")[i % 3]) for i in range(10)], "flow_id string, t timestamp_ntz, block string, status_now string")
+    assert [(r.block, r.fault) for r in U.block_order_faults(blk).orderBy("block").collect()] == [("validation", "lacks a class")]
+    mixed = blk.withColumn("block", F.when(F.hour("t") == 3, "test").otherwise(F.col("block"))).where("block <> 'validation'")
+    assert {(r.block, r.fault) for r in U.block_order_faults(mixed).collect()} == {("validation", "absent")}
+    late = blk.withColumn("block", F.when(F.hour("t") == 1, "validation").otherwise(F.col("block")))
+    assert ("validation", "overlaps") in {(r.block, r.fault) for r in U.block_order_faults(late).collect()}
+    x = spark.createDataFrame([(1.0, 2, None), (None, 3, 1.0)], "a double, b int, c double")
+    assert {(r["column"], r.fault) for r in U.feature_faults(x, x.na.fill(0, ["c"]), ("a", "b", "d")).collect()} == {("d", "missing"), ("c", "undeclared"), ("b", "not double"), ("c", "nulls changed")}
+    results = spark.createDataFrame([("m1", 0.70, 1), ("m2", 0.71, 2), ("m3", 0.72, 3), ("m4", 0.5, 0)], "model string, f1 double, size int")
+    best = lambda name: results.where(F.col("model") == name)
+    faults = lambda name: {(r.model, r.fault) for r in U.choice_faults(results, best(name), "model", "f1", "size", 0.015).collect()}
+    assert faults("m2") == set() and faults("m3") == {("m2", "simpler")} and faults("m4") == {("m4", "out of tolerance")}
 
 
 def test_checks_and_decode(spark):

@@ -1,5 +1,8 @@
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
+from tidewatch.operators import audits as U
 from tidewatch.operators import models as ML
 from tidewatch.operators.labels import usable_rows
 from tidewatch.plans.registry import Chain
@@ -45,3 +48,14 @@ def test_contrast_and_simple(spark, blocks):
     assert {"rtt", "region_0"} <= {r["column"] for r in importance.collect()}
     _, accuracy = ML.simple_tree(rows)
     assert {r.block for r in accuracy.collect()} == {"train", "validation", "test"}
+
+
+def test_leaf_rules_select_their_rows(spark, blocks, tmp_path):
+    """Every row lies in the leaf whose intervals it meets, and in no other."""
+    rows, train, validation = blocks
+    model = ML.fit_tree(train, depth=4)
+    rules = U.leaf_rules(model, ML.feature_names(ML.ALL_COLUMNS), f"{tmp_path}/tree", train)
+    assert len(rules) == len({r.leaf for r in model.transform(train).select("leaf").collect()}) >= 3
+    scored = model.transform(validation).select("flow_id", "t", "leaf", vector_to_array("features").alias("features"))
+    assert U.leaf_faults(scored, rules).count() == 0
+    assert U.leaf_faults(scored.withColumn("leaf", F.col("leaf") + 1), rules).count() == scored.count()

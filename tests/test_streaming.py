@@ -1,8 +1,10 @@
-from datetime import timedelta
+import os
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tidewatch.functions.params import EVENT_PARAMS as P
+from tidewatch.functions.params import Params
 from tidewatch.operators import features as FT
 from tidewatch.operators import labels as L
 from tidewatch.sources.adapters import event_measurements
@@ -51,6 +53,66 @@ def test_stream_equals_batch(spark, tmp_path):
     assert live.freshness(sink, "2100-01-01", 60).first().stopped
 
 
+def land(spark, rows, folder, name, tmp_path):
+    """Rows as one JSON file of the source, after the files before it."""
+    spark.createDataFrame(rows, live.MEASUREMENT_SCHEMA).coalesce(1).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{tmp_path}/made-{name}")
+    (made,) = (f for f in os.listdir(f"{tmp_path}/made-{name}") if f.endswith(".json"))
+    os.makedirs(folder, exist_ok=True)
+    os.rename(f"{tmp_path}/made-{name}/{made}", f"{folder}/{name}.json")
+
+
+def test_late_dropped_ignored_and_expiring_rows(spark, tmp_path):
+    """A repeat in a later file, a late row within the watermark, one beyond it, a flow without a card, a row at the start, a future that never comes."""
+    p = Params(min_valid=2, baseline_hours=2, gate=(600, 840))
+    t0 = datetime(2024, 1, 1)
+    at = lambda minutes: t0 + timedelta(minutes=minutes)
+    row = lambda flow, minutes, rtt=10.0: (flow, at(minutes), rtt, 1.0, 0.0, 0)
+    history = spark.createDataFrame([("a", at(-k), 10.0 + k % 3, 1.0, 0.0, 0, "r") for k in range(1, 60)], f"{live.MEASUREMENT_SCHEMA}, route string")
+    live.freeze_baseline(history, str(t0), p, f"{tmp_path}/cards", "m")
+    cards = live.start_or_resume(spark, f"{tmp_path}/cards", "m")
+    files = [
+        [row("a", 0), row("a", 4), row("a", 8), row("none", 5)],
+        [row("a", 16), row("a", 8), row("a", 20, 50.0)],
+        [row("a", 12, 40.0), row("a", 24)],  # 12 comes 8 minutes late and takes its place
+        [row("a", 120), row("a", 28)],
+        [row("a", 6, 99.0), row("a", 200)],  # 6 lies behind the watermark
+        [row("a", 400)],
+        [row("a", 900)],
+    ]
+    for k, rows in enumerate(files):
+        land(spark, rows, f"{tmp_path}/stream", str(k), tmp_path)
+        live.run_available(live.live(live.read_bursts(spark, f"{tmp_path}/stream"), cards, p, str(t0), "30 minutes", 1800), f"{tmp_path}/sink", f"{tmp_path}/checkpoint")
+    sink = spark.read.parquet(f"{tmp_path}/sink").cache()
+    minutes = lambda kind: sorted((r.t - t0).total_seconds() // 60 for r in sink.where(F.col("kind") == kind).collect())
+    survived = [4, 8, 12, 16, 20, 24, 28, 120, 200, 400, 900]
+    assert minutes("predicted") == survived and sink.where("flow_id <> 'a'").count() == 0
+    kept = spark.createDataFrame([row("a", m, {12: 40.0, 20: 50.0}.get(m, 10.0)) for m in survived], live.MEASUREMENT_SCHEMA).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    batch = L.future_labels(L.current_labels(FT.features(kept.withColumn("period", F.lit("B")), cards, p), p), p).collect()
+    want = {(r.t - t0).total_seconds() // 60: r.status_future for r in batch if r.status_future}
+    verified = {(r.t - t0).total_seconds() // 60: r.status for r in sink.where("kind = 'verified'").collect()}
+    assert verified == want == {4: want[4], 8: want[8], 12: want[12], 16: want[16]}
+    assert set(minutes("expired")) >= {20, 24, 28, 120} and not set(minutes("expired")) & set(want)
+    board = live.live_scoreboard(sink).first()
+    account = {r.kind: r for r in live.sink_account(sink).collect()}
+    assert account["predicted"].n == account["predicted"].keys == len(survived) and account["verified"].n == board.verified == 4
+    frozen = {r.t: r.prediction for r in sink.where("kind = 'predicted'").collect()}
+    assert board.hits == sum(frozen[r.t] == r.status for r in sink.where("kind = 'verified'").collect())
+
+
+def test_backfill_equals_batch(spark, tmp_path):
+    """A run that starts in the past and takes the rows since as if they arrived."""
+    meas = event_measurements(spark, SF)
+    newest = meas.agg(F.max("t")).first()[0]
+    hours = 200
+    sink = live.backfill(meas, newest, hours, P, str(tmp_path), "m", 100, "2 days", 172_800).cache()
+    start = newest - timedelta(hours=hours)
+    cards = live.start_or_resume(spark, f"{tmp_path}/cards", "m")
+    after = meas.where(F.col("t") > F.lit(str(start)).cast("timestamp_ntz")).withColumn("period", F.lit("B"))
+    want = {(r.flow_id, r.t): (r.rule, r.status_now) for r in L.current_labels(FT.features(after, cards, P), P).collect()}
+    got = {(r.flow_id, r.t): (r.rule, r.status) for r in sink.where("kind = 'predicted'").collect()}
+    assert want and got == want
+
+
 def test_other_model_is_refused(spark, tmp_path):
     import pytest
 

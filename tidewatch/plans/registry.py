@@ -9,6 +9,7 @@ sums depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.params import EVENT_PARAMS as P
 from ..functions.params import HIDDEN_COLUMNS, MODEL_COLUMNS
+from ..operators import audits as U
 from ..operators import baseline as B
 from ..operators import checks as C
 from ..operators import evaluate as E
@@ -24,6 +26,7 @@ from ..operators import geo as G
 from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import measurements as M
+from ..operators import models as MD
 from ..sources import adapters as A
 from ..sources import files as S
 from .sql import KM, steps
@@ -55,10 +58,22 @@ class Chain:
     def bursts(self) -> DataFrame:
         return A.order_bursts(self.spark, self.sf_dir)
 
+    @property
+    def lines(self) -> DataFrame:
+        """The flows of period A described, before the floor."""
+        return B.described(self.meas.where("period = 'A'"))
+
     @property
     def orders(self) -> DataFrame:
         return M.measurements(self.bursts)
 
+    @property
+    def replay(self) -> DataFrame:
+        """The validation block as replay documents."""
+        rows = self.blk.where("block = 'validation'").withColumn("prediction", F.col("rule_pred"))
+        models = self.spark.range(2).select(F.element_at(F.array(F.lit("rule"), F.lit("persistence")), F.col("id").cast("int") + 1).alias("model"))
+        return S.export_replay(rows, {"block": "validation"}, models)
+
     @property
     def hubs(self) -> DataFrame:
         return A.hubs(self.spark, self.sf_dir)
@@ -129,7 +144,7 @@ query("p21_verifiable", "SELECT flow_id, t, status_future IS NOT NULL AS verifia
 query("p22_select_features", f"SELECT {_six('robust_z', 'increase_pct', 'jitter_ratio', 'loss_pct')}, is_timeout, n5_timeout, n5_increase80, n5_moderate FROM fut")(lambda c: C.select_features(c.fut.drop("delta_s", "median", "mad", "iqr", "jitter_typical", "persistence_pred", "rule_pred", "min5_z", "mean5_z"), MODEL_COLUMNS, HIDDEN_COLUMNS))
 query("p23_one_hot", "SELECT flow_id, t, " + ", ".join(f"CAST(CASE WHEN region = {k} THEN 1 ELSE 0 END AS DOUBLE) AS region_{k}" for k in range(5)) + " FROM blk")(lambda c: C.one_hot(c.blk, "region", list(range(5))).select("flow_id", "t", *(f"region_{k}" for k in range(5))))
 query("p24_zero_fill", "SELECT flow_id, t, round(coalesce(robust_z, 0), 6) AS robust_z, coalesce(n5_increase80, 0) AS n5_increase80 FROM feat")(lambda c: c.feat.select("flow_id", "t", "robust_z", "n5_increase80").na.fill(0))
-query("p25_null_unanswered", "SELECT o_orderkey, CASE WHEN packets_received > 0 THEN packets_sent END AS answered FROM bursts0 WHERE o_orderkey IN (SELECT o_orderkey FROM orders)")(lambda c: c.bursts.select("o_orderkey", F.when(F.col("packets_received") > 0, F.col("packets_sent")).alias("answered")))
+query("p25_null_unanswered", "SELECT o_orderkey, CASE WHEN packets_received > 0 THEN packets_sent END AS answered FROM bursts0 WHERE o_orderkey IN (SELECT o_orderkey FROM orders)")(lambda c: S.without_unanswered(c.bursts.select("o_orderkey", "packets_received", F.col("packets_sent").alias("answered")), ("answered",), "packets_received").drop("packets_received"))
 query("p26_source_filter", "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAYS AND value > 0")(lambda c: S.source_filter(c.table("events"), "ts", 7).where("value > 0").select("event_id", "ts"))
 query("p27_recent", "SELECT flow_id, t FROM meas WHERE t > (SELECT max(t) FROM meas) - INTERVAL 24 HOURS")(lambda c: S.recent(c.meas, 24).select("flow_id", "t"))
 query("p28_display_round", "SELECT flow_id, t, round(rtt, 2) AS rtt FROM meas")(lambda c: c.meas.select("flow_id", "t", F.round("rtt", 2).alias("rtt")))
@@ -137,8 +152,8 @@ query("p29_as_of", f"SELECT count(*) AS n FROM fut WHERE t <= {AT}")(lambda c: J
 
 # Joins
 query("j1_attach_baseline", f"SELECT flow_id, t, {_six('median', 'iqr')} FROM rel")(lambda c: c.joined.select("flow_id", "t", "median", "iqr"))
-query("j2_stats_with_mad", f"SELECT s.flow_id, {_six('median0', 'mad0')} FROM stats s LEFT JOIN mads d ON s.flow_id = d.flow_id")(lambda c: B.baseline_stats(c.meas.where("period = 'A'")).withColumnRenamed("median", "median0").select("flow_id", "median0").join(B.mad(c.meas.where("period = 'A'"), B.baseline_stats(c.meas.where("period = 'A'"))).withColumnRenamed("mad", "mad0"), "flow_id", "left"))
-query("j3_deviation", "SELECT m.flow_id, t, round(abs(rtt - median0), 6) AS distance FROM meas m JOIN stats s ON m.flow_id = s.flow_id WHERE period = 'A' AND rtt IS NOT NULL")(lambda c: B.deviation(c.meas.where("period = 'A'"), B.baseline_stats(c.meas.where("period = 'A'"))).select("flow_id", "t", "distance"))
+query("j2_stats_with_mad", f"SELECT s.flow_id, {_six('median0', 'mad0')} FROM stats s LEFT JOIN mads d ON s.flow_id = d.flow_id")(lambda c: c.lines.select("flow_id", F.col("median").alias("median0"), F.col("mad").alias("mad0")))
+query("j3_deviation", "SELECT m.flow_id, t, round(abs(rtt - median0), 6) AS distance FROM meas m JOIN stats s ON m.flow_id = s.flow_id WHERE period = 'A' AND rtt IS NOT NULL")(lambda c: B.distances(c.meas.where("period = 'A'"), c.lines))
 query("j4_with_scalar", "SELECT flow_id, t, round(rtt - (SELECT max(rtt) FROM meas), 6) AS below FROM meas")(lambda c: J.with_scalar(c.meas, c.meas.agg(F.max("rtt").alias("top"))).select("flow_id", "t", (F.col("rtt") - F.col("top")).alias("below")))
 query("j5_missing_baseline", "SELECT DISTINCT flow_id FROM meas WHERE flow_id NOT IN (SELECT flow_id FROM card WHERE n_valid >= 40)")(lambda c: J.missing_baseline(c.meas, c.card.where("n_valid >= 40")))
 query("j6_range_window", f"SELECT flow_id, t, {_six('min5_z', 'mean5_z')} FROM feat")(lambda c: J.range_window(c.rel, 5, "robust_z").select("flow_id", "t", F.col("min_k").alias("min5_z"), F.col("mean_k").alias("mean5_z")))
@@ -156,7 +171,7 @@ query("j14_compare_tables", "SELECT flow_id, t, CASE WHEN t < (SELECT min(t) FRO
 )
 query("j15_present_in_all", "SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey HAVING count(DISTINCT o_orderpriority) = 5")(lambda c: J.present_in_all(c.table("orders").join(c.table("customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "o_orderpriority", 5))
 query("j16_candidates", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")(
-    lambda c: c.table("supplier").join(c.table("nation").where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").join(c.table("lineitem").where("l_quantity > 49"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
+    lambda c: J.candidates(c.table("supplier"), c.table("nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey")), c.table("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "s_nationkey")
 )
 _PLACES = "SELECT c.flow_id, h.hub AS place, h.lon, h.lat, o.lon AS from_lon, o.lat AS from_lat FROM card c JOIN hub o ON o.hub = CAST(c.flow_id AS INTEGER) % 25 JOIN hub h ON h.region = o.region"
 query("j17_feasible", f"SELECT flow_id, place, round(rtt_min, 6) AS rtt_min FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY rtt_min, place) AS k, bool_or(rtt_min <= median) OVER (PARTITION BY flow_id) AS any_ok FROM (SELECT a.flow_id, a.place, c.median, 2 * {KM} / 200.0 AS rtt_min FROM (SELECT flow_id, place, from_lon AS lon, from_lat AS lat, lon AS blon, lat AS blat FROM ({_PLACES})) a JOIN (SELECT hub, lon, lat FROM hub) b ON b.hub = a.place JOIN card c ON c.flow_id = a.flow_id WHERE NOT c.insufficient)) WHERE rtt_min <= median OR (NOT any_ok AND k = 1)")(lambda c: G.feasible_places(c.card, c.hubs).select("flow_id", "place", "rtt_min"))
@@ -164,8 +179,8 @@ query("j18_nearest", f"SELECT probe, arg_min(hub, km * 1000000 + hub) AS hub, ro
 query("j19_new_rows", "SELECT count(*) AS n FROM meas WHERE period = 'B'")(lambda c: J.new_rows(c.meas, c.meas.where("period = 'A'")).agg(F.count("*").alias("n")))
 
 # Aggregations
-query("a1_baseline_stats", f"SELECT flow_id, n_rows, n_valid, {_six('median0', 'iqr', 'jitter_typical', 'loss_typical', 'response_rate')} FROM stats")(lambda c: B.baseline_stats(c.meas.where("period = 'A'")).withColumnRenamed("median", "median0").drop("route"))
-query("a2_mad", f"SELECT flow_id, {_six('mad0')} FROM mads")(lambda c: B.mad(c.meas.where("period = 'A'"), B.baseline_stats(c.meas.where("period = 'A'"))).withColumnRenamed("mad", "mad0"))
+query("a1_baseline_stats", f"SELECT flow_id, n_rows, n_valid, {_six('median0', 'iqr', 'jitter_typical', 'loss_typical', 'response_rate')} FROM stats")(lambda c: c.lines.withColumnRenamed("median", "median0").drop("route", "mad"))
+query("a2_mad", f"SELECT flow_id, {_six('mad0')} FROM mads")(lambda c: c.lines.where("n_valid > 0").select("flow_id", F.col("mad").alias("mad0")))
 query("a3_floor", f"SELECT flow_id, insufficient, {_six('median', 'mad', 'iqr')} FROM card")(lambda c: c.card.select("flow_id", "insufficient", "median", "mad", "iqr"))
 query("a4_limits_by_route", "SELECT route, count(*) AS flows, round(quantile_cont(median, 0.5), 1) AS median, round(quantile_cont(median + 2 * s, 0.5), 1) AS limit_z_risk, round(quantile_cont(median + 3.5 * s, 0.5), 1) AS limit_z_fail, round(quantile_cont(median * 1.3, 0.5), 1) AS limit_increase_risk, round(quantile_cont(median * 1.8, 0.5), 1) AS limit_increase_fail FROM (SELECT *, CASE WHEN mad > 0 THEN 1.4826 * mad ELSE greatest(iqr / 1.349, 1.0) END AS s FROM card WHERE NOT insufficient) GROUP BY route")(lambda c: B.limits_by_route(c.card, P))
 query("a5_block_counts", "SELECT block, count(*) AS n, count(*) FILTER (WHERE status_now = 'OK') AS n_ok, count(*) FILTER (WHERE status_now = 'RISK') AS n_risk, count(*) FILTER (WHERE status_now = 'FAIL') AS n_fail, min(t) AS first_t, max(t) AS last_t FROM blk GROUP BY block")(lambda c: E.block_counts(c.blk))
@@ -184,9 +199,24 @@ _SUM = "SELECT (SELECT round(avg(f1), 6) FROM f1s) AS macro_f1, (SELECT round(av
 query("a16_summary_metrics", _SUM)(lambda c: E.summary_metrics(E.confusion(c.fut, "status_future", "rule_pred")))
 query("a17_transitions", "SELECT a.class AS now, b.class AS future, count(f.flow_id) AS n, count(*) FILTER (WHERE f.rule_pred = f.status_future) AS hits, round(count(*) FILTER (WHERE f.rule_pred = f.status_future) / nullif(CAST(count(f.flow_id) AS DOUBLE), 0), 6) AS accuracy FROM classes a CROSS JOIN classes b LEFT JOIN fut f ON f.status_now = a.class AND f.status_future = b.class GROUP BY 1, 2")(lambda c: E.transitions(c.fut, "rule_pred"))
 query("a17_change_split", "SELECT status_now <> status_future AS changes, count(*) AS n, round(avg(CAST(rule_pred = status_future AS INTEGER)), 6) AS accuracy FROM fut WHERE status_future IS NOT NULL GROUP BY 1")(lambda c: E.change_split(c.fut, "rule_pred"))
-query("a18_metrics_by_region", "SELECT region, round(sum(CASE WHEN rule_pred = status_future THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS accuracy, count(*) AS n FROM fut WHERE status_future IS NOT NULL GROUP BY region")(lambda c: E.summary_metrics(E.confusion(c.fut, "status_future", "rule_pred", ("region",)), ("region",)).select("region", "accuracy", "n"))
+_BY_REGION = "SELECT r.region, k.class, CAST(count(*) FILTER (WHERE status_future = class AND rule_pred = class) AS DOUBLE) AS hit, count(*) FILTER (WHERE rule_pred = class) AS said, count(*) FILTER (WHERE status_future = class) AS support FROM (SELECT DISTINCT region FROM fut WHERE status_future IS NOT NULL) r CROSS JOIN classes k LEFT JOIN fut ON fut.region = r.region AND status_future IS NOT NULL GROUP BY 1, 2"
+_BY_REGION = f"SELECT *, coalesce(hit / nullif(said, 0), 0.0) AS precision, coalesce(hit / nullif(support, 0), 0.0) AS recall, coalesce(2 * hit / nullif(said + support, 0), 0.0) AS f1 FROM ({_BY_REGION})"
+query("a18_metrics_by_region", f"SELECT region, round(avg(f1), 6) AS macro_f1, round(avg(recall), 6) AS balanced_accuracy, round(sum(hit) / sum(support), 6) AS accuracy, CAST(sum(support) AS BIGINT) AS n FROM ({_BY_REGION}) GROUP BY region")(lambda c: E.summary_metrics(E.confusion(c.fut, "status_future", "rule_pred", ("region",)), ("region",)).select("region", "macro_f1", "balanced_accuracy", "accuracy", "n"))
+query("a18_classes_by_region", f"SELECT region, class, {_six('precision', 'recall', 'f1')}, CAST(support AS BIGINT) AS support FROM ({_BY_REGION})")(lambda c: E.class_metrics(E.confusion(c.fut, "status_future", "rule_pred", ("region",)), ("region",)))
 query("a19_metrics_long", "SELECT 'precision' AS metric, class, round(precision, 6) AS value FROM f1s UNION ALL SELECT 'recall', class, round(recall, 6) FROM f1s UNION ALL SELECT 'f1', class, round(f1, 6) FROM f1s UNION ALL SELECT 'support', class, CAST(support AS DOUBLE) FROM f1s UNION ALL SELECT 'macro_f1', 'all', round(avg(f1), 6) FROM f1s UNION ALL SELECT 'balanced_accuracy', 'all', round(avg(recall), 6) FROM f1s UNION ALL SELECT 'accuracy', 'all', round(sum(CASE WHEN truth = pred THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) FROM cm")(lambda c: E.metrics_long(E.confusion(c.fut, "status_future", "rule_pred")))
-query("a22_bootstrap")(lambda c: E.bootstrap_ci(c.fut, "rule_pred", "persistence_pred", 2_000))
+_MODELS = "SELECT m.model, status_now, status_future, CASE m.model WHEN 'rule' THEN rule_pred ELSE persistence_pred END AS said FROM fut CROSS JOIN (SELECT unnest(['rule', 'persistence']) AS model) m WHERE status_future IS NOT NULL"
+_MODELS_BY_CLASS = f"SELECT x.model, class, CAST(count(*) FILTER (WHERE status_future = class AND said = class) AS DOUBLE) AS hit, count(*) FILTER (WHERE said = class) AS n_said, count(*) FILTER (WHERE status_future = class) AS support FROM ({_MODELS}) x CROSS JOIN classes GROUP BY 1, 2"
+query(
+    "a20_compare_models",
+    f"SELECT a.model, a.macro_f1, a.balanced_accuracy, a.accuracy, a.n, a.f1_fail, a.recall_fail, b.accuracy_changed FROM (SELECT model, round(avg(f1), 6) AS macro_f1, round(avg(recall), 6) AS balanced_accuracy, round(sum(hit) / sum(support), 6) AS accuracy, CAST(sum(support) AS BIGINT) AS n, round(max(f1) FILTER (WHERE class = 'FAIL'), 6) AS f1_fail, round(max(recall) FILTER (WHERE class = 'FAIL'), 6) AS recall_fail FROM (SELECT *, coalesce(hit / nullif(support, 0), 0.0) AS recall, coalesce(2 * hit / nullif(n_said + support, 0), 0.0) AS f1 FROM ({_MODELS_BY_CLASS})) GROUP BY model) a JOIN (SELECT model, round(avg(CAST(said = status_future AS INTEGER)) FILTER (WHERE status_now <> status_future), 6) AS accuracy_changed FROM ({_MODELS}) GROUP BY model) b ON a.model = b.model",
+)(lambda c: MD.compare_models({"rule": c.fut.withColumn("model_pred", F.col("rule_pred")), "persistence": c.fut.withColumn("model_pred", F.col("persistence_pred"))}))
+
+_FLOWS = "SELECT flow_id, row_number() OVER (ORDER BY flow_id) - 1 AS no, count(*) AS n_rows, {0} FROM fut WHERE status_future IS NOT NULL GROUP BY flow_id"
+_FLOW_SUMS = ", ".join(f"count(*) FILTER (WHERE status_future = '{k}') AS s_{k}, " + ", ".join(f"count(*) FILTER (WHERE status_future = '{k}' AND {p} = '{k}') AS h{m}_{k}, count(*) FILTER (WHERE {p} = '{k}') AS d{m}_{k}" for m, p in (("a", "rule_pred"), ("b", "persistence_pred"))) for k in ("OK", "RISK", "FAIL"))
+_FLOWS = _FLOWS.format(_FLOW_SUMS)
+_DRAWS = f"SELECT b AS resample, CAST('0x' || substr(md5(b || ':' || i), 1, 8) AS BIGINT) % n AS no FROM (SELECT count(*) AS n FROM ({_FLOWS})) f, range(0, {{0}}) r(b), range(0, 1000000) d(i) WHERE i < n"
+_MACRO = lambda m: "(" + " + ".join(f"coalesce(2.0 * sum(h{m}_{k}) / nullif(sum(d{m}_{k}) + sum(s_{k}), 0), 0)" for k in ("OK", "RISK", "FAIL")) + ") / 3"
+query("a22_bootstrap", f"SELECT round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, count(*) AS resamples FROM (SELECT resample, {_MACRO('a')} - {_MACRO('b')} AS diff FROM ({_DRAWS.format(2_000)}) d JOIN ({_FLOWS}) f ON d.no = f.no GROUP BY resample)")(lambda c: E.bootstrap_ci(c.fut, "rule_pred", "persistence_pred", 2_000))
 query("a23_scoreboard", f"SELECT count(*) AS verified, count(*) FILTER (WHERE rule_pred = status_future) AS hits, count(*) FILTER (WHERE status_now = status_future) AS persistence_hits FROM fut WHERE status_future IS NOT NULL AND t_future <= {AT}")(lambda c: E.scoreboard(c.fut, c.instant, "rule_pred"))
 query("a24_counters", f"SELECT count(*) AS n, count(*) FILTER (WHERE status_now = 'OK') AS n_ok, count(*) FILTER (WHERE status_now = 'RISK') AS n_risk, count(*) FILTER (WHERE status_now = 'FAIL') AS n_fail, count(*) FILTER (WHERE is_timeout = 1) AS n_timeout, count(*) FILTER (WHERE status_future IS NULL) AS n_without_future FROM fut WHERE t <= {AT}")(lambda c: E.counters(c.fut, c.instant))
 _LAG = "SELECT flow_id, t, CAST(floor(epoch(t)) - floor(epoch(lag(t) OVER (PARTITION BY flow_id ORDER BY t))) AS BIGINT) AS delta_s FROM meas"
@@ -240,21 +270,23 @@ query("f8_instant_text", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g')
 query("f9_iso_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS text FROM events")(lambda c: c.table("events").select("event_id", X.iso_utc(F.col("ts")).alias("text")))
 query("f10_epochs", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, epoch_us(ts) AS us FROM events")(lambda c: c.table("events").select("event_id", X.epoch_s(F.col("ts")).alias("s"), X.epoch_us(F.col("ts")).alias("us")))
 query("f11_interval", "SELECT event_id, ts + INTERVAL 108 HOURS AS later FROM events")(lambda c: c.table("events").select("event_id", (F.col("ts") + F.expr("INTERVAL 108 HOURS")).alias("later")))
+query("f12_parse_iso", "SELECT event_id, date_trunc('second', ts) AS t FROM events")(lambda c: c.table("events").select("event_id", X.parse_iso_utc(X.iso_utc(F.col("ts"))).alias("t")))
 query("f13_safe_divide", "SELECT event_id, round(100.0::DOUBLE / nullif(user_id % 3, 0), 6) AS ratio FROM events")(lambda c: c.table("events").select("event_id", F.try_divide(F.lit(100.0), F.col("user_id") % 3).alias("ratio")))
 query("f14_math", "SELECT probe, round(sin(radians(lat)) + cos(radians(lon)) + sqrt(abs(lon)), 6) AS m, greatest(lon, lat) AS g FROM probe")(lambda c: c.probes.select("probe", (F.sin(F.radians("lat")) + F.cos(F.radians("lon")) + F.sqrt(F.abs("lon"))).alias("m"), F.greatest("lon", "lat").alias("g")))
 query("f15_bands", "SELECT count(*) FILTER (WHERE rtt BETWEEN 30 AND 80) AS closed, count(*) FILTER (WHERE rtt >= 30 AND rtt < 80) AS half FROM meas")(lambda c: c.meas.agg(F.count_if(F.col("rtt").between(30, 80)).alias("closed"), F.count_if((F.col("rtt") >= 30) & (F.col("rtt") < 80)).alias("half")))
 query("f16_nulls", "SELECT count(*) FILTER (WHERE rtt IS NULL) AS missing, count(*) FILTER (WHERE rtt IS DISTINCT FROM jitter) AS differ FROM meas")(lambda c: c.meas.agg(F.count_if(F.col("rtt").isNull()).alias("missing"), F.count_if(~F.col("rtt").eqNullSafe(F.col("jitter"))).alias("differ")))
 query("f17_coercion", "SELECT c_custkey, try_cast(substr(c_name, 10) AS BIGINT) AS number, try_cast(c_mktsegment AS DOUBLE) AS no_number FROM customer")(lambda c: c.table("customer").select("c_custkey", F.expr("try_cast(substr(c_name, 10) AS BIGINT)").alias("number"), F.col("c_mktsegment").try_cast("double").alias("no_number")))
 query("f18_decimal_comma", "SELECT event_id, round(value, 2) AS value FROM events")(lambda c: c.table("events").select("event_id", X.decimal_comma(F.regexp_replace(F.round("value", 2).cast("decimal(12,2)").cast("string"), r"\.", ",")).alias("value")))
-query("f19_stable_pick")(lambda c: c.table("customer").select("c_custkey", X.stable_pick(F.col("c_name"), 7).alias("pick")))
-query("f20_stable_unit")(lambda c: c.table("customer").select("c_custkey", X.stable_unit(F.col("c_name")).alias("dx"), X.stable_unit(F.col("c_name"), 1).alias("dy")))
+query("f19_stable_pick", "SELECT c_custkey, CAST(CAST('0x' || substr(sha256(c_name), 1, 16) AS UBIGINT) % 7 AS INTEGER) AS pick FROM customer")(lambda c: c.table("customer").select("c_custkey", X.stable_pick(F.col("c_name"), 7).alias("pick")))
+query("f20_stable_unit", "SELECT c_custkey, round(CAST('0x' || substr(sha256(c_name), 1, 8) AS BIGINT) / 4294967295.0 * 2 - 1, 6) AS dx, round(CAST('0x' || substr(sha256(c_name), 9, 8) AS BIGINT) / 4294967295.0 * 2 - 1, 6) AS dy FROM customer")(lambda c: c.table("customer").select("c_custkey", X.stable_unit(F.col("c_name")).alias("dx"), X.stable_unit(F.col("c_name"), 1).alias("dy")))
 query("f21_json_parse", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")(lambda c: c.table("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))
-query("f22_json_emit")(lambda c: c.meas.select("flow_id", "t", F.to_json(F.struct("flow_id", F.nanvl("rtt", F.lit(None).cast("double")).alias("rtt")), {"ignoreNullFields": "false"}).alias("json")))
+query("f22_json_emit", "SELECT flow_id, t, '{\"flow_id\":\"' || flow_id || '\",\"rtt\":' || coalesce(CAST(CAST(round(rtt) AS BIGINT) AS VARCHAR), 'null') || '}' AS json FROM meas")(lambda c: c.meas.select("flow_id", "t", F.to_json(F.struct("flow_id", F.round(F.nanvl("rtt", F.lit(None).cast("double"))).cast("long").alias("rtt")), {"ignoreNullFields": "false"}).alias("json")))
+query("f21_parse_results", f"SELECT flow_id, t, {_six('rtt', 'jitter', 'loss_pct')}, is_timeout FROM om WHERE o_orderkey % 50 <> 0")(lambda c: S.parse_results(A.order_results(c.spark, c.sf_dir)))
 query("f23_membership", "SELECT count(*) AS n FROM events WHERE event_type IN ('click', 'error')")(lambda c: c.table("events").where(F.col("event_type").isin("click", "error")).agg(F.count("*").alias("n")))
 
 # Geography
 query("g1_haversine", f"SELECT a.hub AS a_hub, b.hub AS b_hub, round({KM}, 6) AS km FROM hub a JOIN hub b ON a.region = b.region")(lambda c: G.pair_km(c.hubs).select("a_hub", "b_hub", "km"))
-query("g2_path_km")(lambda c: G.region_paths(c.hubs))
+query("g2_path_km", f"SELECT a.region, round(coalesce(sum({KM}), 0), 6) AS km FROM (SELECT *, lead(hub) OVER (PARTITION BY region ORDER BY hub) AS next FROM hub) a JOIN hub b ON b.hub = a.next GROUP BY a.region")(lambda c: G.region_paths(c.hubs))
 query("g3_min_rtt", f"SELECT a.hub AS a_hub, b.hub AS b_hub, round(2 * {KM} / 200.0, 6) AS rtt_min FROM hub a JOIN hub b ON a.region = b.region")(lambda c: G.pair_km(c.hubs).select("a_hub", "b_hub", X.min_rtt_ms(F.col("km")).alias("rtt_min")))
 query("g4_impossible", f"SELECT c.flow_id FROM card c JOIN hub a ON a.hub = CAST(c.flow_id AS INTEGER) % 25 JOIN hub b ON b.hub = (CAST(c.flow_id AS INTEGER) * 7 + 3) % 25 WHERE NOT c.insufficient AND c.median < 2 * {KM} / 200.0")(lambda c: G.impossible_flows(G.with_endpoints(c.card, c.hubs)).select("flow_id"))
 query("g6_valid_coords", "SELECT count(*) AS n FROM probe WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90")(lambda c: c.probes.where(X.valid_coords(F.col("lon"), F.col("lat"))).agg(F.count("*").alias("n")))
@@ -262,9 +294,66 @@ query("g6_valid_coords", "SELECT count(*) AS n FROM probe WHERE lon BETWEEN -180
 # Sources, checks
 query("s9_slices", "SELECT CAST(k AS BIGINT) AS k, s0 + to_hours(12 * k) + to_seconds(k) AS slice_from, least(s0 + to_hours(12 * (k + 1)) + to_seconds(k), s1) AS slice_to FROM (SELECT min(ts) AS s0, max(ts) AS s1 FROM events), range(0, 10000) r(k) WHERE s0 + to_hours(12 * k) + to_seconds(k) <= s1")(lambda c: S.plan_slices(c.table("events").agg(F.min("ts").alias("start"), F.max("ts").alias("stop")), 12))
 query("q_checks", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", {s} AS offenders" for n, s in (("positive_rtt", "(SELECT count(*) FROM meas WHERE rtt <= 0)"), ("periods", "(SELECT count(*) FROM meas WHERE period NOT IN ('A', 'B'))"), ("unique_keys", "(SELECT count(*) FROM (SELECT 1 FROM meas GROUP BY flow_id, t HAVING count(*) > 1))"), ("no_period_a", "(SELECT count(*) FROM feat WHERE period = 'A')"), ("min_le_mean", "(SELECT count(*) FROM feat WHERE min5_z > mean5_z + 1e-9 OR min5_z > robust_z)"), ("rule_class", "(SELECT count(*) FROM lab WHERE rule IS NULL OR rule NOT BETWEEN 1 AND 6 OR (status_now = 'FAIL') <> (rule <= 4) OR (status_now = 'RISK') <> (rule = 5))"), ("loss_is_fail", "(SELECT count(*) FROM lab WHERE loss_pct >= 10 AND status_now <> 'FAIL')"), ("rule3_both", "(SELECT count(*) FROM lab WHERE rule = 3 AND NOT (robust_z >= 3.5 AND increase_pct >= 30))"), ("ok_not_extreme", "(SELECT count(*) FROM lab WHERE status_now = 'OK' AND robust_z >= 3.5 AND increase_pct >= 30)"), ("future_in_gate", "(SELECT count(*) FROM fut WHERE (status_future IS NOT NULL) <> coalesce(delta_s BETWEEN 65000 AND 152000, false))"))))(lambda c: C.run_all(C.chain_checks(c.meas, c.feat, c.lab, c.fut, P)))
-query("q13_future_by_join", "SELECT 0::BIGINT AS offenders")(lambda c: C.future_by_join(c.fut, P).agg(F.count("*").alias("offenders")))
-query("q16_future_same_block", "SELECT 0::BIGINT AS offenders")(lambda c: C.future_leaves_block(c.blk, 3).agg(F.count("*").alias("offenders")))
+
+
+def _plain_and_seeded(offenders: Callable[[DataFrame], DataFrame], plain: DataFrame, seeded: DataFrame) -> DataFrame:
+    """A check's offenders in the table as it is and in one with faults put in."""
+    counts = (offenders(df).agg(F.lit(name).alias("rows"), F.count("*").alias("offenders")) for name, df in (("plain", plain), ("seeded", seeded)))
+    return reduce(DataFrame.unionByName, counts)
+
+
+_SEEDED = "CAST(flow_id AS INTEGER) % 7 = 0"
+query("q8_window_mismatches", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', count(*) FROM feat WHERE {_SEEDED} AND min5_z IS NOT NULL")(lambda c: _plain_and_seeded(lambda df: U.window_mismatches(df, P), c.feat, c.feat.withColumn("min5_z", F.when(F.expr(_SEEDED), F.col("min5_z") + 1).otherwise(F.col("min5_z")))))
+query("q9_labelled_account", "SELECT (SELECT count(*) FROM feat) AS rows_in, (SELECT count(*) FROM lab) AS rows_out, CAST(1 AS INTEGER) AS n_missing, CAST(2 AS INTEGER) AS n_undeclared")(lambda c: U.labelled_account(c.feat, c.lab, (*c.feat.columns, "ghost")).select("rows_in", "rows_out", F.size("missing").alias("n_missing"), F.size("undeclared").alias("n_undeclared")))
+query("q13_future_by_join", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', count(*) FROM fut WHERE {_SEEDED} AND status_future <> 'OK'")(lambda c: _plain_and_seeded(lambda df: C.future_by_join(df, P), c.fut, c.fut.withColumn("status_future", F.when(F.expr(_SEEDED) & F.col("status_future").isNotNull(), "OK").otherwise(F.col("status_future")))))
+_MOVED = "SELECT *, CASE WHEN epoch_us(t) % 5 = 0 THEN 'validation' ELSE block END AS moved FROM blk"
+_MOVED = f"SELECT *, lead(moved, 3) OVER (PARTITION BY flow_id ORDER BY t) AS moved3, row_number() OVER (PARTITION BY flow_id, moved ORDER BY t DESC) AS back FROM ({_MOVED})"
+query("q16_future_same_block", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', count(*) FROM ({_MOVED}) WHERE status_future IS NOT NULL AND moved <> 'test' AND back > 3 AND moved <> moved3")(lambda c: _plain_and_seeded(lambda df: C.future_leaves_block(df, 3), c.blk, c.blk.withColumn("block", F.when(X.epoch_us(F.col("t")) % 5 == 0, "validation").otherwise(F.col("block")))))
+_ENDS = "SELECT n.no, n.block, min(t) AS a, max(t) AS b, count(DISTINCT status_now) AS k FROM (SELECT unnest([0, 1, 2]) AS no, unnest(['train', 'validation', 'test']) AS block) n LEFT JOIN blk ON blk.block = n.block AND NOT (blk.block = 'validation' AND status_now = 'OK') GROUP BY 1, 2"
+_FAULTS = f"SELECT *, lag(b) OVER (ORDER BY no) AS before FROM ({_ENDS})"
+query("q14_block_order", f"SELECT block, 'absent' AS fault FROM ({_FAULTS}) WHERE a IS NULL UNION ALL SELECT block, 'overlaps' FROM ({_FAULTS}) WHERE a <= before UNION ALL SELECT block, 'lacks a class' FROM ({_FAULTS}) WHERE k < 3")(lambda c: U.block_order_faults(c.blk.where("block <> 'validation' OR status_now <> 'OK'")))
+query("q14_block_order_seeded", "SELECT 'test' AS block, 'overlaps' AS fault")(lambda c: U.block_order_faults(c.blk.unionByName(c.blk.withColumn("block", F.when(F.col("block") == "train", "test").otherwise("validation")))).where("fault = 'overlaps'"))
+query("q15_feature_faults", "SELECT 'robust_z' AS \"column\", 'nulls changed' AS fault FROM (SELECT count(*) AS n FROM fut WHERE robust_z IS NULL) WHERE n > 0 UNION ALL SELECT unnest(['is_timeout', 'n5_timeout', 'n5_increase80', 'n5_moderate']), 'not double'")(lambda c: U.feature_faults(c.fut.select(*MODEL_COLUMNS).na.fill(0, ["robust_z"]), c.fut, MODEL_COLUMNS))
+query("q17_row_account", "SELECT count(*) AS rows, count(*) FILTER (WHERE status_future IS NULL) AS no_future, count(*) FILTER (WHERE status_future IS NOT NULL AND in_gap) AS in_gap, count(*) FILTER (WHERE status_future IS NOT NULL AND NOT in_gap) AS kept, 0::BIGINT AS balance FROM gapped")(lambda c: U.row_account(c.blk, 3))
+query("q18_metrics_from_rows", f"SELECT class, {_six('precision', 'recall', 'f1')}, support FROM f1s")(lambda c: U.metrics_from_rows(c.fut, "status_future", "rule_pred"))
+query("q18_metric_faults", "SELECT 0::BIGINT AS faults")(lambda c: U.metric_faults(c.fut, "status_future", "rule_pred").agg(F.count("*").alias("faults")))
+query("q19_count_account", "SELECT unnest(['transitions', 'groups', 'rows']) AS part, n, hits FROM (SELECT count(*) AS n, count(*) FILTER (WHERE rule_pred = status_future) AS hits FROM fut WHERE status_future IS NOT NULL)")(lambda c: U.count_account(c.fut, "rule_pred"))
+query("q20_choice_faults", "SELECT flow_id, 'simpler' AS fault FROM card, (SELECT max(n_valid) AS best FROM card), (SELECT n_rows AS simple FROM card ORDER BY n_valid DESC, flow_id LIMIT 1) WHERE n_valid >= best - 5 AND n_rows < simple")(lambda c: U.choice_faults(c.card, c.card.orderBy(F.desc("n_valid"), "flow_id").limit(1), "flow_id", "n_valid", "n_rows", 5))
+query("q21_bootstrap_account", f"SELECT resample, count(*) AS draws, any_value(k) AS flows, CAST(sum(n_rows) AS BIGINT) AS rows, CAST(sum(n_rows) AS BIGINT) AS weighted_rows FROM ({_DRAWS.format(50)}) d JOIN ({_FLOWS}) f ON d.no = f.no, (SELECT count(*) AS k FROM ({_FLOWS})) GROUP BY resample")(lambda c: U.bootstrap_account(c.fut, 50))
+_PARSED = "SELECT flow_id, t, count(*) AS n, bool_or(rtt IS NOT NULL AND extract(second FROM t) = 7) AS moved FROM om WHERE o_orderkey % 50 <> 0 GROUP BY 1, 2"
+query("q24_parse_parity", f"SELECT why, count(*) AS n FROM (SELECT CASE WHEN a.n IS NULL THEN 'only_b' WHEN a.n > 1 OR b.n > 1 THEN 'repeated' WHEN moved THEN 'differs' END AS why FROM ({_PARSED}) a RIGHT JOIN (SELECT flow_id, t, count(*) AS n FROM om GROUP BY 1, 2) b ON a.flow_id = b.flow_id AND a.t = b.t) WHERE why IS NOT NULL GROUP BY why")(
+    lambda c: J.compare_tables(S.parse_results(A.order_results(c.spark, c.sf_dir)).withColumn("t", F.col("t").cast("timestamp_ntz")).withColumn("rtt", F.when(F.second("t") == 7, F.col("rtt") + 1).otherwise(F.col("rtt"))), c.orders, ["flow_id", "t"], ["rtt", "jitter", "loss_pct"], 1e-4, 1e-6).groupBy("why").agg(F.count("*").alias("n"))
+)
+query("q25_outside_block", "SELECT 'foreign' AS fault, count(*) AS n FROM blk WHERE block = 'test' HAVING count(*) > 0 UNION ALL SELECT 'repeated', count(*) FROM blk WHERE block = 'validation' AND is_timeout = 1 HAVING count(*) > 0")(lambda c: U.outside_block(c.blk.where("block <> 'train'").unionByName(c.blk.where("block = 'validation' AND is_timeout = 1")), c.blk, "validation").groupBy("fault").agg(F.count("*").alias("n")))
+query("s11_replay_parts", "SELECT 'meta' AS part, 1::BIGINT AS n UNION ALL SELECT 'model', 2 UNION ALL SELECT 'flow', count(DISTINCT flow_id) FROM blk WHERE block = 'validation' UNION ALL SELECT 'rows', count(*) FROM (SELECT DISTINCT flow_id, floor(floor(epoch(t)) / 86400) FROM blk WHERE block = 'validation')")(lambda c: c.replay.groupBy("part").agg(F.count("*").alias("n")))
+query("q26_replay_metrics", "SELECT a.class AS truth, b.class AS pred, count(f.flow_id) AS n FROM classes a CROSS JOIN classes b LEFT JOIN (SELECT * FROM blk WHERE block = 'validation') f ON f.status_future = a.class AND f.rule_pred = b.class GROUP BY 1, 2")(lambda c: E.confusion(S.read_replay(c.replay)[0], "status_future", "prediction"))
+query("q31_replay_faults", "SELECT 'unknown flow' AS fault, count(*) AS n FROM blk WHERE block = 'validation' AND CAST(flow_id AS INTEGER) % 3 = 0 HAVING count(*) > 0")(lambda c: U.replay_faults(S.read_replay(c.replay)[0], S.read_replay(c.replay)[1].where("CAST(flow_id AS INT) % 3 <> 0")).select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count("*").alias("n")))
+query("q4_expected_counts", "SELECT 'flows' AS name, count(DISTINCT flow_id) AS found, -1 AS expected FROM meas")(lambda c: C.expected_counts(c.meas, {"flows": -1}, {"flows": F.count_distinct("flow_id")}).select("name", "found", "expected"))
 query("q29_model_rows", "SELECT count(*) AS n FROM events WHERE value > 60")(lambda c: C.model_row_errors(c.table("events").select(F.col("value").alias("robust_z"), F.when(F.col("value") > 60, 200.0).otherwise(50.0).alias("loss_pct"), F.lit(1.0).alias("is_timeout"), F.lit(2.0).alias("n5_timeout"))).where(F.size("errors") > 0).agg(F.count("*").alias("n")))
 query("q30_strict_decode", "SELECT count(*) AS n FROM events")(lambda c: C.strict_decode(c.table("events").select(F.col("props").alias("json")), "k bigint").where(F.size("errors") == 0).agg(F.count("*").alias("n")))
 query("m1_persistence", "SELECT flow_id, t, status_now AS persistence_pred FROM fut")(lambda c: c.fut.select("flow_id", "t", "persistence_pred"))
 query("m3_weights", "SELECT status_now, CASE status_now WHEN 'FAIL' THEN 3.0 WHEN 'RISK' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, count(*) AS n FROM lab GROUP BY 1, 2")(lambda c: C.weights(c.lab, "status_now", {"FAIL": 3.0, "RISK": 2.0, "OK": 1.0}).groupBy("status_now", "weight").agg(F.count("*").alias("n")))
+
+
+# Models: what is certain of a fit on the rows of the train block, whatever its trees say.
+_TRAIN = "block = 'train' AND status_future IS NOT NULL"
+
+
+def _fitted(c: Chain, fit: Callable[..., object], **params) -> DataFrame:
+    train = MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)
+    return MD.score(fit(train, **params), MD.assemble(c.blk, MODEL_COLUMNS), "m", ("flow_id", "t"))
+
+
+def _certain(scored: DataFrame) -> DataFrame:
+    """Rows scored, rows with one of the classes, and rows whose probabilities sum to 1."""
+    total = F.abs(F.col("p_ok") + F.col("p_risk") + F.col("p_fail") - 1) < 1e-6
+    return scored.agg(F.count("*").alias("n"), F.count_if(F.col("model_pred").isin("OK", "RISK", "FAIL")).alias("n_class"), F.count_if(total).alias("n_sum"))
+
+
+_CERTAIN = "SELECT count(*) AS n, count(*) AS n_class, count(*) AS n_sum FROM blk"
+query("m4_tree_scores", _CERTAIN)(lambda c: _certain(_fitted(c, MD.fit_tree)))
+query("m5_forest_scores", _CERTAIN)(lambda c: _certain(_fitted(c, MD.fit_forest, trees=10, depth=5)))
+query("m6_boost_scores", "SELECT count(*) AS n, count(*) AS n_class FROM blk")(lambda c: _fitted(c, MD.fit_boost, rounds=3, depth=3).agg(F.count("*").alias("n"), F.count_if(F.col("model_pred").isin("OK", "RISK", "FAIL")).alias("n_class")))
+query("m7_grid", "SELECT unnest([2, 4]) AS depth, true AS learned, true AS gap_adds_up")(lambda c: MD.grid(MD.fit_tree, {"depth": [2, 4]}, MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS), MD.prepare(c.blk.where("block = 'validation' AND status_future IS NOT NULL"), MODEL_COLUMNS)).select(F.col("depth").cast("int").alias("depth"), (F.col("f1_train") > 0).alias("learned"), (F.abs(F.col("f1_train") - F.col("f1_validation") - F.col("gap")) < 1e-9).alias("gap_adds_up")))
+query("a21_importances", f"SELECT {len(MODEL_COLUMNS)}::BIGINT AS columns, 1.0::DOUBLE AS total")(lambda c: MD.importances(MD.fit_tree(MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), MODEL_COLUMNS, "tree", c.blk).agg(F.count("*").alias("columns"), F.sum("importance").alias("total")))
+query("m11_leaf_profile", f"SELECT count(*) AS n, true AS pure FROM blk WHERE {_TRAIN}")(lambda c: MD.leaf_profile(MD.score(MD.fit_tree(t := MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), t, "m")).agg(F.sum("n").alias("n"), F.min((F.col("purity") > 1 / 3 - 1e-9) & (F.col("purity") <= 1)).alias("pure")))

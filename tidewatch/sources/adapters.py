@@ -44,6 +44,17 @@ def order_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(bursts, "o_orderkey").join(where, "o_custkey").select("o_orderkey", "start_time", F.lit(1).cast("long").alias("msm_id"), "prb_id", "dst_addr", "destination_country", "destination_region", "packets_sent", "packets_received", "pings")
 
 
+def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bursts as JSON results of a measurement service (column value), among them lost pings and results of another type."""
+    ping = lambda p: F.struct(F.when(~p["timeout"], p["rtt"]).alias("rtt"), F.when(p["timeout"], "*").alias("x"))
+    result = F.struct(
+        F.when(F.col("o_orderkey") % 50 == 0, "traceroute").otherwise("ping").alias("type"), "prb_id", "msm_id", "dst_addr",
+        F.unix_seconds(F.col("start_time").cast("timestamp")).alias("timestamp"), F.col("packets_sent").alias("sent"), F.col("packets_received").alias("rcvd"),
+        F.transform("pings", ping).alias("result"),
+    )
+    return order_bursts(spark, sf_dir).select(F.to_json(result).alias("value"))
+
+
 def order_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(order_bursts(spark, sf_dir), ORDER_PARAMS)
 

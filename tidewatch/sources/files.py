@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -104,6 +106,11 @@ def recent(df: DataFrame, hours: int) -> DataFrame:
     return df.crossJoin(F.broadcast(newest)).where(F.col("t") > F.col("_newest") - F.expr(f"INTERVAL {hours} HOURS")).drop("_newest")
 
 
+def without_unanswered(df: DataFrame, columns: tuple[str, ...], received: str) -> DataFrame:
+    """The columns are null where nothing came back."""
+    return df.select(*(F.when(F.col(received) > 0, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def later_than_first(df: DataFrame, hours: int) -> DataFrame:
     """Rows from some hours after the first one on."""
     first = df.agg(F.min("t").alias("_first"))
@@ -115,14 +122,50 @@ def append_history(scored: DataFrame, path: str) -> None:
     scored.withColumn("day", F.to_date("created_utc")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def export_replay(rows: DataFrame) -> DataFrame:
-    """One JSON document for each flow: its measurements in the order of time, nulls kept.
+#: A replay row in a document.
+REPLAY_ROW = "struct<t:string,rtt:double,is_timeout:int,status_now:string,prediction:string,status_future:string,verifiable:boolean,t_future:string>"
+
+
+def export_replay(rows: DataFrame, meta: dict[str, str], model: DataFrame, hours: int = 24) -> DataFrame:
+    """(part, key, document): a replay as JSON documents, nulls kept.
+
+    One document describes the replay (meta, and first and last instant, rows and
+    flows), one each model (a table of few rows), one each flow (region and rows), and one
+    each flow's measurements of some hours, in the order of time: no document
+    grows with the length of a series.
 
-    A document holds one flow; a corpus of flows is many documents, never one.
+    rows: flow_id, region, t, rtt, is_timeout, status_now, prediction, status_future, t_future.
     """
-    entry = F.struct("t", "rtt", "is_timeout", "status_now", "status_future")
-    docs = rows.groupBy("flow_id", "region").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    return docs.select("flow_id", F.to_json(F.struct("flow_id", "region", "rows"), {"ignoreNullFields": "false"}).alias("document"))
+    as_json = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document")
+    told = rows.agg(F.date_format(F.min("t"), _INSTANT).alias("first_t"), F.date_format(F.max("t"), _INSTANT).alias("last_t"), F.count("*").alias("rows"), F.count_distinct("flow_id").alias("flows"))
+    parts = [told.select(F.lit("meta").alias("part"), F.lit("").alias("key"), as_json(*(F.lit(v).alias(k) for k, v in meta.items()), *told.columns))]
+    parts.append(model.select(F.lit("model").alias("part"), F.col("model").cast("string").alias("key"), as_json(*model.columns)))
+    flows = rows.groupBy("flow_id", "region").agg(F.count("*").alias("rows"))
+    parts.append(flows.select(F.lit("flow").alias("part"), F.col("flow_id").alias("key"), as_json(*flows.columns)))
+    entry = F.struct(
+        F.date_format("t", _INSTANT).alias("t"), "rtt", "is_timeout", "status_now", "prediction", "status_future",
+        F.col("status_future").isNotNull().alias("verifiable"), F.date_format("t_future", _INSTANT).alias("t_future"),
+    )
+    piece = F.floor(epoch_s(F.col("t")) / (hours * 3600))
+    held = rows.groupBy("flow_id", piece.alias("piece")).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    parts.append(held.select(F.lit("rows").alias("part"), F.concat_ws("|", "flow_id", "piece").alias("key"), as_json("flow_id", "piece", "rows")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Fixed width to the microsecond, so that the order of the text is that of time.
+_INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def read_replay(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and flows of replay documents; a row's in_order says that its document has it after the row before."""
+    parsed = lambda part, schema: documents.where(F.col("part") == part).select(F.from_json("document", schema).alias("d"))
+    flows = parsed("flow", "flow_id string, region int, rows long").select("d.*")
+    rows = parsed("rows", f"flow_id string, piece long, rows array<{REPLAY_ROW}>").select("d.flow_id", F.col("d.rows").alias("held"))
+    rows = rows.select("flow_id", "held", F.posexplode("held").alias("at", "r"))
+    in_order = (F.col("at") == 0) | (F.col("r.t") > F.get("held", F.col("at") - 1)["t"])
+    instant = lambda c: F.to_timestamp_ntz(F.col(c), F.lit(_INSTANT)).alias(c.split(".")[-1])
+    rest = [F.col(f"r.{c}") for c in ("rtt", "is_timeout", "status_now", "prediction", "status_future", "verifiable")]
+    return rows.select("flow_id", instant("r.t"), *rest, instant("r.t_future"), F.coalesce(in_order, F.lit(False)).alias("in_order")), flows
 
 
 def write_metrics(parts: dict[str, DataFrame], path: str) -> DataFrame:

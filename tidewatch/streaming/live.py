@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.ml import Model
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.params import BASELINE_COLUMNS, MODEL_COLUMNS, Params
-from ..operators.baseline import baseline
+from ..functions.params import BASELINE_COLUMNS, FIXED_RULE, MODEL_COLUMNS, TRAILING, Params, first_class, rule_table
+from ..operators.baseline import cards as frozen_cards
 from ..operators.features import relative_metrics
 from ..operators.models import assemble, score
 
@@ -50,8 +51,8 @@ def after_fence(df: DataFrame, t0: str) -> DataFrame:
 def freeze_baseline(history: DataFrame, t0: str, p: Params, path: str, model_id: str) -> None:
     """The cards of the hours before the start, kept with the start and the model's id."""
     start = F.to_timestamp(F.lit(t0))
-    rows = history.where((F.col("t") <= start) & (F.col("t") > start - F.expr(f"INTERVAL {p.baseline_hours} HOURS"))).withColumn("period", F.lit("A"))
-    cards = baseline(rows, p).withColumn("t0", F.lit(t0)).withColumn("model_id", F.lit(model_id))
+    rows = history.where((F.col("t") <= start) & (F.col("t") > start - F.expr(f"INTERVAL {p.baseline_hours} HOURS")))
+    cards = frozen_cards(rows, p).withColumn("t0", F.lit(t0)).withColumn("model_id", F.lit(model_id))
     cards.write.mode("overwrite").parquet(path)
 
 
@@ -68,35 +69,22 @@ def enrich(stream: DataFrame, cards: DataFrame, p: Params) -> DataFrame:
     return relative_metrics(stream.join(usable, "flow_id"), p)
 
 
-def _rule(row: dict, window: list[dict], p: Params) -> tuple[int, str, dict]:
-    """The same rule table as the batch columns, for one row and its last rows."""
-    z = [r["robust_z"] for r in window if r["robust_z"] is not None]
-    large = [int(r["increase_pct"] > p.increase_fail) for r in window if r["increase_pct"] is not None]
-    f = {
-        "n5_timeout": sum(r["is_timeout"] for r in window),
-        "n5_increase80": sum(large) if large else None,
-        "n5_moderate": sum(r["moderate"] for r in window),
-        "min5_z": min(z, default=None),
-        "mean5_z": sum(z) / len(z) if z else None,
-    }
-    extreme = row["robust_z"] is not None and row["robust_z"] >= p.z_fail
-    if p.floor is not None:
-        extreme = extreme and row["increase_pct"] is not None and row["increase_pct"] >= p.floor
-    holds = [
-        row["loss_pct"] is not None and row["loss_pct"] >= p.loss_fail,
-        f["n5_timeout"] >= p.timeouts_fail,
-        extreme,
-        (f["n5_increase80"] or 0) >= p.increases_fail,
-        row["moderate"] == 1 and f["n5_moderate"] >= p.moderates_risk,
-    ]
-    rule = next((i for i, h in enumerate(holds, 1) if h), 6)
-    return rule, "FAIL" if rule <= 4 else "RISK" if rule == 5 else "OK", f
-
-
-def fixed_prediction(features: dict, moderate: int) -> str:
-    """The model that needs no fitting; for a fitted one see predict_on_arrival."""
-    z = features["mean5_z"]
-    return "FAIL" if z is not None and z >= 3.5 else "RISK" if (z is not None and z >= 2) or moderate == 1 else "OK"
+def _trailing(window: list[dict], p: Params) -> dict:
+    """The trailing features of the last of some rows, from the table that batch reads too."""
+    out = {}
+    for name, how, column in TRAILING:
+        if column == "large_increase":
+            values = [int(r["increase_pct"] > p.increase_fail) for r in window if r["increase_pct"] is not None]
+        else:
+            values = [r[column] for r in window if r.get(column) is not None]
+        out[name] = None if not values else min(values) if how == "min" else sum(values) / (len(values) if how == "avg" else 1)
+    return out
+
+
+def _judged(row: dict, window: list[dict], p: Params) -> tuple[int, str, dict]:
+    """Rule, class and features of a row, by the tables of the batch columns."""
+    f = _trailing(window, p)
+    return *first_class(rule_table(p), row | f), f
 
 
 def flow_state(p: Params, delay_s: int):
@@ -113,8 +101,8 @@ def flow_state(p: Params, delay_s: int):
             rows = sorted([*rows, row], key=lambda x: x["us"])
             at = rows.index(row)
             window = rows[max(0, at - p.window + 1) : at + 1]
-            rule, status, f = _rule(row, window, p)
-            row["prediction"] = fixed_prediction(f, row["moderate"])
+            rule, status, f = _judged(row, window, p)
+            row["prediction"] = first_class(FIXED_RULE, row | f)[1]  # needs no fitting; for a fitted model see predict_on_arrival
             out.append((key[0], row["us"], "predicted", f["n5_timeout"], f["n5_increase80"], f["n5_moderate"], f["min5_z"], f["mean5_z"], rule, status, row["prediction"], *(row[c] for c in ("robust_z", "increase_pct", "jitter_ratio", "loss_pct", "is_timeout"))))
         mark = state.getCurrentWatermarkMs() * 1000
         for i, row in enumerate(rows):
@@ -124,7 +112,7 @@ def flow_state(p: Params, delay_s: int):
             if ahead is not None and ahead["us"] <= mark:  # no row can come between any more
                 gap = ahead["us"] // 1_000_000 - row["us"] // 1_000_000
                 window = rows[max(0, i + p.horizon - p.window + 1) : i + p.horizon + 1]
-                _, status, _ = _rule(ahead, window, p)
+                _, status, _ = _judged(ahead, window, p)
                 ok = p.gate[0] <= gap <= p.gate[1]
                 out.append((key[0], row["us"], "verified" if ok else "expired", None, None, None, None, None, None, status if ok else None, row["prediction"], *no_features))
                 row["waits"] = False
@@ -158,6 +146,31 @@ def run_available(out: DataFrame, sink: str, checkpoint: str) -> None:
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def backfill(measured: DataFrame, newest: datetime, hours: int, p: Params, work: str, model_id: str, step_hours: int = 24, delay: str = "30 minutes", delay_s: int = 1800) -> DataFrame:
+    """A retroactive run: the job starts some hours before ``newest`` and takes the rows since as if they arrived, step by step.
+
+    Cards are frozen from the rows before the start; each step's rows land in the
+    source folder and are worked off by the same query, which resumes from its checkpoint.
+    """
+    spark, t0 = measured.sparkSession, newest - timedelta(hours=hours)
+    freeze_baseline(measured, str(t0), p, f"{work}/cards", model_id)
+    cards = start_or_resume(spark, f"{work}/cards", model_id)
+    columns = [c.split()[0] for c in MEASUREMENT_SCHEMA.split(", ")]
+    rows = measured.select(*(F.col(c).cast("timestamp").alias(c) if c == "t" else c for c in columns))
+    for begin in range(0, hours, step_hours):
+        since, until = (F.lit(str(t0 + timedelta(hours=min(h, hours)))).cast("timestamp") for h in (begin, begin + step_hours))
+        part = rows.where((F.col("t") > since) & (F.col("t") <= until))
+        part.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{work}/source")
+        run_available(live(read_bursts(spark, f"{work}/source", files_per_batch=10_000), cards, p, str(t0), delay, delay_s), f"{work}/sink", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/sink")
+
+
+def sink_account(sink: DataFrame) -> DataFrame:
+    """(kind, n, hits) of a reread sink: predicted rows by key, verified ones and their hits, to be held against the scoreboard."""
+    hit = F.count_if((F.col("kind") == "verified") & (F.col("status") == F.col("prediction")))
+    return sink.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("flow_id", "t").alias("keys"), hit.alias("hits"))
+
+
 def predict_on_arrival(df: DataFrame, model: Model, model_id: str, cols: tuple[str, ...] = MODEL_COLUMNS) -> DataFrame:
     """A micro-batch with the fitted model's class as the prediction of the rows that arrived, its id and probabilities.
 
