@@ -1,16 +1,18 @@
 """Operator 7: toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-The features are the hashed character n-grams that a text holds (present or
-not).  From labelled texts, each n-gram gets the log ratio of its smoothed
-shares in toxic and in other texts; the n-grams that part the two best are kept,
-scaled by that ratio, and a logistic regression of Spark ML weighs them.
+The features are the character n-grams that a text holds (present or not), by
+hash in one of BINS bins.  From labelled texts, each bin gets the log ratio of
+its smoothed shares in toxic and in other texts.  Every bin whose shares differ
+beyond chance (a G-test at the level of EVIDENCE, however many bins that are) is
+a feature, scaled by its ratio, and a logistic regression of Spark ML weighs them.
 
 The labelled sample is bounded by SAMPLE (the least hashes of the ids); only its
 ids, at most that many, are broadcast.  Scoring is one pass without a shuffle.
 
 Defined results: a null text counts as empty; an empty text gets the score of no
 n-grams; equal rows stay as many rows; other columns are not read.  A document
-that several label rows name is toxic if one says so.  Without labelled rows of
+that several label rows name is toxic if one says so.  If no bin tells the kinds
+apart, every score is the share of toxic labels.  Without labelled rows of
 both kinds every score is the share of toxic ones, 0 if there are none.
 """
 
@@ -22,7 +24,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +38,8 @@ BINS = 2**20
 SAMPLE = 12_000
 #: Tasks that count the sample's n-grams.
 COUNTERS = 8
-#: So many features are kept and weighed.
-KEPT = 2_048
+#: The G statistic from which on a bin tells the kinds apart: chance alone reaches it once in a million times.
+EVIDENCE = 23.9
 #: Added to each count of documents.
 SMOOTHING = 1.0
 REGULARIZATION = 1e-4
@@ -67,7 +70,7 @@ def bin_counts(labelled: DataFrame) -> DataFrame:
         sums = np.zeros((2, BINS), np.int32)
         for rows in batches:
             for text, label in zip(rows["text"], rows["label"]):
-                sums[int(label), np.unique(ngrams(text))] += 1
+                sums[int(label), distinct(ngrams(text))] += 1
         found = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"bin": found, "toxic": sums[1, found], "clean": sums[0, found]})
 
@@ -75,8 +78,8 @@ def bin_counts(labelled: DataFrame) -> DataFrame:
     return labelled.coalesce(COUNTERS).mapInPandas(count, "bin long, toxic long, clean long").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_count_ratios(counts: DataFrame, n_toxic: int, n_clean: int, kept: int = KEPT) -> DataFrame:
-    """(bin, ratio) of the bins whose presence tells most (G-test against equal shares)."""
+def log_count_ratios(counts: DataFrame, n_toxic: int, n_clean: int, evidence: float = EVIDENCE) -> DataFrame:
+    """(bin, ratio) of all bins whose shares differ beyond chance (G-test against equal shares)."""
     p, q = F.col("toxic") + SMOOTHING, F.col("clean") + SMOOTHING
     ratio = F.log(p / (n_toxic + 2 * SMOOTHING)) - F.log(q / (n_clean + 2 * SMOOTHING))
 
@@ -86,39 +89,37 @@ def log_count_ratios(counts: DataFrame, n_toxic: int, n_clean: int, kept: int =
 
     rate = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
     gain = term(F.col("toxic"), n_toxic, rate) + term(F.col("clean"), n_clean, rate)
-    return counts.select("bin", ratio.alias("ratio"), gain.alias("gain")).orderBy(F.desc("gain"), "bin").limit(kept).select("bin", "ratio")
+    return counts.select("bin", ratio.alias("ratio"), (2 * gain).alias("g")).where(F.col("g") >= evidence).select("bin", "ratio")
 
 
 class Classifier:
-    """Bins, their weights (ratio times coefficient) and the intercept."""
+    """A weight for each bin (ratio times coefficient, 0 for bins that are no feature) and the intercept."""
 
-    def __init__(self, bins: np.ndarray, weights: np.ndarray, intercept: float) -> None:
-        self.bins, self.weights, self.intercept = bins, weights, intercept
+    def __init__(self, weights: np.ndarray, intercept: float) -> None:
+        self.weights, self.intercept = weights, intercept
 
     def score(self, text: Column) -> Column:
         """double, 0 to 1: higher means likelier toxic."""
-        bins, weights, intercept = self.bins, self.weights, self.intercept
+        shipped, intercept = SparkSession.active().sparkContext.broadcast(self.weights), self.intercept
 
         @F.pandas_udf("double")
         def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            place = _places(bins)
+            weights = shipped.value
             for texts in batches:
-                sums = [intercept + float(weights[np.unique(_held(place, t))].sum()) for t in texts]
+                sums = []
+                for t in texts:
+                    found = ngrams(t)
+                    sums.append(intercept + weights[distinct(found[weights[found] != 0])].sum())
                 with np.errstate(over="ignore"):
                     yield pd.Series(1 / (1 + np.exp(-np.array(sums, float))))
 
         return scores(text)
 
 
-def _places(bins: np.ndarray) -> np.ndarray:
-    place = np.full(BINS, -1, np.int32)
-    place[bins] = np.arange(len(bins), dtype=np.int32)
-    return place
-
-
-def _held(place: np.ndarray, text: str | None) -> np.ndarray:
-    found = place[ngrams(text)]
-    return found[found >= 0]
+def distinct(bins: np.ndarray) -> np.ndarray:
+    """The bins, each once, in their order."""
+    found = np.sort(bins)
+    return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -129,23 +130,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     n = {r.label: r.n for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         share = float(n.get(1, 0) > 0)
-        return Classifier(np.empty(0, np.int64), np.empty(0), math.inf if share else -math.inf)
-    top = log_count_ratios(bin_counts(learn), n[1], n[0]).collect()
-    bins, ratios = np.array([r.bin for r in top]), np.array([r.ratio for r in top])
+        return Classifier(np.zeros(BINS), math.inf if share else -math.inf)
+    found = log_count_ratios(bin_counts(learn), n[1], n[0]).orderBy("bin").toPandas()  # at most BINS rows
+    weights, bins, ratios = np.zeros(BINS), found["bin"].to_numpy(int), found["ratio"].to_numpy(float)
+    if not len(bins):
+        return Classifier(weights, math.log(n[1] / n[0]))
+    number = np.full(BINS, -1, np.int32)
+    number[bins] = np.arange(len(bins), dtype=np.int32)
+    shipped = docs.sparkSession.sparkContext.broadcast(number)
 
     @F.pandas_udf("array<int>")
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place = _places(bins)
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(_held(place, t)) for t in texts], dtype=object)
-
-    @F.udf(VectorUDT())
-    def scaled(places):
-        return Vectors.sparse(len(ratios), places, ratios[places] if len(places) else [])
-
-    vectors = stored(learn.select("label", held("text").alias("places"))).select(F.col("label").cast("double").alias("label"), scaled("places").alias("features"))
-    fit = LogisticRegression(regParam=REGULARIZATION, maxIter=ITERATIONS, standardization=False).fit(stored(vectors))
-    return Classifier(bins, ratios * fit.coefficients.toArray(), float(fit.intercept))
+            places = (shipped.value[ngrams(t)] for t in texts)
+            yield pd.Series([distinct(p[p >= 0]) for p in places], dtype=object)
+
+    # Present features as a sparse vector, scaled by their ratios.
+    held = stored(learn.select(F.col("label").cast("double").alias("label"), features("text").cast("array<string>").alias("held")))
+    present = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(bins))], inputCol="held", outputCol="present", binary=True)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratios), inputCol="present", outputCol="features")
+    fit = LogisticRegression(regParam=REGULARIZATION, maxIter=ITERATIONS, standardization=False).fit(scaled.transform(present.transform(held)).select("label", "features"))
+    weights[bins] = ratios * fit.coefficients.toArray()
+    return Classifier(weights, float(fit.intercept))
 
 
 def held_out() -> Column:
