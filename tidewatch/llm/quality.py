@@ -3,11 +3,13 @@
 The model is over characters.  All trusted texts are counted; the counts of the
 orders are derived and joined shard by shard in Spark (each join is dealt by
 n-gram or context), and give the log probability of every n-gram that any
-document holds.  That table is cut into shards of bounded size.  One pass over
-the documents for each shard sums what the shard knows, and the sums meet by
-document, so neither a task nor the driver ever holds more than a shard.  A
-document is kept if its perplexity is at most its language's quantile among the
-trusted texts.
+document holds.  A document's n-grams meet that table in two ways.  The most
+frequent n-grams of all documents, a bounded number, come to the texts by
+broadcast and are summed in the pass that reads them.  Every other n-gram is
+rare, and goes as a row (document, n-gram, count) to a join by n-gram, whose
+products are summed by document.  So neither a task nor the driver holds more
+than that bounded table, and no n-gram that is joined is frequent.  A document is
+kept if its perplexity is at most its language's quantile among the trusted texts.
 
 Defined results: a null text counts as empty; an empty text is the end mark
 alone; equal rows stay as many rows; a null language is a language of its own; a
@@ -18,7 +20,6 @@ equally likely characters.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from .toxicity import held_out
 ORDER = 4
 #: Share of the trusted texts of a language that its threshold keeps.
 QUANTILE = 0.995
-#: N-grams of one shard of the finished table.
-SHARD = 1_500_000
+#: N-grams that are broadcast: the most frequent.
+FREQUENT = 1_000_000
 #: Characters that a task counts together.
 PART = 4_000_000
 _START, _END = "\x02", "\x03"
@@ -63,26 +64,52 @@ def _parts(batches: Iterator[pd.Series]) -> Iterator[list[str]]:
         yield part
 
 
+def _spelled(letters: np.ndarray) -> list[str]:
+    """N-grams as strings from rows of code points."""
+    flat = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)]
+
+
+def _windows(numbers: np.ndarray, base: int) -> np.ndarray:
+    """A number for the n-gram that begins at each place, different for different n-grams; numbers lie below base.
+
+    Where four of them might not fit into 64 bits, what has been joined so far is numbered anew.
+    """
+    n = len(numbers) - ORDER + 1
+    keys, width = numbers[:n].astype(np.int64), base
+    for k in range(1, ORDER):
+        if width * base >= 2**63:
+            found, keys = np.unique(keys, return_inverse=True)
+            keys, width = keys.astype(np.int64), len(found)
+        keys = keys * base + numbers[k : k + n]
+        width *= base
+    return keys
+
+
+def _inside(at: np.ndarray, n: int) -> np.ndarray:
+    """Places whose n-gram lies within one text."""
+    inside = np.ones(n, bool)
+    for back in range(1, ORDER):
+        inside[at[1:-1] - back] = False
+    return inside
+
+
 def ngram_counts(texts: DataFrame) -> DataFrame:
     """(g, c): the n-grams of all texts (column text) and how often they stand there, counted in parts first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(b["text"] for b in batches):
             chars, at = _codes(part)
-            alphabet, ids = np.unique(chars, return_inverse=True)
-            n = len(chars) - ORDER + 1
-            keys = np.zeros(n, np.int64)
-            for k in range(ORDER):
-                keys = keys * len(alphabet) + ids[k : k + n]
-            inside = np.ones(n, bool)  # not across two texts
-            for back in range(1, ORDER):
-                inside[at[1:-1] - back] = False
-            found, counts = np.unique(keys[inside], return_counts=True)
-            letters = []
-            for k in range(ORDER):
-                letters.append(alphabet[found // len(alphabet) ** (ORDER - 1 - k) % len(alphabet)])
-            flat = np.stack(letters, axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            yield pd.DataFrame({"g": [flat[i : i + ORDER] for i in range(0, len(flat), ORDER)], "c": counts})
+            alphabet, numbers = np.unique(chars, return_inverse=True)
+            keys = _windows(numbers, len(alphabet))
+            places = np.flatnonzero(_inside(at, len(keys)))
+            if len(alphabet) ** ORDER < 2**63:  # the letters follow from the number
+                found, counts = np.unique(keys[places], return_counts=True)
+                letters = np.stack([alphabet[found // len(alphabet) ** (ORDER - 1 - k) % len(alphabet)] for k in range(ORDER)], axis=1)
+            else:
+                _, first, counts = np.unique(keys[places], return_index=True, return_counts=True)
+                letters = chars[places[first][:, None] + np.arange(ORDER)]
+            yield pd.DataFrame({"g": _spelled(letters), "c": counts})
 
     return texts.select("text").mapInPandas(count, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -125,38 +152,57 @@ def log_probabilities(trusted: DataFrame, asked: DataFrame, alphabet: int) -> Da
     return lower.select("g", F.log("low").alias("logp"))
 
 
-def _summed(text: Column, grams: list[str], logps: np.ndarray) -> Column:
-    """struct(total, n): the log probabilities of a text's n-grams that the shard holds, and the text's length with its end."""
-    chars, _ = _codes(grams)
-    alphabet = np.unique(chars)
-    ids = np.searchsorted(alphabet, chars).reshape(-1, ORDER)
-    keys = functools.reduce(lambda a, k: a * (len(alphabet) + 1) + ids[:, k], range(ORDER), np.zeros(len(grams), np.int64))
+_SCORED = "row long, doc_id long, lang string, total double, n long, g string, c long"
+
+
+def frequent_table(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(alphabet, keys, log probabilities) of at most ``most`` n-grams, the most frequent of a table (g, logp, c), by key.
+
+    A key must fit into 64 bits, so n-grams with letters beyond the 50,000 most frequent stay out.
+    """
+    top = table.orderBy(F.desc("c"), "g").limit(most).select("g", "logp").toPandas()  # of bounded size
+    letters = _codes(top["g"].tolist())[0].reshape(-1, ORDER)
+    alphabet, counts = np.unique(letters, return_counts=True)
+    alphabet = np.sort(alphabet[np.argsort(-counts, kind="stable")[:50_000]])
+    fits = np.isin(letters, alphabet).all(axis=1) if len(letters) else np.zeros(0, bool)
+    numbers = np.searchsorted(alphabet, letters[fits])
+    keys = np.zeros(len(numbers), np.int64)
+    for k in range(ORDER):
+        keys = keys * (len(alphabet) + 1) + numbers[:, k]
     order = np.argsort(keys)
-    spark_table = (alphabet, keys[order], np.append(logps[order], 0.0))
-    shipped = SparkSession.getActiveSession().sparkContext.broadcast(spark_table)
+    return alphabet, keys[order], top["logp"].to_numpy(float)[fits][order]
+
+
+def _scored(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Of every row of docs (row, doc_id, lang, text): a row (total, n) of its frequent n-grams, and rows (g, c) of the others."""
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
+    columns = [c.split()[0] for c in _SCORED.split(", ")]
 
-    @F.pandas_udf("total double, n long")
-    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alphabet, keys, logps = shipped.value
         number = np.full(0x110000, len(alphabet), np.int32)
         number[alphabet] = np.arange(len(alphabet), dtype=np.int32)
-        for texts in batches:
-            totals, sizes = [], []
-            for part in _parts(iter([texts])):
+        for rows in batches:
+            begun = 0
+            for part in _parts(iter([rows["text"]])):
+                own = rows.iloc[begun : begun + len(part)]
+                begun += len(part)
                 chars, at = _codes(part)
-                ids = number[chars].astype(np.int64)
-                n = len(ids) - ORDER + 1
-                packed = np.zeros(n, np.int64)
-                for k in range(ORDER):
-                    packed = packed * (len(alphabet) + 1) + ids[k : k + n]
+                packed = _windows(number[chars], len(alphabet) + 1)
+                inside = _inside(at, len(packed))
                 place = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
-                logp = np.where(keys[place] == packed, logps[place], 0.0)
-                for a, b in zip(at.tolist(), at[1:].tolist()):
-                    totals.append(float(logp[a : b - ORDER + 1].sum()))
-                    sizes.append(b - a - ORDER + 1)
-            yield pd.DataFrame({"total": totals, "n": sizes})
+                known = (keys[place] == packed) & inside if len(keys) else np.zeros(len(packed), bool)
+                sums = np.concatenate(([0.0], np.where(known, logps[place], 0.0))) if len(keys) else np.zeros(len(packed) + 1)
+                ends = np.minimum(at[1:] - ORDER + 1, len(packed))
+                totals = np.array([sums[a + 1 : b + 1].sum() for a, b in zip(at.tolist(), ends.tolist())])
+                yield pd.DataFrame({**{c: own[c] for c in ("row", "doc_id", "lang")}, "total": totals, "n": ends - at[:-1]}).reindex(columns=columns).astype({"doc_id": "Int64", "c": "Int64", "lang": object, "g": object})
+                rest = np.flatnonzero(~known & inside)
+                if len(rest):
+                    frame = pd.DataFrame({"row": own["row"].to_numpy()[np.searchsorted(at, rest, "right") - 1], "g": _spelled(chars[rest[:, None] + np.arange(ORDER)])})
+                    counted = frame.groupby(["row", "g"], as_index=False).size().rename(columns={"size": "c"})
+                    yield counted.reindex(columns=columns).astype({"doc_id": "Int64", "n": "Int64", "lang": object, "g": object})
 
-    return sums(text)
+    return docs.select("row", "doc_id", "lang", "text").mapInPandas(score, _SCORED)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -166,21 +212,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     known = stored(ngram_counts(docs.join(ids.hint("merge"), "doc_id", "left_semi")))
     asked = stored(ngram_counts(docs))
     alphabet = asked.select(F.substring("g", ORDER, 1).alias("w")).distinct().count() + 1
-    finished = stored(log_probabilities(known, asked, alphabet))
-    shards = max(1, -(-finished.count() // SHARD))
-    rows = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
-    partial = None
-    for s in range(shards):
-        shard = finished.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == s).toPandas()  # of bounded size
-        if not len(shard):
-            shard = pd.DataFrame({"g": ["\0" * ORDER], "logp": [0.0]})
-        one = rows.select("doc_id", "lang", "text_hash", _summed(F.col("text"), shard["g"].tolist(), shard["logp"].to_numpy()).alias("s"))
-        one = one.select("doc_id", "lang", "text_hash", "s.total", "s.n")
-        partial = one if partial is None else partial.unionByName(one)
-    found = partial.groupBy("doc_id", "lang", "text_hash").agg(F.sum("total").alias("total"), F.first("n").alias("n"), (F.count("*") / shards).cast("long").alias("rows"))
-    found = found.withColumn("perplexity", F.exp(-F.col("total") / F.col("rows") / F.col("n")))
-    found = found.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    return found.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select("doc_id", "lang", "trusted", "perplexity")
+    finished = stored(log_probabilities(known, asked, alphabet).join(asked, "g"))
+    # Written at once, so a row's number is the same in both kinds of rows.
+    found = stored(_scored(docs.withColumn("row", F.monotonically_increasing_id()), frequent_table(finished, FREQUENT)))
+    rare = found.where("g IS NOT NULL").select("row", "g", F.col("c").alias("times"))
+    rare = rare.join(finished.select("g", "logp").hint("merge"), "g").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("more"))
+    rows = found.where("g IS NULL").select("row", "doc_id", "lang", "total", "n").join(rare.hint("merge"), "row", "left")
+    rows = rows.withColumn("perplexity", F.exp(-(F.col("total") + F.coalesce("more", F.lit(0.0))) / F.col("n")))
+    marked = ids.withColumn("trusted", F.lit(True)).hint("merge")
+    return rows.join(marked, "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "perplexity")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -192,7 +232,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     unseen = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     scored = perplexities(docs, trusted.where(~unseen))
     measure = trusted.where(unseen).select("doc_id").distinct().withColumn("measures", F.lit(True))
-    scored = stored(scored.join(measure, "doc_id", "left"))
+    scored = stored(scored.join(measure.hint("merge"), "doc_id", "left"))
 
     def level(by: str) -> Column:
         return F.percentile_approx(F.when(F.col(by), F.col("perplexity")), quantile, 10_000)
