@@ -3,13 +3,13 @@ import numpy as np
 from tidewatch.llm import components, vectors
 
 
-def plain(rows, cosine=vectors.COSINE):
+def plain(rows, cosine=vectors.COSINE, kind=np.float32):
     ok = [i for i, (_, e, lab) in enumerate(rows) if lab is not None and e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e)]
     links, root = {i: 0 for i in range(len(rows))}, {i: i for i in range(len(rows))}
     find = lambda i: i if root[i] == i else find(root[i])
     for i in ok:
         for j in ok:
-            a, b = (np.array(rows[k][1], np.float32).astype(float) for k in (i, j))
+            a, b = (np.array(rows[k][1], kind).astype(float) for k in (i, j))
             if i < j and rows[i][2] == rows[j][2] and len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= cosine:
                 links[i] += 1
                 links[j] += 1
@@ -43,7 +43,26 @@ def test_links_and_components(spark, monkeypatch):
         got = vectors.near_duplicates(df).collect()
         assert sorted(((r.vec_id is None, r.vec_id or 0), r.n_links, r.component_id) for r in got) == want
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
-    assert vectors.near_duplicates(df.where("1 = 0")).count() == 0
+    assert vectors.near_duplicates(df.where("1 = 0")).collect() == []
+
+
+def test_double_vectors_stay_double(spark):
+    """A cosine below the threshold by less than single precision tells."""
+    turned = lambda angle: [float(np.cos(angle)), float(np.sin(angle)), 0.0, 0.0]
+    below, above = np.arccos(vectors.COSINE - 3e-9), np.arccos(vectors.COSINE + 3e-9)
+    rows = [(0, turned(0.0), 1), (1, turned(below), 1), (2, turned(0.0), 2), (3, turned(above), 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = vectors.near_duplicates(df).collect()
+    assert sorted(((r.vec_id is None, r.vec_id or 0), r.n_links, r.component_id) for r in got) == plain(rows, kind=float)
+    assert {r.vec_id: r.n_links for r in got} == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """100,000 equal vectors and null ids: one class, whose rows stay where they are."""
+    hot = spark.range(100_000).selectExpr("IF(id % 2 = 0, id, NULL) AS vec_id", "array(1.0F, 2.0F) AS embedding", "1 AS label", "'x' AS cls", "id AS n")
+    rest = spark.createDataFrame([(200_000, [1.0, 2.01], 1, "y", 3), (200_001, [5.0, -1.0], 1, "z", 4)], hot.schema)
+    r = vectors.near_duplicates(hot.unionByName(rest)).selectExpr("count(*) AS rows", "sum(n_links) AS links", "count_if(component_id = 0) AS one").first()
+    assert (r.rows, r.links, r.one) == (100_002, 100_001 * 100_000, 100_001)
 
 
 def test_components_of_chains_stars_and_nothing(spark):

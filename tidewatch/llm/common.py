@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Where the session names none, it is set: to a folder of the warehouse on a
+    cluster, to a temporary one only where driver and executors are one process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        named = "file://" + tempfile.mkdtemp(prefix="tidewatch-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidewatch-stored"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -32,14 +34,37 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran,
-    and what is used twice is computed once.
+    and what is used twice is computed once.  The table goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that more than this share of all rows has is hot; so there are fewer than 1 / HOT_SHARE hot keys, whatever the number of rows.
+HOT_SHARE = 0.001
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with one fact row for each key (keys, n and more; n: how many of the rows have the key).
+
+    The rows of a hot key stay where they are and its fact comes to them by
+    broadcast: of facts with n above HOT_SHARE of all rows there are fewer than
+    1 / HOT_SHARE.  All others meet in a merge join, where no key is hot.
+    """
+    facts = stored(facts)
+    n_rows = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(1_000.0, HOT_SHARE * n_rows)
+    few, many = facts.where(hot), facts.where(~hot)
+    common = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many.hint("merge"), keys)
+    return common.unionByName(rest)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

@@ -9,9 +9,9 @@ label; the union of what the blocks find is verified by the cosine in double
 precision.
 
 Equal vectors of a label are one class.  A vector is at home in one cell of each
-block and visits the cells within reach, so all its partners meet it at home and
-its links are counted there, each pair in the first block that finds it: no list
-of pairs is written.  A cell with many vectors is dealt out in pieces of bounded
+block and visits those of the cells within reach that come after its own, so two
+partners meet once in a block, where one of them is at home, and both count the
+link there, in the first block that finds it: no list of pairs is written.  A cell with many vectors is dealt out in pieces of bounded
 size.  What leaves a task is a count for each vector and a spanning forest of
 the links, from which the components follow.
 
@@ -24,7 +24,6 @@ are not read.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import join_facts, stored, table
 from .components import connected_components, local_roots
 
 COSINE = 0.98
@@ -44,11 +43,15 @@ _SLACK = 1e-9
 _CELL = ["label", "dims", "block", "c0", "c1"]
 
 
-@functools.cache
+_rotations: dict[int, np.ndarray] = {}
+
+
 def rotation(dims: int) -> np.ndarray:
-    """A fixed orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))
-    return q * np.sign(np.diag(r))
+    """A fixed orthogonal matrix, made once for each number of dimensions."""
+    if dims not in _rotations:
+        q, r = np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))
+        _rotations[dims] = q * np.sign(np.diag(r))
+    return _rotations[dims]
 
 
 def unit_and_rotated(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def _cells(vectors: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray
         n = min(GRID, block.stop - block.start)
         y[:, :n] = turned[:, block][:, :n]
         low, own, high = (np.floor((y + d) / (2 * reach)).astype(np.int64) for d in (-reach, 0.0, reach))
-        for code in range(3**GRID):
+        for code in range(3**GRID // 2, 3**GRID):  # the own cell, then those that come after it: of two cells one is visited
             picks = [code // 3**k % 3 for k in range(GRID)]
             cell = np.stack([(low, own, high)[p][:, k] for k, p in enumerate(picks)], axis=1)
             # A neighbour is visited only if it is another cell than the own one, in each dimension that moves.
@@ -118,7 +121,8 @@ def cell_counts(classes: DataFrame, cosine: float) -> DataFrame:
 
 
 def _placed(classes: DataFrame, cosine: float) -> DataFrame:
-    """A row for each class and cell: home or visit."""
+    """A row for each class and cell: home or visit.  Vectors keep the width of their numbers."""
+    kind = classes.schema["embedding"].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -126,7 +130,7 @@ def _placed(classes: DataFrame, cosine: float) -> DataFrame:
                 for no, which, cell, home in _cells(vectors, cosine):
                     yield part.iloc[which].assign(dims=vectors.shape[1], block=no, c0=cell[:, 0], c1=cell[:, 1], home=home)
 
-    return classes.select("cls", "n", "label", "embedding").mapInPandas(place, "cls long, n long, label int, embedding array<float>, dims int, block int, c0 long, c1 long, home boolean")
+    return classes.select("cls", "n", "label", "embedding").mapInPandas(place, f"cls long, n long, label int, embedding {kind}, dims int, block int, c0 long, c1 long, home boolean")
 
 
 def links(classes: DataFrame, cosine: float) -> DataFrame:
@@ -138,7 +142,7 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     as_home = F.transform(F.sequence(F.lit(0).cast("long"), kp - 1), lambda j: F.struct(hi.alias("i"), j.alias("j"), F.lit(True).alias("at_home"), (j == pj).alias("partner")))
     as_guest = F.transform(F.sequence(F.lit(0).cast("long"), kh - 1), lambda i: F.struct(i.alias("i"), pj.alias("j"), F.lit(False).alias("at_home"), F.lit(True).alias("partner")))
     pieces = F.when(F.col("home"), F.concat(as_home, F.filter(as_guest, lambda x: x["i"] != hi))).otherwise(as_guest)
-    dealt = placed.select("cls", "n", "embedding", *_CELL, F.explode(pieces).alias("p")).select("cls", "n", "embedding", *_CELL, "p.*")
+    dealt = placed.select("cls", "n", "embedding", "home", *_CELL, F.explode(pieces).alias("p")).select("cls", "n", "embedding", "home", *_CELL, "p.*")
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         return _range_join(group, cosine)
@@ -147,12 +151,15 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
 
 
 def _range_join(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links between the vectors at home and all partners of a piece of a cell."""
+    """Links between the vectors at home and all partners of a piece of a cell.
+
+    Two vectors at home meet twice, each as the other's partner; a guest meets those at home once.
+    """
     dims, no = int(group["dims"].iloc[0]), int(group["block"].iloc[0])
     unit, turned = unit_and_rotated(np.array(group["embedding"].tolist(), float))
     parts = blocks(dims)
     limits = [budget(p, dims, cosine) for p in parts]
-    cls, n = group["cls"].to_numpy(), group["n"].to_numpy()
+    cls, n, guest = group["cls"].to_numpy(), group["n"].to_numpy(), ~group["home"].to_numpy(bool)
     homes, partners = np.flatnonzero(group["at_home"]), np.flatnonzero(group["partner"])
     own = turned[:, parts[no]]
     square = (own**2).sum(axis=1)
@@ -177,6 +184,7 @@ def _range_join(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
         keep = cos >= cosine
         x, y = x[keep], y[keep]
         np.add.at(counted, x, n[y])
+        np.add.at(counted, y[guest[y]], n[x[guest[y]]])
         roots = local_roots(len(group), x, y, roots)
     out = np.flatnonzero((counted > 0) | (roots != np.arange(len(group))))
     return pd.DataFrame({"cls": cls[out], "links": counted[out], "root": cls[roots[out]]})
@@ -184,7 +192,8 @@ def _range_join(group: pd.DataFrame, cosine: float) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label)."""
-    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    double = vectors.schema["embedding"].dataType.simpleString() == "array<double>"
+    rows = vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
@@ -196,8 +205,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     named = classes.join(counted, "cls", "left").join(member.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("component", F.coalesce("component", "cls")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1)
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.select("label", "embedding", "n_links", "component").join(ids, "component").select("label", "embedding", "n_links", "component_id")
-    linked = rows.where("usable").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    named = named.select("label", "embedding", "n", "n_links", "component").join(ids, "component").select("label", "embedding", "n", "n_links", "component_id")
+    linked = join_facts(rows.where("usable"), named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
