@@ -14,7 +14,9 @@ Defined results: vectors that are null, or hold null or non-finite components,
 take no part, nor do rows with a null vec_id; rows with the query's vec_id are
 not its candidates; rows with the same id and vector ask once but are candidates
 as often as they stand there; vectors of different lengths aren't compared; ties
-go to the smaller vec_id; other columns are not read.
+go to the smaller vec_id; other columns are not read.  Bounds are in floating
+point, with room for their rounding; scores are exact integers, and those that
+64 bits can't hold stop at the nearest that they can.
 """
 
 from __future__ import annotations
@@ -42,9 +44,17 @@ class SortedLists:
     """The sorted lists of a block of integer vectors, read from the top or, for negative weights, from the bottom."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors.astype(float)
-        self.order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.ids, self.exact, self.vectors = ids, vectors, vectors.astype(float)
+        self.order = np.argsort(self.exact, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.largest = np.abs(self.vectors).max(axis=0, initial=0.0)
+
+    def scores(self, which: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The exact inner products of some candidates with a query."""
+        if np.abs(query.astype(float)) @ self.largest < 2.0**62:
+            return self.exact[which] @ query
+        sums = self.exact[which].astype(object) @ query.astype(object)
+        return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in sums], np.int64)
 
     def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Which entries of each list the first ``depth`` sequential reads have met: from the top, from the bottom."""
@@ -60,6 +70,8 @@ class SortedLists:
         """
         n = len(self.ids)
         weights = queries.astype(float)
+        # Twice what rounding can move a bound by.
+        slack = (np.abs(weights) @ self.largest) * (self.vectors.shape[1] + 8) * 2.0**-50
         mine = self.ids[:, None] == query_ids
         alive = [np.flatnonzero(~mine[:, q]) for q in range(len(queries))]
         reading = np.array([q for q in range(len(queries)) if len(alive[q]) > RESOLVED * k], np.int64)
@@ -82,15 +94,15 @@ class SortedLists:
             own = mine[:, reading]
             least[own], most[own] = -np.inf, -np.inf
             bound = np.partition(least, n - k, axis=0)[n - k]
-            able = most >= bound
+            able = most >= bound - slack[reading]
             for column, q in enumerate(reading):
                 alive[q] = np.flatnonzero(able[:, column])
             reading = reading[able.sum(axis=0) > RESOLVED * k]
         out = []
         for q in range(len(queries)):
-            scores = self.vectors[alive[q]] @ weights[q]
-            best = np.lexsort((self.ids[alive[q]], -scores))[:k]
-            out.append((self.ids[alive[q][best]], scores[best].astype(np.int64)))
+            scores = self.scores(alive[q], queries[q])
+            best = np.lexsort((self.ids[alive[q]], ~scores))[:k]  # ~ turns the order around and never overflows
+            out.append((self.ids[alive[q][best]], scores[best]))
         return out
 
 
