@@ -4,7 +4,11 @@ A rule names a host and a path prefix; it fits that host and its subdomains, and
 the longest fitting rule decides.  The URLs that a rule decides are the labelled
 ones: the trees learn from a bounded sample of them and judge all others.
 Features: length, depth, digit ratio, entropy, parameter counts and statistics
-of the host's suffixes.  Everything is DataFrame functions and Spark ML.
+of suffixes and of the first folder.  A suffix's share of blocked URLs is taken
+over the other folds of the sample, never over the row itself, and two of five
+folds show none of a host's suffixes, so that the trees learn how to judge where
+they are unknown; an unknown one has the share 0.5.  Both verdicts
+weigh the same in the fit.  Everything is DataFrame functions and Spark ML.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 no rule, and the verdict of the trees on its features (those of an empty text
@@ -37,26 +41,44 @@ RULES = (
 #: At most so many different labelled URLs fit the trees: those with the least hashes.  Copies count once.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 15, 4, 11
-#: Weight, in URLs, of the overall share in a suffix's share of blocked URLs.
+#: Weight, in URLs, of the even share in a suffix's share of blocked URLs.
 PRIOR_WEIGHT = 10.0
+#: Parts of the sample: the statistics of a part come from the others.
+FOLDS = 5
 
-FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_tail", "f_fragment", "f_suffix1", "f_suffix2", "f_suffix3")
+SUFFIXES = ("suffix1", "suffix2", "suffix3", "folder")
+FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_tail", "f_fragment", *(f"f_{k}" for k in SUFFIXES))
+_URL = ("url", "host", "path")
 
 
-def host_and_path(urls: DataFrame) -> DataFrame:
-    """Adds host and path."""
-    part = lambda k: F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
-    return urls.select("*", lower_ascii(part(1)).alias("host"), part(2).alias("path"))
+def host_of(url: Column) -> Column:
+    return lower_ascii(_part(url, 1))
 
 
-def decide(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """Adds rule and decided (allow, block or null): the longest rule that fits host and path."""
+def path_of(url: Column) -> Column:
+    return _part(url, 2)
+
+
+def _part(url: Column, k: int) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+
+
+def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
+    """The longest rule that fits host and path, and its verdict; null without one."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for host, path, says in sorted(rules, key=lambda r: len(r[0] + r[1])):
-        fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(path)
-        rule = F.when(fits, host + path).otherwise(rule)
+    for own, prefix, says in sorted(rules, key=lambda r: len(r[0] + r[1])):
+        fits = ((host == own) | host.endswith(f".{own}")) & path.startswith(prefix)
+        rule = F.when(fits, own + prefix).otherwise(rule)
         verdict = F.when(fits, says).otherwise(verdict)
-    return urls.select("*", rule.alias("rule"), verdict.alias("decided"))
+    return rule, verdict
+
+
+def decided(urls: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """(row, url, host, path, rule, decided): each row as a struct, so that its columns may have any names."""
+    rows = urls.select(F.struct("*").alias("row"), F.col(f"`{url_col}`").alias("url"))
+    rows = rows.select("row", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
+    return rows.select("*", rule.alias("rule"), verdict.alias("decided"))
 
 
 def _count(text: Column, what: str) -> Column:
@@ -64,7 +86,7 @@ def _count(text: Column, what: str) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Adds the features but those of suffixes, and the suffixes: suffix1 (last label), suffix2 (last two), suffix3 (last label and first folder)."""
+    """Adds the features but those of suffixes, and the suffixes: suffix1 (last label), suffix2 (last two), suffix3 (last label and first folder), folder."""
     u = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
     chars = F.array_distinct(F.filter(F.split(u, ""), lambda c: c != ""))
@@ -88,44 +110,71 @@ def lexical(urls: DataFrame) -> DataFrame:
         F.substring_index("host", ".", -1).alias("suffix1"),
         F.substring_index("host", ".", -2).alias("suffix2"),
         F.concat_ws("/", F.substring_index("host", ".", -1), F.get(F.split("path", "/"), 1)).alias("suffix3"),
+        F.coalesce(F.get(F.split("path", "/"), 1), F.lit("")).alias("folder"),
     )
 
 
-def _with_suffixes(urls: DataFrame, sample: DataFrame, share: float) -> DataFrame:
-    """Adds f_suffix1 to f_suffix3: a suffix's share of blocked URLs in the sample, drawn towards the overall share.
+def _share(blocked: Column, n: Column) -> Column:
+    """A share of blocked URLs, drawn towards an even one."""
+    return (F.coalesce(blocked, F.lit(0.0)) + PRIOR_WEIGHT / 2) / (F.coalesce(n, F.lit(0)) + PRIOR_WEIGHT)
+
 
-    The tables have at most SAMPLE rows, so they may be broadcast.
-    """
-    for k in ("suffix1", "suffix2", "suffix3"):
-        rates = sample.groupBy(k).agg(((F.sum("label") + PRIOR_WEIGHT * share) / (F.count("*") + PRIOR_WEIGHT)).alias(f"f_{k}"))
-        urls = urls.join(F.broadcast(rates), k, "left").withColumn(f"f_{k}", F.coalesce(f"f_{k}", F.lit(share)))
+def _rates(sample: DataFrame, kind: str, *by: str) -> DataFrame:
+    return sample.groupBy(kind, *by).agg(F.sum("weight").alias("_n"), F.sum(F.col("label") * F.col("weight")).alias("_blocked"))
+
+
+def with_statistics(urls: DataFrame, sample: DataFrame) -> DataFrame:
+    """Adds each suffix's share of blocked URLs.  The tables have at most SAMPLE rows, so they may be broadcast."""
+    for k in SUFFIXES:
+        urls = urls.join(F.broadcast(_rates(sample, k)), k, "left").withColumn(f"f_{k}", _share(F.col("_blocked"), F.col("_n"))).drop("_n", "_blocked")
     return urls
 
 
+def shows_suffixes(suffix1: Column, fold: Column) -> Column:
+    """Two of the folds, for each last label two others, show none of the host's suffixes, as if they were unknown."""
+    return F.pmod(F.xxhash64(suffix1) + fold, F.lit(FOLDS)) >= 2
+
+
+def with_other_folds(sample: DataFrame) -> DataFrame:
+    """The same for the sample itself: from the other folds, and in some folds not at all for the host's suffixes."""
+    out = sample
+    for k in SUFFIXES:
+        own = _rates(sample, k, "fold").withColumnRenamed("_n", "_own_n").withColumnRenamed("_blocked", "_own_blocked")
+        out = out.join(F.broadcast(_rates(sample, k)), k).join(F.broadcast(own), [k, "fold"])
+        known = F.lit(True) if k == "folder" else shows_suffixes(F.col("suffix1"), F.col("fold"))
+        out = out.withColumn(f"f_{k}", _share(F.when(known, F.col("_blocked") - F.col("_own_blocked")), F.when(known, F.col("_n") - F.col("_own_n"))))
+        out = out.drop("_n", "_blocked", "_own_n", "_own_blocked")
+    return out
+
+
 def fit(labelled: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Learns from rows (url, host, path, label 0.0 or 1.0); the result adds block_score to rows with url, host and path."""
-    sample = stored(lexical(labelled.select("url", "host", "path", "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)))
+    chosen = labelled.select(*_URL, "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE)
+    sample = stored(lexical(chosen).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS))))
     kinds = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return lambda urls: urls.withColumn("block_score", F.lit(1.0 if kinds.get(1.0) else 0.0))
-    share = kinds[1.0] / sum(kinds.values())
+    even = F.when(F.col("label") == 1, sum(kinds.values()) / (2 * kinds[1.0])).otherwise(sum(kinds.values()) / (2 * kinds[0.0]))
+    sample = stored(sample.withColumn("weight", even))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assembler.transform(_with_suffixes(sample, sample, share)).select("features", "label")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(train)
+    train = stored(with_other_folds(sample).select(*FEATURES, "label", "weight"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(assembler.transform(train).select("features", "label", "weight"))
 
     def score(urls: DataFrame) -> DataFrame:
-        scored = trees.transform(assembler.transform(_with_suffixes(lexical(urls), sample, share)))
-        return scored.withColumn("block_score", F.get(vector_to_array("probability"), 1))
+        rows = urls.select(F.struct("*").alias("_row"), *_URL)
+        scored = trees.transform(assembler.transform(with_statistics(lexical(rows), sample)))
+        return scored.select(*(F.col(f"_row.`{c}`").alias(c) for c in urls.columns), F.get(vector_to_array("probability"), 1).alias("block_score"))
 
     return score
 
 
-def judge(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """page rows with host, path, rule, decided, block_score (of the trees) and verdict."""
-    urls = decide(host_and_path(urls), rules)
-    score = fit(urls.where(F.col("decided").isNotNull()).withColumn("label", (F.col("decided") == "block").cast("double")))
+def judge(urls: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """The rows, but for columns of these names, with host, path, rule, decided (by a rule), block_score (of the trees) and verdict."""
+    rows = decided(urls, url_col, rules)
+    score = fit(rows.where(F.col("decided").isNotNull()).select(*_URL, (F.col("decided") == "block").cast("double").alias("label")))
     says = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
-    return score(urls).withColumn("verdict", F.coalesce("decided", says))
+    adds = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "decided": F.col("decided"), "block_score": F.col("block_score"), "verdict": F.coalesce("decided", says)}
+    return score(rows).select(*(F.col(f"row.`{c}`").alias(c) for c in urls.columns if c not in adds), *(c.alias(n) for n, c in adds.items()))
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
