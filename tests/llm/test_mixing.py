@@ -69,5 +69,25 @@ def test_flight_keeps_totals_and_chances():
     assert abs(mean - 0.37).max() < 0.15
 
 
+def test_many_equal_rows(spark, monkeypatch):
+    """100,000 equal rows, null ids and columns of clashing names: equal rows lie in many groups."""
+    monkeypatch.setattr(mixing, "EQUAL", 700)
+    hot = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b c' AS text", "'hot' AS source", "id AS _copy", "id AS row_hash", "'n' AS nth")
+    rest = spark.range(50).selectExpr("id AS doc_id", "concat('w ', id) AS text", "'src' AS source", "id AS _copy", "id AS row_hash", "'n' AS nth")
+    docs = hot.unionByName(rest)
+    nth = mixing.numbered(mixing.sizes(hot)).selectExpr("count(*) AS n", "count(DISTINCT nth) AS numbers", "max(nth) AS last").first()
+    assert (nth.n, nth.numbers, nth.last) == (100_000, 100_000, 99_999)
+    r = mixing.mix(docs).where("doc_id IS NULL").selectExpr("count(*) AS rows", "sum(taken) AS words", "any_value(target) AS target", "max(copies) AS most").first()
+    assert r.rows == 100_000 and abs(r.words - r.target) <= 3 and r.most <= 2
+    out = mixing.repeat_taken(docs)
+    assert out.columns == docs.columns and out.where("doc_id IS NULL").count() == r.words // 3
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 1_000_000, "a"), (2, "x", "a"), (3, "y z", "a")], "doc_id long, text string, source string")
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs).collect()} == {1: 1_000_000, 2: 1, 3: 2}
+
+
 def test_empty_table(spark):
-    assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixing.mix(none).collect() == [] and mixing.repeat_taken(none).collect() == []

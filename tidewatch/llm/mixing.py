@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import HOT_SHARE, stored, table
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -35,7 +35,10 @@ CAP = 2
 #: Documents of a first group, and groups whose rests are flown together.
 GROUP, FAN = 256, 128
 
-_UNIT = "doc_id long, source string, size long, row_hash long, source_size long, target double, copies long, bucket long, chance double"
+#: Equal rows that are told apart in one step.
+EQUAL = 10_000
+
+_UNIT = "doc_id long, source string, size long, row_hash long, nth long, source_size long, target double, copies long, bucket long, chance double"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -44,6 +47,19 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("row_hash"))
 
 
+def numbered(units: DataFrame) -> DataFrame:
+    """The units with a number ``nth`` among equal ones, so that equal ones needn't share a bucket.
+
+    Equal units are counted, then written out again by pieces of EQUAL: no task
+    gathers them, whatever their number.
+    """
+    counted = units.groupBy(*units.columns).agg(F.count("*").alias("_n"))
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {EQUAL}"))))
+    dealt = pieces.repartition("row_hash", "_piece")
+    first = F.col("_piece") * EQUAL
+    return dealt.select(*units.columns, F.explode(F.sequence(first, F.least(F.col("_n"), first + EQUAL) - 1)).alias("nth"))
+
+
 def targets(units: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, n_rows, source_size, target): one row for each source.
 
@@ -104,7 +120,7 @@ def landing(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
 
 def _flown(last: bool, level: int):
     def fly(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["row_hash", "doc_id", "size"], kind="stable", ignore_index=True)
+        group = group.sort_values(["row_hash", "nth", "doc_id", "size"], kind="stable", ignore_index=True)
         size, chance = group["size"].to_numpy(), group["chance"].to_numpy()
         seed = [level, int(group["bucket"].iloc[0]), int(np.bitwise_xor.reduce(group["row_hash"].to_numpy())) & (2**63 - 1)]
         chance = flight(size, chance, np.random.default_rng(seed))
@@ -119,11 +135,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     goal = stored(targets(units, weights, share, cap)).withColumnRenamed("source", "goal_source")
     most = goal.agg(F.max("n_rows")).first()[0] or 0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = units.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
+    rows = numbered(units).join(goal, F.col("source").eqNullSafe(F.col("goal_source")))
     rows = rows.withColumn("copies", F.floor(ratio + 1e-12)).withColumn("chance", F.greatest(ratio - F.col("copies"), F.lit(0.0)))
     rows = rows.withColumn("chance", F.when((F.col("size") == 0) | (F.col("chance") < 1e-12), 0.0).otherwise(F.col("chance")))
     buckets = F.ceil(F.col("n_rows") / GROUP)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row_hash"), buckets))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row_hash", "nth"), buckets))
     names = [x.split()[0] for x in _UNIT.split(", ")]
     open_rows, done, groups, level = rows.select(*names), [], -(-most // GROUP), 0
     while True:
@@ -146,12 +162,19 @@ def repeat_taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     Rows without words are never taken.  Rows with equal id, source and text are
     told apart by nothing, so any of them stands for all their copies.
     """
-    taken = mix(docs, weights, share, cap).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("_copies"))
-    taken = taken.withColumnRenamed("row_hash", "_key")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    # One shuffle of the texts by one key serves the join and the removal of repeats; the keys are never broadcast.
-    rows = rows.join(taken.hint("merge"), "_key").dropDuplicates(["_key"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    taken = stored(mix(docs, weights, share, cap).where("copies > 0").groupBy("row_hash").agg(F.sum("copies").alias("_copies")))
+    total = taken.agg(F.sum("_copies")).first()[0] or 0
+    # Rows that make up more than a thousandth of the mix: fewer than 1,000, so they may be broadcast.
+    often = F.col("_copies") > max(EQUAL, HOT_SHARE * total)
+    few = stored(taken.where(often))
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "source", "text").alias("row_hash"))
+    # Repeats go before the shuffle, which serves the join too; the keys of the others are never broadcast.
+    others = rows.join(F.broadcast(few), "row_hash", "left_anti").dropDuplicates(["row_hash"]).join(taken.where(~often).hint("merge"), "row_hash")
+    others = others.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_nth"))
+    many = rows.join(F.broadcast(few), "row_hash").dropDuplicates(["row_hash"])
+    many = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {EQUAL}"))).alias("_piece")).repartition("row_hash", "_piece")
+    many = many.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(EQUAL).cast("long"), F.col("_copies") - F.col("_piece") * EQUAL))).alias("_nth"))
+    return others.unionByName(many).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
