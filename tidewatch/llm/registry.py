@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .bpe import op1_bpe
+from .common import table
 from .licenses import op4_licenses
 from .vectors import op10_neardup
 from .mixing import op6_mixing
@@ -15,7 +18,7 @@ from .pii import op9_pii
 from .quality import op8_quality
 from .topk import op2_topk
 from .toxicity import op7_toxicity
-from .urls import op3_urls
+from .urls import judge, op3_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -28,6 +31,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_neardup": op10_neardup,
+    # Columns of these operators that SQL can express, from the same rows.
+    "contract_urls": lambda spark, sf_dir: judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "decided"),
+    "contract_licenses": lambda spark, sf_dir: op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
+    "contract_mixing": lambda spark, sf_dir: op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target")),
+    "contract_pii": lambda spark, sf_dir: op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": oracles.TOPK,
+    "op5_ngram_join": oracles.NGRAMS,
+    "op10_neardup": oracles.NEARDUP,
+    "contract_urls": oracles.URLS,
+    "contract_licenses": oracles.LICENSES,
+    "contract_mixing": oracles.MIXING,
+    "contract_pii": oracles.PII,
+}
