@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import ngrams
 
 
@@ -53,12 +55,12 @@ def order(r):
 def test_equals_all_pairs(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for settings in ({}, {"PIECE": 400, "TOGETHER": 500, "PAIRED": 4, "FREQUENT_COUNT": 5, "BATCH": 2000}):
+    for settings in ({}, {"PIECE": 400, "TOGETHER": 500, "PAIRED": 4, "FREQUENT_COUNT": 5, "BATCH": 2000}, {"FREQUENT": 1, "POSTED": 500}, {"PAIRED": 1, "POSTED": 100}):
         for k, v in settings.items():
             monkeypatch.setattr(ngrams, k, v)
         got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngrams.ngram_join(df).collect()]
         assert sorted(got, key=order) == sorted(plain(rows), key=order)
-    assert ngrams.ngram_join(df.where("1 = 0")).count() == 0
+    assert ngrams.ngram_join(df.where("1 = 0")).collect() == []
 
 
 def test_keep_one(spark):
@@ -73,6 +75,18 @@ def test_keep_one(spark):
     assert sorted(str(r.text) for r in ngrams.keep_one(nameless).collect()) == ["", "None", "a b c", "d e f"]
 
 
+def test_many_equal_rows_without_ids(spark):
+    """100,000 equal rows without an id, a near copy, and columns of clashing names."""
+    text = " ".join(f"w{k}" for k in range(60))
+    hot = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", f"'{text}' AS text", "id AS key", "'x' AS row", "id AS _key")
+    rest = spark.createDataFrame([(7, text + " more", 1, "y", 2), (8, "something else", 3, "z", 4)], hot.schema)
+    docs = hot.unionByName(rest)
+    got = {(r.doc_id, r.component_id): r.n for r in ngrams.ngram_join(docs).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, 7): 100_000, (7, 7): 1, (8, 8): 1}
+    kept = ngrams.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [7, 8]
+
+
 def test_tree_equals_all_pairs():
     rng = np.random.default_rng(3)
     base = [rng.integers(0, 60, 25) for _ in range(6)]

@@ -11,7 +11,8 @@ are equal form one class, so exact copies never meet each other in pairs.
    n - ceil(t n) + 1 n-grams in that order.  These prefixes are dealt by n-gram.
    N-grams with few classes give pairs, which must share enough of their prefixes
    for the lengths that remain; n-grams with many classes link each to the first,
-   so no group ever yields all its pairs.  The components of these candidate
+   so no group ever yields all its pairs.  An n-gram that has many classes in one
+   task's prefixes already links them there and sends the first one on only.  The components of these candidate
    links are blocks: every true pair lies within one block.
 3. A block's sets, in pieces of bounded size, are stored in a prefix tree (most
    frequent first, so copies share paths) and traversed once for all the sets
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import join_facts, stored, table
 from .components import connected_components, local_roots
 
 #: Words of an n-gram, and the similarity as a fraction.
@@ -50,8 +51,10 @@ TEXT = 1_000_000
 BATCH = 4_000_000
 #: Most classes of an n-gram that are paired with each other.
 PAIRED = 32
+#: Prefix entries that a task looks through together for n-grams with many classes.
+POSTED = 2_000_000
 #: N-grams of the sets of one piece of a block, and of blocks joined in one call.
-PIECE, TOGETHER = 300_000, 300_000
+PIECE, TOGETHER = 300_000, 100_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -172,6 +175,11 @@ def _in_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.reindex(columns=[c.split()[0] for c in _FACTS.split(", ")]).astype("Int64")
 
 
+#: A prefix entry: an n-gram, a class that holds it and the size of the class's set, 0 where the n-gram has many classes.
+#: A link that a task has found already: a class, the class that it is linked to, and -1.
+_POSTED = "key long, cls long, n long"
+
+
 def _prefixes(frequent: np.ndarray):
     """frequent: the hashes in the table, rarest first."""
     by_hash = np.argsort(frequent)
@@ -184,10 +192,28 @@ def _prefixes(frequent: np.ndarray):
         common = keys[at] == found
         return np.concatenate((found[~common], found[common][np.argsort(by_hash[at[common]])]))
 
+    def sent(grams: list[np.ndarray], cls: list[int], n: list[int]) -> pd.DataFrame:
+        """Entries; where an n-gram has many classes here, only that of its least one, and links of the others to it."""
+        sizes = [len(g) for g in grams]
+        gram, of, size = np.concatenate(grams).view(np.int64), np.repeat(np.array(cls, np.int64), sizes), np.repeat(np.array(n, np.int64), sizes)
+        order = np.lexsort((of, gram))
+        gram, of, size = gram[order], of[order], size[order]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        times = np.diff(np.append(first, len(gram)))
+        least, many = np.repeat(of[first], times), np.repeat(times > PAIRED, times)
+        drop = many & (of != least)
+        posted = pd.DataFrame({"key": gram[~drop], "cls": of[~drop], "n": np.where(many, 0, size)[~drop]})
+        if not drop.any():
+            return posted
+        return pd.concat((posted, pd.DataFrame({"key": of[drop], "cls": least[drop], "n": -1}).drop_duplicates()))
+
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[int] = set()
+        grams: list[np.ndarray] = []
+        cls: list[int] = []
+        n: list[int] = []
+        size = 0
         for rows in batches:
-            grams, cls, n = [], [], []
             for _, found in _batches(rows):
                 own = set_hash(found)
                 if len(found) and own not in known:
@@ -195,9 +221,13 @@ def _prefixes(frequent: np.ndarray):
                     grams.append(ordered(found)[: prefix_length(len(found))])
                     cls.append(own)
                     n.append(len(found))
-            if grams:
-                sizes = [len(g) for g in grams]
-                yield pd.DataFrame({"gram": np.concatenate(grams).view(np.int64), "cls": np.repeat(cls, sizes), "n": np.repeat(n, sizes)})
+                    size += len(grams[-1])
+                if size >= POSTED:
+                    yield sent(grams, cls, n)
+                    grams, cls, n, size = [], [], [], 0
+                    known.clear()
+        if grams:
+            yield sent(grams, cls, n)
 
     return postings
 
@@ -209,22 +239,24 @@ def _needed(a: Column, b: Column) -> Column:
 
 def candidate_links(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(a, b): links between classes; every pair of similar sets is connected by them."""
-    posted = docs.select("text").mapInPandas(_prefixes(frequent), "gram long, cls long, n long")
-    by = Window.partitionBy("gram")
-    first = F.row_number().over(Window.partitionBy("gram").orderBy("cls"))
-    posted = posted.withColumn("new", (F.coalesce(F.lag("cls").over(by.orderBy("cls")) != F.col("cls"), F.lit(True))).cast("int"))
-    posted = posted.withColumn("row", first).where("new = 1")
-    posted = posted.select("gram", "cls", "n", F.count("*").over(by).alias("classes"), F.min("cls").over(by).alias("least"))
-    shared = stored(posted.where("classes > 1"))
-    few = shared.where(F.col("classes") <= PAIRED)
+    posted = docs.select("text").mapInPandas(_prefixes(frequent), _POSTED)
+    by = Window.partitionBy("key")
+    new = F.coalesce(F.lag("cls").over(by.orderBy("cls")) != F.col("cls"), F.lit(True))
+    posted = posted.select("*", new.alias("new"), F.max(F.col("n") == 0).over(by).alias("linked")).where("new OR n < 0")
+    posted = posted.select("key", "cls", "n", "linked", F.count("*").over(by).alias("classes"), F.min("cls").over(by).alias("least"))
+    shared = stored(posted.where("classes > 1 OR n < 0"))
+    found = shared.where("n < 0").select(F.col("key").alias("a"), F.col("cls").alias("b"))
+    shared = shared.where("n >= 0").withColumnRenamed("key", "gram")
+    pairwise = ~F.col("linked") & (F.col("classes") <= PAIRED)
+    few = shared.where(pairwise)
     x = few.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"))
     y = few.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"))
     near = (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
     pairs = x.join(y, "gram").where(near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     beyond = F.ceil(NUMERATOR * F.greatest("na", "nb") / DENOMINATOR) - 1
     pairs = pairs.where(F.col("both") + beyond >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
-    many = shared.where((F.col("classes") > PAIRED) & (F.col("cls") != F.col("least"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    return pairs.unionByName(many)
+    many = shared.where(~pairwise & (F.col("cls") != F.col("least"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    return pairs.unionByName(many).unionByName(found)
 
 
 def tree_links(sets: list[np.ndarray], probes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -318,14 +350,16 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     blocks = connected_components(candidate_links(docs, frequent))
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).unionByName(blocks.select(F.col("component").alias("cls"), F.col("component").alias("block")).distinct())
-    firsts = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"))
+    firsts = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.count("*").alias("held"))
     members = stored(members.join(firsts, "cls").select("cls", "block", "n", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")))
     block_sizes = members.groupBy("block").agg(F.sum("n").alias("grams"))
     members = members.join(block_sizes, "block").withColumn("pieces", F.ceil(F.col("grams") / PIECE))
     total = block_sizes.agg(F.sum("grams")).first()[0] or 0
     buckets = total // TOGETHER + 1
-    # The members grow with the corpus, so they are never broadcast.
-    texts = docs.join(members.hint("merge"), (F.col("text_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_id")))
+    # Repeats of a row go before the shuffle, which serves the join too.  The members grow with the corpus, so they are never broadcast.
+    one = docs.select(F.xxhash64("doc_id", "text_hash").alias("key"), "text_hash", "text").dropDuplicates(["key"])
+    members = members.withColumn("key", F.xxhash64("one_id", "one_hash")).hint("merge")
+    texts = one.join(members, "key").where(F.col("text_hash") == F.col("one_hash"))
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -340,10 +374,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     edges = dealt.withColumn("bucket", bucket).drop("pieces").groupBy("bucket").applyInPandas(_join_pieces, "a long, b long")
 
     linked = connected_components(edges).withColumnRenamed("node", "cls")
-    named = firsts.select("cls", "first_id").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = firsts.select("cls", "first_id", F.col("held").alias("n")).join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(ids, "component").select("cls", "component", "component_id")
-    some = rows.where("n > 0").join(named, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", "component")
+    named = named.join(ids, "component").select("cls", "n", "component", "component_id")
+    some = join_facts(rows.where("n > 0").withColumnRenamed("n", "n_shingles"), named, ["cls"]).select("doc_id", "text_hash", "n_shingles", "component_id", "component")
     none = rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return some.unionByName(none)
 
@@ -361,7 +395,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     lone = found.where("n_shingles = 0").select("doc_id", "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     best = found.where("n_shingles > 0").groupBy("component").agg(first.alias("one")).select("one.doc_id", "one.text_hash")
-    keys = best.unionByName(lone).select(F.xxhash64("doc_id", "text_hash").alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
-    # One shuffle of the texts by one key serves the join and the removal of repeats; the keys are never broadcast.
-    return rows.join(keys.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keys = best.unionByName(lone).select(F.xxhash64("doc_id", "text_hash").alias("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    # Repeats go before the shuffle of the texts, which serves the join too; the keys are never broadcast.
+    kept = rows.dropDuplicates(["key"]).join(keys.hint("merge"), "key", "left_semi")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
