@@ -48,6 +48,10 @@ def test_stream_equals_batch(spark, tmp_path):
         assert (r.mean5_z is None) == (w.mean5_z is None) and (r.mean5_z is None or abs(r.mean5_z - w.mean5_z) < 1e-6 * max(1, abs(w.mean5_z)))
     verified = sink.where("kind = 'verified'").collect()
     assert verified and all(want[(r.flow_id, r.t)].status_future == r.status for r in verified)
+    assert live.stream_batch_parity(sink, batch, 1e-6).count() == 0
+    moved = batch.withColumn("rule", F.when(F.col("flow_id") == "3", 0).otherwise(F.col("rule"))).where("flow_id <> '4'")
+    wrong = {r.why: r.n for r in live.stream_batch_parity(sink, moved, 1e-6).groupBy("why").agg(F.count("*").alias("n")).collect()}
+    assert wrong == {"differs": batch.where("flow_id = '3'").count(), "only_a": batch.where("flow_id = '4'").count()}
     board = live.live_scoreboard(sink).first()
     assert board.verified == len(verified)
     assert live.freshness(sink, "2100-01-01", 60).first().stopped

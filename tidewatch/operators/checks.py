@@ -57,19 +57,20 @@ def enforce(check: Check, mode: str = "fail") -> DataFrame | None:
     return check.df.where(~F.coalesce(check.offends, F.lit(False)))
 
 
-def chain_checks(meas: DataFrame, feat: DataFrame, lab: DataFrame, fut: DataFrame, p: Params) -> list[Check]:
+def chain_checks(meas: DataFrame, fut: DataFrame, p: Params) -> list[Check]:
+    """Checks of measurements and of labelled rows; the latter have all columns of features and labels, so one aggregation serves them all."""
     rule, status = F.col("rule"), F.col("status_now")
     extreme = (F.col("robust_z") >= p.z_fail) & (F.col("increase_pct") >= (p.floor if p.floor is not None else float("-inf")))
     return [
         Check("positive_rtt", meas, F.col("rtt") <= 0),
         Check("periods", meas, ~F.col("period").isin("A", "B")),
         Check("unique_keys", meas.groupBy("flow_id", "t").agg(F.count("*").alias("n")).where("n > 1")),
-        Check("no_period_a", feat, F.col("period") == "A"),
-        Check("min_le_mean", feat, (F.col("min5_z") > F.col("mean5_z") + 1e-9) | (F.col("min5_z") > F.col("robust_z"))),
-        Check("rule_class", lab, rule.isNull() | ~rule.between(1, 6) | ((status == "FAIL") != (rule <= 4)) | ((status == "RISK") != (rule == 5))),
-        Check("loss_is_fail", lab, (F.col("loss_pct") >= p.loss_fail) & (status != "FAIL")),
-        Check("rule3_both", lab, (rule == 3) & ~F.coalesce(extreme, F.lit(False))),
-        Check("ok_not_extreme", lab, (status == "OK") & extreme),
+        Check("no_period_a", fut, F.col("period") == "A"),
+        Check("min_le_mean", fut, (F.col("min5_z") > F.col("mean5_z") + 1e-9) | (F.col("min5_z") > F.col("robust_z"))),
+        Check("rule_class", fut, rule.isNull() | ~rule.between(1, 6) | ((status == "FAIL") != (rule <= 4)) | ((status == "RISK") != (rule == 5))),
+        Check("loss_is_fail", fut, (F.col("loss_pct") >= p.loss_fail) & (status != "FAIL")),
+        Check("rule3_both", fut, (rule == 3) & ~F.coalesce(extreme, F.lit(False))),
+        Check("ok_not_extreme", fut, (status == "OK") & extreme),
         Check("future_in_gate", fut, F.col("status_future").isNotNull() != F.coalesce(F.col("delta_s").between(*p.gate), F.lit(False))),
     ]
 

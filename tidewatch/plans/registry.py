@@ -293,7 +293,7 @@ query("g6_valid_coords", "SELECT count(*) AS n FROM probe WHERE lon BETWEEN -180
 
 # Sources, checks
 query("s9_slices", "SELECT CAST(k AS BIGINT) AS k, s0 + to_hours(12 * k) + to_seconds(k) AS slice_from, least(s0 + to_hours(12 * (k + 1)) + to_seconds(k), s1) AS slice_to FROM (SELECT min(ts) AS s0, max(ts) AS s1 FROM events), range(0, 10000) r(k) WHERE s0 + to_hours(12 * k) + to_seconds(k) <= s1")(lambda c: S.plan_slices(c.table("events").agg(F.min("ts").alias("start"), F.max("ts").alias("stop")), 12))
-query("q_checks", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", {s} AS offenders" for n, s in (("positive_rtt", "(SELECT count(*) FROM meas WHERE rtt <= 0)"), ("periods", "(SELECT count(*) FROM meas WHERE period NOT IN ('A', 'B'))"), ("unique_keys", "(SELECT count(*) FROM (SELECT 1 FROM meas GROUP BY flow_id, t HAVING count(*) > 1))"), ("no_period_a", "(SELECT count(*) FROM feat WHERE period = 'A')"), ("min_le_mean", "(SELECT count(*) FROM feat WHERE min5_z > mean5_z + 1e-9 OR min5_z > robust_z)"), ("rule_class", "(SELECT count(*) FROM lab WHERE rule IS NULL OR rule NOT BETWEEN 1 AND 6 OR (status_now = 'FAIL') <> (rule <= 4) OR (status_now = 'RISK') <> (rule = 5))"), ("loss_is_fail", "(SELECT count(*) FROM lab WHERE loss_pct >= 10 AND status_now <> 'FAIL')"), ("rule3_both", "(SELECT count(*) FROM lab WHERE rule = 3 AND NOT (robust_z >= 3.5 AND increase_pct >= 30))"), ("ok_not_extreme", "(SELECT count(*) FROM lab WHERE status_now = 'OK' AND robust_z >= 3.5 AND increase_pct >= 30)"), ("future_in_gate", "(SELECT count(*) FROM fut WHERE (status_future IS NOT NULL) <> coalesce(delta_s BETWEEN 65000 AND 152000, false))"))))(lambda c: C.run_all(C.chain_checks(c.meas, c.feat, c.lab, c.fut, P)))
+query("q_checks", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", {s} AS offenders" for n, s in (("positive_rtt", "(SELECT count(*) FROM meas WHERE rtt <= 0)"), ("periods", "(SELECT count(*) FROM meas WHERE period NOT IN ('A', 'B'))"), ("unique_keys", "(SELECT count(*) FROM (SELECT 1 FROM meas GROUP BY flow_id, t HAVING count(*) > 1))"), ("no_period_a", "(SELECT count(*) FROM feat WHERE period = 'A')"), ("min_le_mean", "(SELECT count(*) FROM feat WHERE min5_z > mean5_z + 1e-9 OR min5_z > robust_z)"), ("rule_class", "(SELECT count(*) FROM lab WHERE rule IS NULL OR rule NOT BETWEEN 1 AND 6 OR (status_now = 'FAIL') <> (rule <= 4) OR (status_now = 'RISK') <> (rule = 5))"), ("loss_is_fail", "(SELECT count(*) FROM lab WHERE loss_pct >= 10 AND status_now <> 'FAIL')"), ("rule3_both", "(SELECT count(*) FROM lab WHERE rule = 3 AND NOT (robust_z >= 3.5 AND increase_pct >= 30))"), ("ok_not_extreme", "(SELECT count(*) FROM lab WHERE status_now = 'OK' AND robust_z >= 3.5 AND increase_pct >= 30)"), ("future_in_gate", "(SELECT count(*) FROM fut WHERE (status_future IS NOT NULL) <> coalesce(delta_s BETWEEN 65000 AND 152000, false))"))))(lambda c: C.run_all(C.chain_checks(c.meas, c.fut, P)))
 
 
 def _plain_and_seeded(offenders: Callable[[DataFrame], DataFrame], plain: DataFrame, seeded: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.params import BASELINE_COLUMNS, FIXED_RULE, MODEL_COLUMNS, TRAILING, Params, first_class, rule_table
 from ..operators.baseline import cards as frozen_cards
 from ..operators.features import relative_metrics
+from ..operators.joins import compare_tables
 from ..operators.models import assemble, score
 
 MEASUREMENT_SCHEMA = "flow_id string, t timestamp, rtt double, jitter double, loss_pct double, is_timeout int"
@@ -171,6 +172,17 @@ def sink_account(sink: DataFrame) -> DataFrame:
     return sink.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("flow_id", "t").alias("keys"), hit.alias("hits"))
 
 
+#: What the sink says at arrival, and the batch columns of the same meaning.
+_PARITY = {"rule": "rule", "status": "status_now", "prediction": "rule_pred", **{c: c for c in ("n5_timeout", "n5_increase80", "n5_moderate", "min5_z", "mean5_z", "robust_z", "increase_pct", "jitter_ratio")}}
+
+
+def stream_batch_parity(sink: DataFrame, batch: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """(flow_id, t, why): rows that only the stream or only batch has, that repeat, or that the two judge differently."""
+    at = F.col("t").cast("timestamp_ntz").alias("t")
+    streamed = sink.where("kind = 'predicted'").select("flow_id", at, *_PARITY)
+    return compare_tables(streamed, batch.select("flow_id", at, *(F.col(b).alias(a) for a, b in _PARITY.items())), ["flow_id", "t"], list(_PARITY), tol)
+
+
 def predict_on_arrival(df: DataFrame, model: Model, model_id: str, cols: tuple[str, ...] = MODEL_COLUMNS) -> DataFrame:
     """A micro-batch with the fitted model's class as the prediction of the rows that arrived, its id and probabilities.
 
