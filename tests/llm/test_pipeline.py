@@ -1,11 +1,19 @@
 import hashlib
+import os
+import re
+import sys
 
 import corpus_pipeline
 from tokenizers import Tokenizer
 
-from tidewatch.llm import bpe, mixing, pii, toxicity
+from tidewatch.llm import bpe, toxicity
 from tidewatch.llm.common import stored
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_mixing import plain_targets  # noqa: E402
+from test_pii import plain as plain_spans  # noqa: E402
+from test_toxicity import plain_bins  # noqa: E402
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -14,6 +22,11 @@ def shingles(text):
     return frozenset(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
+def spans(text):
+    """How many base spans of each kind, by the contract's patterns."""
+    return plain_spans(text)[0]
+
+
 def test_each_stage_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -24,9 +37,16 @@ def test_each_stage_against_brute_force(spark):
         if name != "bpe":
             assert out.columns == docs.columns
         if name == "toxicity":
+            # The trained weights, applied character by character.
             found = toxicity.train(docs, toxicity.learning_labels(spark.read.parquet(f"{SF}/labels.parquet")))
-            good = {r.doc_id for r in docs.select("doc_id", found.score(docs.text).alias("s")).collect() if r.s < 0.5}
-            assert {r.doc_id for r in after} == good and len(after) == len(good)
+            kept, short = {r.doc_id for r in after}, [r for r in before if len(r.text or "") < 1_500]
+            assert len(kept) == len(after) and kept < {r.doc_id for r in before} and len(short) > 400
+            for r in short:
+                score = found.intercept + sum(float(found.weights[b]) for b in plain_bins(r.text))
+                assert (r.doc_id in kept) == (score < 0), r.doc_id
+            labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            clean, toxic = ([i in kept for i, v in labels.items() if v == k] for k in (0, 1))
+            assert sum(clean) >= 0.99 * len(clean) and sum(toxic) <= 0.4 * len(toxic)
         if name == "ngram_near_duplicates":
             sets = {r.doc_id: shingles(r.text) for r in before}
             root = {i: i for i in sets}
@@ -43,18 +63,29 @@ def test_each_stage_against_brute_force(spark):
                         root[max(x, y)] = min(x, y)
             assert sorted(r.doc_id for r in after) == [i for i in ids if find(i) == i]
         if name == "pii":
-            assert len(after) == len(before) and {r.doc_id for r in after} == {r.doc_id for r in before}
-            assert out.where(~out.text.contains("[")).join(docs.select("doc_id", docs.text.alias("was")), "doc_id").where("text <> was").count() == 0
-            left = pii.find_spans(out).selectExpr("explode(pii_spans) AS s").where("s.kind IN ('email', 'ip')").count()
-            assert left == 0 and all(r.n_chars == len(r.text) for r in after)
+            was, now = {r.doc_id: r.text for r in before}, {r.doc_id: r.text for r in after}
+            assert len(after) == len(before) and was.keys() == now.keys() and all(r.n_chars == len(r.text) for r in after)
+            for i, text in was.items():
+                assert not any(spans(now[i])[k] for k in ("email", "ip", "card", "phone"))
+                # What stands between the names of kinds comes from the text, in its order.
+                at = 0
+                for piece in re.split(r"\[(?:EMAIL|IP|CARD|PHONE|IBAN|SSN|ACCOUNT|SECRET)\]", now[i]):
+                    assert (at := text.find(piece, at) + len(piece)) >= len(piece)
+                assert (now[i] != text) >= any(spans(text).values())
         if name == "mixing":
             size = {r.doc_id: len((r.text or "").encode().split()) for r in before}
-            took = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
-            times = {}
+            source = {r.doc_id: r.source for r in before}
+            size_of, took, times = {}, {}, {}
+            for i, n in size.items():
+                size_of[source[i]] = size_of.get(source[i], 0) + n
             for r in after:
                 times[r.doc_id] = times.get(r.doc_id, 0) + 1
-            assert times == {i: n for i, n in took.items() if n} and all(n <= 2 for n in took.values())
-            assert abs(sum(size[r.doc_id] for r in after) - 1.5 * sum(size.values())) < 0.05 * sum(size.values())
+                took[r.source] = took.get(r.source, 0) + size[r.doc_id]
+            want = plain_targets(size_of)
+            assert max(times.values()) <= 2 and set(times) <= set(size)
+            for s, target in want.items():
+                longest = max(n for i, n in size.items() if source[i] == s)
+                assert abs(took.get(s, 0) - target) <= longest + 1e-6
         if name == "bpe":
             lib = Tokenizer.from_file(bpe.default_vocabulary())
             want = sorted((r.doc_id, len(e.ids), hashlib.sha256(r.text.encode()).hexdigest()) for r in before for e in [lib.encode(r.text, add_special_tokens=False)])
