@@ -117,26 +117,29 @@ RUN, CUT = 512, 512
 _SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double>>"
 
 
-def _found(text: Column, kind: Kind) -> Column:
-    """The candidates of a kind: of base ones leftmost and not overlapping."""
-    none = F.array().cast("array<string>")
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0 if kind.base else 1))
-    return F.when(text.contains(kind.guard), found).otherwise(none) if kind.guard else found
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value``, computed once and written once whatever is pushed where in a plan."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _running(values: str, start: str, step: Callable[[str, str], str], whole: bool = False) -> str:
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _running(values: str, start: str, step: Callable[[str, str], str]) -> str:
     """SQL: for each item of the array ``values``, ``step`` over all items before it, from ``start``.
 
     An array grows by copying, so the items are taken in pieces of RUN: what
     stands before a piece comes from the totals of the pieces before it.
     """
-    scan = "aggregate({over}, named_struct('now', {at}, 'seen', CAST(array() AS array<int>)), (s, v) -> named_struct('now', {then}, 'seen', concat(s.seen, array(s.now))), s -> s.seen)"
-    if whole:
-        return scan.format(over=values, at=start, then=step("s.now", "v"))
-    pieces = f"transform(sequence(0, greatest(size({values}) - 1, 0) div {RUN}), i -> slice({values}, i * {RUN} + 1, {RUN}))"
-    totals = f"transform({pieces}, p -> aggregate(p, {start}, (a, v) -> {step('a', 'v')}))"
-    before = _running(totals, start, step, whole=True)
-    return f"flatten(zip_with({pieces}, {before}, (p, o) -> {scan.format(over='p', at='o', then=step('s.now', 'v'))}))"
+
+    def scan(over: str, at: str) -> str:
+        return f"aggregate({over}, named_struct('now', {at}, 'seen', CAST(array() AS array<int>)), (s, v) -> named_struct('now', {step('s.now', 'v')}, 'seen', concat(s.seen, array(s.now))), s -> s.seen)"
+
+    pieces = f"transform(sequence(0, greatest(size(w) - 1, 0) div {RUN}), i -> slice(w, i * {RUN} + 1, {RUN}))"
+    totals = f"transform(c, q -> aggregate(q, {start}, (a, v) -> {step('a', 'v')}))"
+    joined = f"flatten(zip_with(c, {scan(totals, start)}, (q, o) -> {scan('q', 'o')}))"
+    return _let("w", values, _let("c", pieces, joined))
 
 
 def _plus(a: str, v: str) -> str:
@@ -147,16 +150,24 @@ def _most(a: str, v: str) -> str:
     return f"greatest({a}, {v})"
 
 
-def _kept(k: int) -> Column:
-    """The confirmed spans of a kind from its matches (_m), the gaps before them (_g) and their places (_p)."""
-    kind = KINDS[k]
-    placed = f"zip_with(_p{k}, arrays_zip(_g{k}, _m{k}), (p, m) -> named_struct('start', p, 'end', p + length(m._m{k}), 'value', m._m{k}, 'before', m._g{k}))"
+def _spans_of(k: int, text: str) -> str:
+    """SQL: the confirmed spans of a kind in a text, of base kinds leftmost and not overlapping.
+
+    A place is the sum of the lengths of the matches (m) and of the gaps before
+    them (g); the match of an added kind uses up its first character only.
+    """
+    kind, none = KINDS[k], f"CAST(array() AS {_SPANS})"
+    used = f"zip_with(g, m, (x, y) -> length(x) + {'length(y)' if kind.base else '1'})"
+    places = f"zip_with({_running(used, '0', _plus)}, g, (o, x) -> named_struct('start', o + length(x), 'before', x))"
+    placed = f"zip_with({places}, m, (x, y) -> named_struct('start', x.start, 'end', x.start + length(y), 'value', y, 'before', x.before))"
     before = f"lower(right(x.before, {CONTEXT}))"
     score = f"greatest(0D, least(1D, {kind.prior}D + CASE WHEN {before} RLIKE '{kind.near}' THEN {kind.gain}D ELSE 0D END - CASE WHEN {before} RLIKE '{kind.doubt}' THEN 0.3D ELSE 0D END))"
     kept = f"transform(filter({placed}, x -> {kind.confirm}), x -> named_struct('start', x.start, 'kind_no', {k}, 'end', x.end, 'kind', '{kind.name}', 'value', x.value, 'score', {score}))"
     if not kind.base:
         kept = f"filter({kept}, x -> x.score >= {KEEP_SCORE}D)"
-    return F.expr(f"CASE WHEN size(_m{k}) > 0 THEN {kept} ELSE CAST(array() AS {_SPANS}) END")
+    pattern = _quoted(kind.pattern)
+    found = _let("m", f"regexp_extract_all({text}, {pattern}, {0 if kind.base else 1})", f"CASE WHEN size(m) = 0 THEN {none} ELSE {_let('g', f'slice(split({text}, {pattern}, -1), 1, size(m))', kept)} END")
+    return f"CASE WHEN contains({text}, '{kind.guard}') THEN {found} ELSE {none} END" if kind.guard else found
 
 
 def find_spans(df: DataFrame, text_col: str = "text", into: str = "pii_spans") -> DataFrame:
@@ -164,49 +175,40 @@ def find_spans(df: DataFrame, text_col: str = "text", into: str = "pii_spans") -
 
     Places count code points; the end is exclusive.
     """
-    every = range(len(KINDS))
     rows = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    rows = rows.select("*", *(_found(F.col("_text"), KINDS[k]).alias(f"_m{k}") for k in every))
-    gaps = (F.when(F.size(f"_m{k}") > 0, F.slice(F.split("_text", KINDS[k].pattern, -1), 1, F.size(f"_m{k}"))).otherwise(F.array().cast("array<string>")) for k in every)
-    rows = rows.select("*", *(g.alias(f"_g{k}") for k, g in zip(every, gaps)))
-    # The match of a base kind uses its characters up, that of an added one only the first.
-    used = (f"zip_with(_g{k}, _m{k}, (g, m) -> length(g) + {'length(m)' if KINDS[k].base else '1'})" for k in every)
-    rows = rows.select("*", *(F.expr(u).alias(f"_u{k}") for k, u in zip(every, used)))
-    places = (f"zip_with({_running(f'_u{k}', '0', _plus)}, _g{k}, (o, g) -> o + length(g))" for k in every)
-    rows = rows.select("_row", *(f"_m{k}" for k in every), *(f"_g{k}" for k in every), *(F.expr(f"CASE WHEN size(_m{k}) > 0 THEN {p} ELSE CAST(array() AS array<int>) END").alias(f"_p{k}") for k, p in zip(every, places)))
-    spans = F.array_sort(F.concat(*map(_kept, every)))
+    spans = F.array_sort(F.concat(*(F.expr(_spans_of(k, "_text")) for k in range(len(KINDS)))))
     return rows.select("_row", spans.alias("_spans")).select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns if c != into), F.col("_spans").alias(into))
 
 
-def _redacted(rows: DataFrame) -> DataFrame:
-    """_row and _clean of rows with _row, _text and _spans: each span replaced by its kind in brackets.
+def _redacted(text: str, spans: str) -> str:
+    """SQL: the text with each span replaced by its kind in brackets; of overlapping spans the first gives the name.
 
-    Of overlapping spans the first gives the name.  The text is cut into pieces
-    of CUT characters, so that a part is found without reading all before it.
+    The text is cut into pieces of CUT characters, so that a part is found
+    without reading all before it.
     """
-    rows = rows.withColumn("_ends", F.expr("transform(_spans, x -> x.end)"))
-    rows = rows.withColumn("_upto", F.expr(_running("_ends", "0", _most)))
-    rows = rows.withColumn("_pieces", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)))
 
     def part(a: str, b: str) -> str:
         """The text from place a to place b."""
-        held = f"array_join(slice(_pieces, {a} div {CUT} + 1, ({b} - 1) div {CUT} - {a} div {CUT} + 1), '')"
+        held = f"array_join(slice(t, {a} div {CUT} + 1, ({b} - 1) div {CUT} - {a} div {CUT} + 1), '')"
         return f"CASE WHEN {b} > {a} THEN substring({held}, {a} % {CUT} + 1, {b} - {a}) ELSE '' END"
 
-    named = f"transform(filter(zip_with(_spans, _upto, (x, u) -> named_struct('x', x, 'u', u)), z -> z.x.start >= z.u), z -> concat({part('z.u', 'z.x.start')}, '[', upper(z.x.kind), ']'))"
-    rest = part("array_max(_ends)", "length(_text)")
-    return rows.select("_row", F.expr(f"CASE WHEN size(_spans) = 0 THEN _text ELSE concat(array_join({named}, ''), {rest}) END").alias("_clean"))
+    # u: how far the spans before a span reach.
+    reached = _running("transform(r, x -> x.end)", "0", _most)
+    named = f"transform(filter(zip_with(r, {reached}, (x, u) -> named_struct('x', x, 'u', u)), z -> z.x.start >= z.u), z -> concat({part('z.u', 'z.x.start')}, '[', upper(z.x.kind), ']'))"
+    rest = _let("e", "array_max(transform(r, x -> x.end))", _let("n", f"length({text})", part("e", "n")))
+    done = _let("t", f"regexp_extract_all({text}, '(?s).{{1,{CUT}}}', 0)", f"concat(array_join({named}, ''), {rest})")
+    return _let("r", spans, f"CASE WHEN size(r) = 0 THEN {text} ELSE {done} END")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs (text, n_chars and more) with the spans of every text replaced by their kinds; n_chars follows where a text has spans."""
     wrapped = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     found = find_spans(wrapped, "_text", "_spans")
-    rows = _redacted(found.select(F.struct("_row", (F.size("_spans") > 0).alias("changed")).alias("_row"), "_text", "_spans"))
-    columns = {c: F.col(f"_row._row.`{c}`") for c in docs.columns}
+    rows = found.select("_row", (F.size("_spans") > 0).alias("_changed"), F.expr(_redacted("_text", "_spans")).alias("_clean"))
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     columns[text_col] = F.col("_clean")
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_row.changed"), F.length("_clean").cast("long")).otherwise(columns["n_chars"])
+        columns["n_chars"] = F.when(F.col("_changed"), F.length("_clean").cast("long")).otherwise(columns["n_chars"])
     return rows.select(*(column.alias(c) for c, column in columns.items()))
 
 
