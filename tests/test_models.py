@@ -3,6 +3,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidewatch.operators import audits as U
+from tidewatch.operators import evaluate as E
 from tidewatch.operators import models as ML
 from tidewatch.operators.labels import usable_rows
 from tidewatch.plans.registry import Chain
@@ -36,6 +37,11 @@ def test_grid_and_families(blocks):
     _, train, validation = blocks
     table = ML.grid(ML.fit_tree, {"depth": [2, 4], "min_rows": [20]}, train, validation).collect()
     assert len(table) == 2 and all(abs(r.gap - (r.f1_train - r.f1_validation)) < 1e-12 for r in table)
+    for r in table:
+        by_hand = ML.fit_tree(train, depth=r.depth, min_rows=20)
+        for part, got in ((train, r.f1_train), (validation, r.f1_validation)):
+            cm = E.confusion(ML.score(by_hand, part, "m"), "status_future", "model_pred")
+            assert abs(E.summary_metrics(cm).first().macro_f1 - got) < 1e-9
     forest = ML.fit_forest(train, trees=5, depth=4)
     boost = ML.fit_boost(train, rounds=3, depth=2)
     out = ML.compare_models({"forest": ML.score(forest, validation, "f"), "boost": ML.score(boost, validation, "b")}).collect()
