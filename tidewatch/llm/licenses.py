@@ -2,18 +2,19 @@
 
 Base labels: places where the words of a phrase stand consecutively.  Added
 labels: every text block whose words hold at least CONTAINMENT of a template's
-distinct words.  A block is a line, or any window of window_words consecutive
-words, whatever lines they stand on: the words of the longest template divided
-by CONTAINMENT, so that wrapped templates fit with some words between theirs.
-Windows are first taken together in overlapping stretches of nearly twice their
-length, each of them in one stretch; where a stretch passes the filters, every
-window of it is counted.  Tokens of the templates are ordered by how many
-documents hold them, rarest first.  A block can only meet a template's
-threshold if it holds one of the rarest (size - needed + 1) tokens (prefix
-filter), enough template tokens at all (length filter), and enough of them from
-the place of the shared token on (position filter); what passes is counted
-exactly.  Templates are a parameter of bounded size, so their side is broadcast;
-the blocks are not shuffled.
+distinct words.  A template's blocks are all runs of window_words consecutive
+words, whatever lines they stand on: its own number of words divided by
+CONTAINMENT, so that a wrapped template fits with some words between its own,
+and words scattered over a text are no block.  Blocks are first taken together
+in overlapping stretches of nearly twice the longest template's window, each
+block in one of them; where a stretch passes the filters, every block of it is
+counted.  Tokens of the templates are ordered by how many documents hold them,
+rarest first.  A stretch can only hold a block that meets a template's threshold
+if it holds one of the rarest (size - needed + 1) tokens (prefix filter), enough
+template tokens at all (length filter), and enough of them from the place of the
+shared token on (position filter); what passes is counted exactly.  Templates
+are a parameter of bounded size, so their side is broadcast; the blocks are not
+shuffled.
 
 Defined results: a null text counts as empty; a text without words has no
 places, null first and last words, empty labels and score 0; equal rows stay as
@@ -36,18 +37,27 @@ from .common import table
 #: Phrases and their labels (fixed values of the contract).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Sentences of well-known licenses (fixed values: public texts).
+#: Notices and permissions of well-known licenses (fixed values: public texts).
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    (
+        "mit",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+    ),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("creative-commons", "This work is licensed under a Creative Commons Attribution International License"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("lgpl", "under the terms of the GNU Lesser General Public License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
 )
 
 #: Share of a template's distinct words that a block must hold.
@@ -103,9 +113,9 @@ def token_frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
     return {r.token: r.n for r in counts.collect()}
 
 
-def window_words(templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> int:
-    """Words of a window: the longest template with room for other words between its own."""
-    return math.ceil(max(len(_words(t)) for _, t in templates) / containment - 1e-9)
+def window_words(template: str, containment: float = CONTAINMENT) -> int:
+    """Words of a template's blocks: its own, with room for others between them."""
+    return math.ceil(len(_words(template)) / containment - 1e-9)
 
 
 def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -119,37 +129,32 @@ def template_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = T
     for k, (label, t) in enumerate(templates):
         tokens = sorted(set(_words(t)), key=at.__getitem__)
         needed = math.ceil(containment * len(tokens) - 1e-9)
-        sets.append((k, label, tokens, needed))
+        sets.append((k, label, tokens, window_words(t, containment)))
         prefixes += [(w, k, i, len(tokens), needed) for i, w in enumerate(tokens[: len(tokens) - needed + 1])]
     index = spark.createDataFrame(prefixes, "token string, template int, place int, size int, needed int")
-    wanted = spark.createDataFrame(sets, "template int, label string, tokens array<string>, needed int").select("template", "label", "tokens")
+    wanted = spark.createDataFrame(sets, "template int, label string, tokens array<string>, width int")
     rare = sorted({p[0] for p in prefixes})
-    least_needed = min(s[3] for s in sets)
+    least_needed, widest = min(p[4] for p in prefixes), max(s[3] for s in sets)
 
-    def holds(text: Column) -> Column:
-        return functools.reduce(operator.or_, (text.contains(w) for w in rare))
-
-    width = window_words(templates, containment)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _lowered(F.col("text")).alias("_low")).where(holds(F.col("_low")))
-    lines = F.transform(F.filter(F.split("_low", "\n"), holds), lambda x: F.struct(F.lit(True).alias("line"), F.split(_normal(x), " ").alias("words")))
-    # A text of one line has no window that its line doesn't hold.
-    words = F.when(F.col("_low").contains("\n"), F.split(_normal(F.col("_low")), " "))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - width, F.lit(0)) + 1, F.lit(width))
+    holds = functools.reduce(operator.or_, (F.col("_low").contains(w) for w in rare))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _lowered(F.col("text")).alias("_low")).where(holds)
+    rows = rows.select("doc_id", "text_hash", F.split(_normal(F.col("_low")), " ").alias("_words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - widest, F.lit(0)) + 1, F.lit(widest))
     has_rare = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, rare)))
-    stretches = F.filter(F.transform(starts, lambda i: F.struct(F.lit(False).alias("line"), F.slice("_words", i, 2 * width - 1).alias("words"))), lambda x: has_rare(x["words"]))
-    none = F.array().cast("array<struct<line:boolean,words:array<string>>>")
-    rows = rows.select("doc_id", "text_hash", lines.alias("_lines"), words.alias("_words"))
-    blocks = rows.select("doc_id", "text_hash", F.explode(F.concat("_lines", F.when(F.col("_words").isNotNull(), stretches).otherwise(none))).alias("_block"))
-    blocks = blocks.select("doc_id", "text_hash", "_block.line", "_block.words")
+    stretches = F.filter(F.transform(starts, lambda i: F.slice("_words", i, 2 * widest - 1)), has_rare)
+    blocks = rows.select("doc_id", "text_hash", F.explode(stretches).alias("words"))
     # array_intersect keeps the order of its first array: rarest token first.
     blocks = blocks.select("*", F.array_intersect(F.array(*map(F.lit, order)), F.col("words")).alias("held"))
     blocks = blocks.where(F.size("held") >= least_needed)
     prefix = F.slice("held", 1, F.size("held") - least_needed + 1)
     shared = blocks.select("*", F.posexplode(prefix).alias("held_place", "token")).join(F.broadcast(index), "token")
     shared = shared.where(F.size("held") >= F.col("needed")).where(1 + F.least(F.size("held") - F.col("held_place"), F.col("size") - F.col("place")) - 1 >= F.col("needed"))
-    found = shared.join(F.broadcast(wanted), "template").withColumn("most", F.size(F.array_intersect("held", "tokens")))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - width, F.lit(0)) + 1), lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, width))))
-    found = found.withColumn("overlap", F.when(F.col("line") | (F.col("most") < F.col("needed")), F.col("most")).otherwise(F.array_max(windows)))
+    found = shared.join(F.broadcast(wanted), "template").where(F.size(F.array_intersect("held", "tokens")) >= F.col("needed"))
+    # Once for each template of a stretch, whatever number of its tokens led there.
+    first = F.array_min(F.transform(F.array_intersect("tokens", prefix), lambda w: F.array_position("held", w)))
+    found = found.where(F.col("held_place") + 1 == first)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - F.col("width"), F.lit(0)) + 1), lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, F.col("width")))))
+    found = found.withColumn("overlap", F.array_max(windows))
     return found.where(F.col("overlap") >= F.col("needed")).select("doc_id", "text_hash", "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
