@@ -197,15 +197,19 @@ def _prefixes(frequent: np.ndarray):
         sizes = [len(g) for g in grams]
         gram, of, size = np.concatenate(grams).view(np.int64), np.repeat(np.array(cls, np.int64), sizes), np.repeat(np.array(n, np.int64), sizes)
         order = np.lexsort((of, gram))
-        gram, of, size = gram[order], of[order], size[order]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        by_gram, by_class = gram[order], of[order]
+        first = np.flatnonzero(np.append(True, by_gram[1:] != by_gram[:-1]))
         times = np.diff(np.append(first, len(gram)))
-        least, many = np.repeat(of[first], times), np.repeat(times > PAIRED, times)
-        drop = many & (of != least)
-        posted = pd.DataFrame({"key": gram[~drop], "cls": of[~drop], "n": np.where(many, 0, size)[~drop]})
+        least, many = np.repeat(by_class[first], times), np.repeat(times > PAIRED, times)
+        drop = many & (by_class != least)
+        keep = np.ones(len(gram), bool)
+        size[order[many]] = 0
+        keep[order[drop]] = False
+        # In the order of the classes, which packs better than that of the n-grams.
+        posted = pd.DataFrame({"key": gram[keep], "cls": of[keep], "n": size[keep]})
         if not drop.any():
             return posted
-        return pd.concat((posted, pd.DataFrame({"key": of[drop], "cls": least[drop], "n": -1}).drop_duplicates()))
+        return pd.concat((posted, pd.DataFrame({"key": by_class[drop], "cls": least[drop], "n": -1}).drop_duplicates()))
 
     def postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: set[int] = set()
@@ -359,7 +363,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     # Repeats of a row go before the shuffle, which serves the join too.  The members grow with the corpus, so they are never broadcast.
     one = docs.select(F.xxhash64("doc_id", "text_hash").alias("key"), "text_hash", "text").dropDuplicates(["key"])
     members = members.withColumn("key", F.xxhash64("one_id", "one_hash")).hint("merge")
-    texts = one.join(members, "key").where(F.col("text_hash") == F.col("one_hash"))
+    # The hashes are compared in a form that is no key of the join, so that the texts are not shuffled a second time for it.
+    texts = one.join(members, "key").where(F.col("text_hash").bitwiseXOR(F.col("one_hash")) == 0)
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
