@@ -40,7 +40,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: The characters that are encoded together; more than one text only up to here.
 PART_CHARS = 2_000_000
 #: Words, and ids of words, that a task remembers; beyond them it starts anew.
-KNOWN_WORDS, KNOWN_IDS = 500_000, 4_000_000
+KNOWN_WORDS, KNOWN_IDS = 200_000, 2_000_000
 
 NO_RANK = np.int32(2**31 - 1)
 
