@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -65,6 +66,25 @@ def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return common.unionByName(rest)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with their number, from 1, within the keys (never null) in the given order, as a column ``name``.
+
+    Rows are dealt into slices of the order over all keys; a row's number is its
+    place in its slice after the key's rows in the slices before.  A key with
+    many rows lies in many slices, and so do rows that are equal in keys and
+    order, which a number of their own tells apart.  There is a row for each key
+    and slice to add up, never more for one key than there are slices.
+    """
+    dealt = rows.withColumn("_own", F.monotonically_increasing_id())
+    dealt = stored(dealt.repartitionByRange(*keys, *order, F.col("_own")).withColumn("_slice", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, "_slice", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order, "_own"))
+    found = dealt.withColumn("_place", place).join(counts, [*keys, "_slice"])
+    return found.select(*rows.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())

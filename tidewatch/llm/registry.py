@@ -14,10 +14,13 @@ from .licenses import op4_licenses
 from .vectors import op10_neardup
 from .mixing import op6_mixing
 from .ngrams import op5_ngram_join
+from .packing import op11_packing
 from .pii import op9_pii
 from .quality import op8_quality
+from .resampling import op13_resampling
 from .topk import op2_topk
 from .toxicity import op7_toxicity
+from .tries import op12_trie
 from .urls import judge, op3_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_neardup": op10_neardup,
+    "op11_packing": op11_packing,
+    "op12_trie": op12_trie,
+    "op13_resampling": op13_resampling,
     # Columns of these operators that SQL can express, from the same rows.
     "contract_urls": lambda spark, sf_dir: judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "decided"),
     "contract_licenses": lambda spark, sf_dir: op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
