@@ -14,7 +14,7 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 def test_query(spark, name):
     df = registry.QUERIES[name](spark, SF)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in cur.description]

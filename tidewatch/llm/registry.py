@@ -42,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contract_licenses": lambda spark, sf_dir: op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
     "contract_mixing": lambda spark, sf_dir: op6_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target")),
     "contract_pii": lambda spark, sf_dir: op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
+    "contract_pii_spans": lambda spark, sf_dir: op9_pii(spark, sf_dir).select("doc_id", "base_sha256"),
+    "contract_toxicity": lambda spark, sf_dir: op7_toxicity(spark, sf_dir).select("doc_id", "held_out"),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -52,4 +54,8 @@ ORACLE_SQL: dict[str, str] = {
     "contract_licenses": oracles.LICENSES,
     "contract_mixing": oracles.MIXING,
     "contract_pii": oracles.PII,
+    "contract_pii_spans": oracles.PII_SPANS,
+    "contract_toxicity": oracles.TOXICITY,
+    "op12_trie": oracles.TRIE,
+    "op13_resampling": oracles.RESAMPLING,
 }
