@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import CLASSES, EXTRA_COLUMNS, MODEL_COLUMNS
+from .boosting import SoftmaxBoost, fit_softmax
 from .checks import one_hot, weights
 from .evaluate import class_metrics, confusion, summary_metrics, transitions
 
@@ -49,8 +50,14 @@ def fit_forest(train: DataFrame, trees: int = 50, depth: int = 8, min_rows: int
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy="sqrt", seed=seed, weightCol="weight").fit(train)
 
 
-def fit_boost(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 7) -> Model:
-    """Three classes as one against the rest, since boosted trees of Spark ML part two."""
+def fit_boost(train: DataFrame, rounds: int = 20, depth: int = 4, rate: float = 0.3, cols: tuple[str, ...] | None = None) -> SoftmaxBoost:
+    """One softmax ensemble of boosted trees for all classes, on the columns that the rows were prepared with."""
+    cols = cols or tuple(c for c in (*MODEL_COLUMNS, *EXTRA_COLUMNS) if c in train.columns)
+    return fit_softmax(train, cols, len(CLASSES), rounds, depth, rate)
+
+
+def fit_one_vs_rest(train: DataFrame, rounds: int = 20, depth: int = 4, seed: int = 7) -> Model:
+    """The boosted trees of Spark ML, which part two classes, as one against the rest."""
     return OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), weightCol="weight").fit(train)
 
 
@@ -60,7 +67,7 @@ def score(model: Model, df: DataFrame, model_id: str, keep: tuple[str, ...] = ("
     names = F.array(*map(F.lit, CLASSES))
     cols = [F.get(names, F.col("prediction").cast("int")).alias("model_pred"), F.lit(model_id).alias("model_id")]
     if "probability" in out.columns:
-        p = vector_to_array("probability")
+        p = F.col("probability") if dict(out.dtypes)["probability"] == "array<double>" else vector_to_array("probability")
         cols += [F.coalesce(F.get(p, i), F.lit(0.0)).alias(f"p_{c.lower()}") for i, c in enumerate(CLASSES)]
     return out.select(*keep, *(c for c in ("status_now", "status_future", "leaf") if c in out.columns and c not in keep), *cols)
 
@@ -110,7 +117,8 @@ def compare_models(scored: dict[str, DataFrame]) -> DataFrame:
 
 def importances(model: Model, cols: tuple[str, ...], name: str, df: DataFrame) -> DataFrame:
     """(model, column, importance): both sides of a column together."""
-    rows = [(c, float(v)) for c, v in zip(feature_names(cols), model.featureImportances.toArray())]
+    found = model.featureImportances
+    rows = list(found.items()) if isinstance(found, dict) else [(c, float(v)) for c, v in zip(feature_names(cols), found.toArray())]
     return df.sparkSession.createDataFrame(rows, "column string, importance double").groupBy("column").agg(F.sum("importance").alias("importance")).select(F.lit(name).alias("model"), "*")
 
 
@@ -124,8 +132,12 @@ def leaf_profile(scored: DataFrame) -> DataFrame:
 
 def round_trip(model: Model, df: DataFrame, path: str) -> DataFrame:
     """Rows whose prediction changes when the model is saved and loaded again: none."""
-    model.write().overwrite().save(path)
-    again = type(model).load(path)
+    if isinstance(model, SoftmaxBoost):
+        model.save(df.sparkSession, path)
+        again = SoftmaxBoost.load(df.sparkSession, path)
+    else:
+        model.write().overwrite().save(path)
+        again = type(model).load(path)
     return model.transform(df).select("flow_id", "t", F.col("prediction").alias("before")).join(again.transform(df).select("flow_id", "t", F.col("prediction").alias("after")), ["flow_id", "t"]).where("before <> after")
 
 
