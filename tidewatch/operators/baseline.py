@@ -1,11 +1,13 @@
-"""Robust baselines: one frozen card for each flow, from ranks in one shuffle.
-
-Equal values of a flow are counted before the shuffle.  Then the flow's values of
-one column stand in their order, and every statistic is read off at its rank:
-the median and the quartiles in the order of the values, the median absolute
-deviation in the order of their distances from the median, which a window over
-the same partition already knows.  Windows sort and spill, so a flow of any
-length needs no value map in memory, and no second pass over the rows.
+"""Robust baselines: one frozen card for each flow, exact for flows of any length.
+
+A flow's quantiles come from one aggregation, its median absolute deviation from
+a second one after its median has come back by a join.  Such an aggregation
+holds a flow's different values in one task, so flows above LONG_FLOW rows go
+another way, to the same numbers: a sketch that tasks merge cuts a flow's values
+into parts of about equal size, whose rows are counted; only the parts in which
+a quantile's ranks lie are then put in order, each by itself.  Inputs that
+Catalyst estimates below SMALL_BYTES hold no such flow that a task couldn't,
+and are planned without that way.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from ..functions.params import Params
 
 #: Columns of a measurement that a card describes.
 DESCRIBED = ("rtt", "jitter", "loss_pct")
+KEYS = ("flow_id", "route")
+#: Rows from which on a flow's values are cut into parts, and how many: SIDE times SIDE.
+LONG_FLOW, SIDE = 1_000_000, 16
+#: Estimated size of an input from which on it may hold long flows.
+SMALL_BYTES = 256 << 20
 
 
 def at_rank(value: Column, upto: Column, times: Column, total: Column, share: float) -> Column:
@@ -32,40 +39,87 @@ def at_rank(value: Column, upto: Column, times: Column, total: Column, share: fl
     return value * (holds(low) * (low + 1 - rank) + holds(low + 1) * (rank - low))
 
 
-def order_statistics(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
-    """(keys, column, n_rows, n, q25, q50, q75, mad) of each column; quantiles of no values are null."""
-    values = rows.select(*keys, *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(list(keys), list(columns), "column", "value")
-    counted = values.groupBy(*keys, "column", "value").agg(F.count("*").alias("times"))
-    group = Window.partitionBy(*keys, "column")
-    there = F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)
-    upto = lambda by: F.sum("there").over(group.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("there", there).withColumn("n", F.sum("there").over(group)).withColumn("upto", upto(F.asc_nulls_last("value")))
-    quantile = lambda q: at_rank(F.col("value"), F.col("upto"), F.col("there"), F.col("n"), q)
-    ranked = ranked.withColumn("middle", F.sum(quantile(0.5)).over(group)).withColumn("away", F.abs(F.col("value") - F.col("middle")))
-    ranked = ranked.withColumn("upto_away", upto(F.asc_nulls_last("away")))
-    mad = at_rank(F.col("away"), F.col("upto_away"), F.col("there"), F.col("n"), 0.5)
-    return ranked.groupBy(*keys, "column").agg(
-        F.sum("times").alias("n_rows"),
-        F.max("n").alias("n"),
-        *(F.sum(quantile(q)).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)),
-        F.sum(mad).alias("mad"),
+def _part_of(value: Column, rough: Column, fine: Column) -> Column:
+    """How many of a key's sorted cuts lie below a value: among every SIDEth one, then among those in between."""
+    below = lambda some: F.size(F.filter(some, lambda c: c < value))
+    return below(rough) * SIDE + below(F.get(fine, below(rough)))
+
+
+def value_cuts(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, n, rough, fine): cuts of a key's values into SIDE times SIDE parts of about equal size."""
+    points = [i / SIDE**2 for i in range(1, SIDE**2)]
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("value", points, 10 * SIDE**2).alias("c"), F.count("*").alias("n"))
+    rough, fine = [F.get("c", F.lit(i * SIDE - 1)) for i in range(1, SIDE)], [F.slice("c", i * SIDE + 1, SIDE - 1) for i in range(SIDE)]
+    return cuts.select(*keys, "n", F.array(*rough).alias("rough"), F.array(*fine).alias("fine"))
+
+
+def split_quantiles(values: DataFrame, keys: tuple[str, ...], shares: dict[str, float]) -> DataFrame:
+    """(keys and a column for each share): exact quantiles of ``value``, never null, whatever the rows of a key.
+
+    The cuts only decide which task counts a value, so their error changes no result.
+    """
+    dealt = _joined(values, value_cuts(values, keys), keys).select(*keys, "value", "n", _part_of(F.col("value"), F.col("rough"), F.col("fine")).alias("part"))
+    sizes = dealt.groupBy(*keys, "part", "n").agg(F.count("*").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = None
+    for share in shares.values():
+        low = F.floor((F.col("n") - 1) * share)
+        has = ((low < F.col("upto")) & (low >= F.col("upto") - F.col("size"))) | ((low + 1 < F.col("upto")) & (low + 1 >= F.col("upto") - F.col("size")))
+        wanted = has if wanted is None else wanted | has
+    asked = sizes.withColumn("upto", upto).where(wanted).select(*keys, "part", (F.col("upto") - F.col("size")).alias("before"))
+    counted = _joined(dealt, asked, (*keys, "part")).groupBy(*keys, "part", "before", "n", "value").agg(F.count("*").alias("times"))
+    inside = F.sum("times").over(Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", F.col("before") + inside)
+    return ranked.groupBy(*keys).agg(*(F.sum(at_rank(F.col("value"), F.col("upto"), F.col("times"), F.col("n"), q)).alias(name) for name, q in shares.items()))
+
+
+_LINE = (*KEYS, "n_rows", "n_valid", "median", "iqr", "mad", "jitter_typical", "loss_typical")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """A join in which null keys meet."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(other, match, how).drop(*(f"_{k}" for k in keys))
+
+
+def _short(rows: DataFrame) -> DataFrame:
+    """Lines of flows whose values fit one task."""
+    q = F.percentile("rtt", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    first = rows.groupBy(*KEYS).agg(
+        F.count("*").alias("n_rows"), F.count("rtt").alias("n_valid"), q.alias("_q"), F.percentile("jitter", 0.5).alias("jitter_typical"), F.percentile("loss_pct", 0.5).alias("loss_typical")
     )
+    first = first.select("*", F.get("_q", F.lit(1)).alias("median"), (F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))).alias("iqr"))
+    own = [c for c in _LINE if c not in (*KEYS, "mad")]
+    away = _joined(rows.select(*KEYS, "rtt"), first.select(*KEYS, F.struct(*own).alias("line")), KEYS)
+    mad = F.percentile(F.abs(F.col("rtt") - F.col("line.median")), 0.5)
+    return away.groupBy(*KEYS).agg(F.any_value("line").alias("line"), mad.alias("mad")).select(*KEYS, "line.*", "mad").select(*_LINE)
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    """Lines of flows of any length."""
+    values = rows.select(*KEYS, *(F.col(c).cast("double").alias(c) for c in DESCRIBED)).unpivot(list(KEYS), list(DESCRIBED), "column", "value").where("value IS NOT NULL")
+    found = split_quantiles(values, (*KEYS, "column"), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    of = lambda column, stat: F.max(F.when(F.col("column") == column, stat))
+    found = found.groupBy(*KEYS).agg(of("rtt", F.col("q50")).alias("median"), of("rtt", F.col("q75") - F.col("q25")).alias("iqr"), of("jitter", F.col("q50")).alias("jitter_typical"), of("loss_pct", F.col("q50")).alias("loss_typical"))
+    away = _joined(rows.where("rtt IS NOT NULL"), found.select(*KEYS, "median"), KEYS).select(*KEYS, F.abs(F.col("rtt").cast("double") - F.col("median")).alias("value"))
+    counts = rows.groupBy(*KEYS).agg(F.count("*").alias("n_rows"), F.count("rtt").alias("n_valid"))
+    return _joined(_joined(counts, found, KEYS, "left"), split_quantiles(away, KEYS, {"mad": 0.5}), KEYS, "left").select(*_LINE)
+
+
+def may_be_long(rows: DataFrame) -> bool:
+    """Whether Catalyst's estimate lets a flow be too long for one task; an unknown size counts as large."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SMALL_BYTES
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """A line for each flow: counts, medians, quartile range and MAD, whatever the number of answers."""
-    stats = order_statistics(rows, ("flow_id", "route"), DESCRIBED)
-    of = lambda column, stat: F.max(F.when(F.col("column") == column, F.col(stat)))
-    return stats.groupBy("flow_id", "route").agg(
-        of("rtt", "n_rows").alias("n_rows"),
-        of("rtt", "n").alias("n_valid"),
-        of("rtt", "q50").alias("median"),
-        (of("rtt", "q75") - of("rtt", "q25")).alias("iqr"),
-        of("rtt", "mad").alias("mad"),
-        of("jitter", "q50").alias("jitter_typical"),
-        of("loss_pct", "q50").alias("loss_typical"),
-        (of("rtt", "n") / of("rtt", "n_rows")).alias("response_rate"),
-    )
+    """A line for each flow: counts, medians, quartile range and MAD, whatever the number of answers; statistics of no values are null."""
+    if may_be_long(rows):
+        long = rows.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > LONG_FLOW).select(*KEYS)
+        lines = _short(_joined(rows, long, KEYS, "left_anti")).unionByName(_long(_joined(rows, long, KEYS, "left_semi")))
+    else:
+        lines = _short(rows)
+    return lines.select("*", (F.col("n_valid") / F.col("n_rows")).alias("response_rate"))
 
 
 def distances(rows: DataFrame, lines: DataFrame) -> DataFrame:
