@@ -70,3 +70,11 @@ def test_components_of_chains_stars_and_nothing(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}, 301: 300, 302: 300}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_any_size(spark):
+    """Squares that leave the range of doubles: links by cosine all the same."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 0.0]), (4, [1e-200, 1e-202]), (5, [5e-324, 0.0]), (6, [1.7e308, 0.0]), (7, [0.0, 1e-310])]
+    df = spark.createDataFrame([(i, 1, v) for i, v in rows], "vec_id long, label long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 3), 4: (3, 3), 5: (3, 3), 6: (3, 3), 7: (0, 7)}

@@ -55,7 +55,11 @@ def rotation(dims: int) -> np.ndarray:
 
 
 def unit_and_rotated(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors and their rotations, by sums in a fixed order: a row's result never depends on the other rows."""
+    """Unit vectors and their rotations, by sums in a fixed order: a row's result never depends on the other rows.
+
+    A power of two takes the largest component near 1 first, so no square leaves the range of doubles.
+    """
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
     total = np.zeros(len(vectors))
     for k in range(vectors.shape[1]):
         total += vectors[:, k] ** 2
