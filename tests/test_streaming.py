@@ -34,8 +34,11 @@ def test_stream_equals_batch(spark, tmp_path):
         for f in glob.glob(f"{tmp_path}/in{k}/part-*.json"):
             shutil.copy(f, f"{source}/{k}.json")
             os.utime(f"{source}/{k}.json", (1_000_000 + k, 1_000_000 + k))
-        out = live.live(live.read_bursts(spark, source), cards, P, str(t0), "2 days", 172_800)
+        out = live.live(live.read_bursts(spark, source), cards, P, str(t0), "2 days")
         live.run_available(out, f"{tmp_path}/sink", f"{tmp_path}/checkpoint")  # restarts and resumes each time
+        live.run_scoreboard(spark, f"{tmp_path}/sink", f"{tmp_path}/board", f"{tmp_path}/board-checkpoint", "40 days")
+        streamed, batch = live.latest_board(spark, f"{tmp_path}/board").first(), live.live_scoreboard(spark.read.parquet(f"{tmp_path}/sink")).first()
+        assert tuple(streamed) == tuple(batch) and (k < 2 or batch.verified > 0)
     sink = spark.read.parquet(f"{tmp_path}/sink")
     batch = L.with_predictions(L.future_labels(L.current_labels(FT.features(meas, cards, P), P), P))
     want = {(r.flow_id, r.t): r for r in batch.collect()}
@@ -85,7 +88,7 @@ def test_late_dropped_ignored_and_expiring_rows(spark, tmp_path):
     ]
     for k, rows in enumerate(files):
         land(spark, rows, f"{tmp_path}/stream", str(k), tmp_path)
-        live.run_available(live.live(live.read_bursts(spark, f"{tmp_path}/stream"), cards, p, str(t0), "30 minutes", 1800), f"{tmp_path}/sink", f"{tmp_path}/checkpoint")
+        live.run_available(live.live(live.read_bursts(spark, f"{tmp_path}/stream"), cards, p, str(t0), "30 minutes"), f"{tmp_path}/sink", f"{tmp_path}/checkpoint")
     sink = spark.read.parquet(f"{tmp_path}/sink").cache()
     minutes = lambda kind: sorted((r.t - t0).total_seconds() // 60 for r in sink.where(F.col("kind") == kind).collect())
     survived = [4, 8, 12, 16, 20, 24, 28, 120, 200, 400, 900]
@@ -108,7 +111,7 @@ def test_backfill_equals_batch(spark, tmp_path):
     meas = event_measurements(spark, SF)
     newest = meas.agg(F.max("t")).first()[0]
     hours = 200
-    sink = live.backfill(meas, newest, hours, P, str(tmp_path), "m", 100, "2 days", 172_800).cache()
+    sink = live.backfill(meas, newest, hours, P, str(tmp_path), "m", 100, "2 days").cache()
     start = newest - timedelta(hours=hours)
     cards = live.start_or_resume(spark, f"{tmp_path}/cards", "m")
     after = meas.where(F.col("t") > F.lit(str(start)).cast("timestamp_ntz")).withColumn("period", F.lit("B"))
@@ -123,3 +126,42 @@ def test_other_model_is_refused(spark, tmp_path):
     live.freeze_baseline(event_measurements(spark, SF), "2024-01-10", P, f"{tmp_path}/cards", "m1")
     with pytest.raises(ValueError):
         live.start_or_resume(spark, f"{tmp_path}/cards", "m2")
+
+
+def test_stopped_query_is_told_from_an_idle_source(spark, tmp_path):
+    """Lines of a listener: a query that goes on without rows is idle, one that fails has failed, one without lines is silent."""
+    import time
+
+    listener = live.ProgressTable(spark, f"{tmp_path}/progress", every=1)
+    spark.streams.addListener(listener)
+    try:
+        os.makedirs(f"{tmp_path}/in")
+        land(spark, [("a", datetime(2024, 1, 1), 1.0, 1.0, 0.0, 0)], f"{tmp_path}/in", "0", tmp_path)
+        fine = live.read_bursts(spark, f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c1").trigger(processingTime="200 milliseconds").start()
+        bad = live.read_bursts(spark, f"{tmp_path}/in").select(F.raise_error(F.lit("broken")).cast("string").alias("x")).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c2").start()
+        try:
+            bad.awaitTermination(60)
+        except Exception as e:
+            assert "broken" in str(e)
+        fine.processAllAvailable()
+        deadline = time.time() + 60
+        states = {}
+        while time.time() < deadline and not (len(states) == 2 and set(states.values()) == {"running", "failed"}):
+            time.sleep(1)
+            if os.path.exists(f"{tmp_path}/progress/_SUCCESS"):
+                now = str(datetime.now())
+                states = {r["query"]: r.state for r in live.query_states(spark.read.parquet(f"{tmp_path}/progress"), now, 100).collect()}
+        assert states == {str(fine.id): "running", str(bad.id): "failed"}
+        progress = spark.read.parquet(f"{tmp_path}/progress")
+        later = lambda cadence: {r["query"]: r.state for r in live.query_states(progress, str(datetime.now() + timedelta(hours=1)), cadence).collect()}
+        assert later(60) == {str(fine.id): "silent", str(bad.id): "failed"}
+        fine.stop()
+    finally:
+        spark.streams.removeListener(listener)
+    at = datetime(2024, 1, 1)
+    line = lambda event, s, rows=None: ("q", "r", event, at + timedelta(seconds=s), 0, rows, None, None)
+    state = lambda lines: live.query_states(spark.createDataFrame(lines, live.ProgressTable.SCHEMA), str(at + timedelta(seconds=1000)), 60).first().state
+    assert state([line("started", 0), line("progress", 500, 7), line("idle", 990)]) == "idle"
+    assert state([line("started", 0), line("progress", 990, 7)]) == "running"
+    assert state([line("started", 0), line("progress", 700, 7)]) == "silent"
+    assert state([line("started", 0), line("progress", 990, 7), line("ended", 990)]) == "ended"

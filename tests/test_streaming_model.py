@@ -35,7 +35,7 @@ def test_fitted_model_predicts_on_arrival(spark, tmp_path):
         df.coalesce(1).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{tmp_path}/in{k}")
         (name,) = (f for f in os.listdir(f"{tmp_path}/in{k}") if f.endswith(".json"))
         os.rename(f"{tmp_path}/in{k}/{name}", f"{source}/{k}.json")
-        out = live.live(live.read_bursts(spark, source), cards, P, str(t0), "2 days", 172_800)
+        out = live.live(live.read_bursts(spark, source), cards, P, str(t0), "2 days")
         live.run_predicting(out, model, "tree", f"{tmp_path}/sink", f"{tmp_path}/checkpoint")  # resumes each time
     sink = spark.read.parquet(f"{tmp_path}/sink").cache()
     arrived = sink.where("kind = 'predicted'").collect()

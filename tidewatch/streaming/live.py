@@ -3,32 +3,28 @@
 Bursts arrive as JSON files; late rows within the watermark take their place in
 time, later ones are dropped; repeats are dropped; rows at or before the fence,
 and of flows without a card, take no part.  The only Python step is the keyed
-state: a flow's last rows and the predictions that wait for their future.  A
-fitted model scores each micro-batch on its way to the sink; what it said at
+state of ``flows.py``: a flow's last rows and the predictions that wait for their
+future.  A fitted model scores each micro-batch on its way to the sink; what it said at
 arrival stands there on the row of kind 'predicted' and is never changed.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ..functions.params import BASELINE_COLUMNS, FIXED_RULE, MODEL_COLUMNS, TRAILING, Params, first_class, rule_table
+from ..functions.params import BASELINE_COLUMNS, MODEL_COLUMNS, Params
 from ..operators.baseline import cards as frozen_cards
 from ..operators.features import relative_metrics
 from ..operators.joins import compare_tables
 from ..operators.models import assemble, score
+from .flows import KEPT, OUTPUT_SCHEMA, FlowProcessor
 
 MEASUREMENT_SCHEMA = "flow_id string, t timestamp, rtt double, jitter double, loss_pct double, is_timeout int"
-OUTPUT_SCHEMA = "flow_id string, t timestamp, kind string, n5_timeout long, n5_increase80 long, n5_moderate long, min5_z double, mean5_z double, rule int, status string, prediction string, robust_z double, increase_pct double, jitter_ratio double, loss_pct double, is_timeout int"
-_KEPT = ("increase_pct", "robust_z", "moderate", "is_timeout", "loss_pct", "jitter_ratio")
 
 
 def read_bursts(spark: SparkSession, path: str, schema: str = MEASUREMENT_SCHEMA, files_per_batch: int = 1) -> DataFrame:
@@ -70,76 +66,17 @@ def enrich(stream: DataFrame, cards: DataFrame, p: Params) -> DataFrame:
     return relative_metrics(stream.join(usable, "flow_id"), p)
 
 
-def _trailing(window: list[dict], p: Params) -> dict:
-    """The trailing features of the last of some rows, from the table that batch reads too."""
-    out = {}
-    for name, how, column in TRAILING:
-        if column == "large_increase":
-            values = [int(r["increase_pct"] > p.increase_fail) for r in window if r["increase_pct"] is not None]
-        else:
-            values = [r[column] for r in window if r.get(column) is not None]
-        out[name] = None if not values else min(values) if how == "min" else sum(values) / (len(values) if how == "avg" else 1)
-    return out
-
-
-def _judged(row: dict, window: list[dict], p: Params) -> tuple[int, str, dict]:
-    """Rule, class and features of a row, by the tables of the batch columns."""
-    f = _trailing(window, p)
-    return *first_class(rule_table(p), row | f), f
-
-
-def flow_state(p: Params, delay_s: int):
-    """The keyed step: emits kind 'predicted' at arrival, then 'verified' (status: the class that came) or 'expired'."""
-    no_features = (None,) * 5
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = json.loads(state.get[0]) if state.exists else []
-        out = []
-        fresh = [r for b in batches for r in b.to_dict("records")] if not state.hasTimedOut else []
-        for r in sorted(fresh, key=lambda r: r["t"]):
-            row = {c: None if pd.isna(r[c]) else float(r[c]) for c in _KEPT}
-            row |= {"us": r["t"].value // 1000, "moderate": int(r["moderate"]), "is_timeout": int(r["is_timeout"]), "waits": True}
-            rows = sorted([*rows, row], key=lambda x: x["us"])
-            at = rows.index(row)
-            window = rows[max(0, at - p.window + 1) : at + 1]
-            rule, status, f = _judged(row, window, p)
-            row["prediction"] = first_class(FIXED_RULE, row | f)[1]  # needs no fitting; for a fitted model see predict_on_arrival
-            out.append((key[0], row["us"], "predicted", f["n5_timeout"], f["n5_increase80"], f["n5_moderate"], f["min5_z"], f["mean5_z"], rule, status, row["prediction"], *(row[c] for c in ("robust_z", "increase_pct", "jitter_ratio", "loss_pct", "is_timeout"))))
-        mark = state.getCurrentWatermarkMs() * 1000
-        for i, row in enumerate(rows):
-            if not row["waits"]:
-                continue
-            ahead = rows[i + p.horizon] if i + p.horizon < len(rows) else None
-            if ahead is not None and ahead["us"] <= mark:  # no row can come between any more
-                gap = ahead["us"] // 1_000_000 - row["us"] // 1_000_000
-                window = rows[max(0, i + p.horizon - p.window + 1) : i + p.horizon + 1]
-                _, status, _ = _judged(ahead, window, p)
-                ok = p.gate[0] <= gap <= p.gate[1]
-                out.append((key[0], row["us"], "verified" if ok else "expired", None, None, None, None, None, None, status if ok else None, row["prediction"], *no_features))
-                row["waits"] = False
-            elif row["us"] + p.gate[1] * 1_000_000 < mark and ahead is None:
-                out.append((key[0], row["us"], "expired", None, None, None, None, None, None, None, row["prediction"], *no_features))
-                row["waits"] = False
-        # Rows before the watermark that nothing waits for are kept only as far as windows reach back.
-        old = next((i for i, r in enumerate(rows) if r["waits"] or r["us"] > mark), len(rows))
-        rows = rows[max(0, old - p.window + 1) :]
-        state.update((json.dumps(rows),))
-        if any(r["waits"] for r in rows):
-            due = max(r["us"] for r in rows if r["waits"]) // 1000 + (p.gate[1] + delay_s) * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        names = [c.split()[0] for c in OUTPUT_SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        frame["t"] = pd.to_datetime(frame["t"], unit="us")
-        yield frame.astype({"n5_timeout": "Int64", "n5_increase80": "Int64", "n5_moderate": "Int64", "rule": "Int32", "is_timeout": "Int32"})
-
-    return step
-
-
-def live(stream: DataFrame, cards: DataFrame, p: Params, t0: str, delay: str = "30 minutes", delay_s: int = 1800) -> DataFrame:
+def keyed_store(spark: SparkSession) -> None:
+    """Map state and timers need a store that keeps keys apart on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def live(stream: DataFrame, cards: DataFrame, p: Params, t0: str, delay: str = "30 minutes") -> DataFrame:
     """The whole job, up to its sink."""
     rows = enrich(after_fence(dedup_stream(with_lateness(stream, delay)), t0), cards, p)
-    keyed = rows.select("flow_id", "t", *_KEPT).groupBy("flow_id")
-    return keyed.applyInPandasWithState(flow_state(p, delay_s), OUTPUT_SCHEMA, "rows string", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed_store(stream.sparkSession)
+    keyed = rows.select("flow_id", "t", *KEPT).groupBy("flow_id")
+    return keyed.transformWithStateInPandas(FlowProcessor(p), OUTPUT_SCHEMA, "Append", "EventTime")
 
 
 def run_available(out: DataFrame, sink: str, checkpoint: str) -> None:
@@ -147,7 +84,7 @@ def run_available(out: DataFrame, sink: str, checkpoint: str) -> None:
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def backfill(measured: DataFrame, newest: datetime, hours: int, p: Params, work: str, model_id: str, step_hours: int = 24, delay: str = "30 minutes", delay_s: int = 1800) -> DataFrame:
+def backfill(measured: DataFrame, newest: datetime, hours: int, p: Params, work: str, model_id: str, step_hours: int = 24, delay: str = "30 minutes") -> DataFrame:
     """A retroactive run: the job starts some hours before ``newest`` and takes the rows since as if they arrived, step by step.
 
     Cards are frozen from the rows before the start; each step's rows land in the
@@ -162,7 +99,7 @@ def backfill(measured: DataFrame, newest: datetime, hours: int, p: Params, work:
         since, until = (F.lit(str(t0 + timedelta(hours=min(h, hours)))).cast("timestamp") for h in (begin, begin + step_hours))
         part = rows.where((F.col("t") > since) & (F.col("t") <= until))
         part.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{work}/source")
-        run_available(live(read_bursts(spark, f"{work}/source", files_per_batch=10_000), cards, p, str(t0), delay, delay_s), f"{work}/sink", f"{work}/checkpoint")
+        run_available(live(read_bursts(spark, f"{work}/source", files_per_batch=10_000), cards, p, str(t0), delay), f"{work}/sink", f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/sink")
 
 
@@ -204,6 +141,101 @@ def run_predicting(out: DataFrame, model: Model, model_id: str, sink: str, check
     out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def matched(out: DataFrame, delay: str = "30 minutes") -> DataFrame:
+    """(flow_id, t, status, status_now, prediction): verified rows with what stood on their predicted row, both from a stream of the sink's rows.
+
+    A stream-stream join: its state goes behind the watermark, which must lag by
+    the longest time from a row to its verification.
+    """
+    rows = out.withWatermark("t", delay)
+    now = rows.where("kind = 'predicted'").select("flow_id", "t", F.col("status").alias("status_now"), "prediction")
+    return rows.where("kind = 'verified'").select("flow_id", "t", "status").join(now, ["flow_id", "t"])
+
+
+def streaming_scoreboard(pairs: DataFrame, delay: str = "30 minutes") -> DataFrame:
+    """(start of the day, verified, hits, persistence_hits) of a stream of matched rows, for output mode update."""
+    hit = lambda c: F.sum(F.when(F.col(c) == F.col("status"), 1).otherwise(0))
+    days = pairs.withWatermark("t", delay).groupBy(F.window("t", "1 day").alias("day"))
+    return days.agg(F.count("*").alias("verified"), hit("prediction").alias("hits"), hit("status_now").alias("persistence_hits")).select("day.start", "verified", "hits", "persistence_hits")
+
+
+def run_scoreboard(spark: SparkSession, sink: str, board: str, checkpoint: str, delay: str = "30 minutes", files_per_batch: int = 10_000) -> None:
+    """Carries the scoreboard on over the sink's new files and ends.
+
+    Two queries, as Spark joins streams in output mode append only: one writes
+    matched rows, the other adds them up and writes a line for each day that a
+    batch changes, in a folder of that batch, which a batch that is run again
+    replaces.  ``latest_board`` reads the result.
+    """
+    keyed_store(spark)
+    out = spark.readStream.schema(OUTPUT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(sink)
+    pairs = matched(out, delay)
+    run_available(pairs, f"{board}/matched", f"{checkpoint}/matched")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{board}/days/batch={number}")
+
+    found = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{board}/matched")
+    streaming_scoreboard(found, delay).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/days").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_board(spark: SparkSession, board: str) -> DataFrame:
+    """(verified, hits, persistence_hits) from the last line of each day."""
+    last = spark.read.parquet(f"{board}/days").groupBy("start").agg(F.max_by(F.struct("verified", "hits", "persistence_hits"), "batch").alias("line"))
+    return last.agg(*(F.coalesce(F.sum(f"line.{c}"), F.lit(0)).alias(c) for c in ("verified", "hits", "persistence_hits")))
+
+
+class ProgressTable(StreamingQueryListener):
+    """Writes a line for each start, progress, idle trigger and end of a query, so that a stopped query is told from an idle source.
+
+    Lines are kept by the driver up to ``every`` and then appended as one file; an end writes at once.
+    """
+
+    SCHEMA = "query string, run string, event string, at timestamp, batch long, rows long, watermark string, error string"
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 20) -> None:
+        self.spark, self.path, self.every, self.lines = spark, path, every, []
+
+    def _note(self, event: str, of: object, batch: int | None = None, rows: int | None = None, watermark: str | None = None, error: str | None = None) -> None:
+        self.lines.append((str(of.id), str(of.runId), event, datetime.now(timezone.utc), batch, rows, watermark, error))
+        if len(self.lines) >= self.every or event == "ended":
+            self.flush()
+
+    def flush(self) -> None:
+        lines, self.lines = self.lines, []
+        if lines:
+            self.spark.createDataFrame(lines, self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryStarted(self, event: object) -> None:
+        self._note("started", event)
+
+    def onQueryProgress(self, event: object) -> None:
+        p = event.progress
+        self._note("progress", p, p.batchId, p.numInputRows, p.eventTime.get("watermark"))
+
+    def onQueryIdle(self, event: object) -> None:
+        self._note("idle", event)
+
+    def onQueryTerminated(self, event: object) -> None:
+        self._note("ended", event, error=event.exception)
+
+
+def query_states(progress: DataFrame, now: str, cadence_s: int) -> DataFrame:
+    """(query, last_event, last_at, last_rows_at, state): failed or ended; silent without any line for three cadences; idle without rows for as long; else running."""
+    at, limit = F.lit(now).cast("timestamp").cast("long"), 3 * cadence_s
+    last = progress.groupBy("query").agg(
+        F.max_by(F.struct("event", "error"), F.struct("at", F.col("event") == "ended")).alias("last"), F.max("at").alias("last_at"), F.max(F.when(F.col("rows") > 0, F.col("at"))).alias("last_rows_at")
+    )
+    state = (
+        F.when((F.col("last.event") == "ended") & F.col("last.error").isNotNull(), "failed")
+        .when(F.col("last.event") == "ended", "ended")
+        .when(at - F.col("last_at").cast("long") > limit, "silent")
+        .when(F.col("last_rows_at").isNull() | (at - F.col("last_rows_at").cast("long") > limit), "idle")
+        .otherwise("running")
+    )
+    return last.select("query", F.col("last.event").alias("last_event"), "last_at", "last_rows_at", state.alias("state"))
+
+
 def live_scoreboard(sink: DataFrame) -> DataFrame:
     """Verified predictions and hits of the prediction frozen at arrival and of 'nothing changes'."""
     now = sink.where("kind = 'predicted'").select("flow_id", "t", F.col("status").alias("status_now"), "prediction")
