@@ -29,6 +29,7 @@ from ..operators import measurements as M
 from ..operators import models as MD
 from ..sources import adapters as A
 from ..sources import files as S
+from . import views as V
 from .sql import KM, steps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,3 +358,20 @@ query("m6_boost_scores", "SELECT count(*) AS n, count(*) AS n_class, count(*) AS
 query("m7_grid", "SELECT unnest([2, 4]) AS depth, true AS learned, true AS gap_adds_up")(lambda c: MD.grid(MD.fit_tree, {"depth": [2, 4]}, MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS), MD.prepare(c.blk.where("block = 'validation' AND status_future IS NOT NULL"), MODEL_COLUMNS)).select(F.col("depth").cast("int").alias("depth"), (F.col("f1_train") > 0).alias("learned"), (F.abs(F.col("f1_train") - F.col("f1_validation") - F.col("gap")) < 1e-9).alias("gap_adds_up")))
 query("a21_importances", f"SELECT {len(MODEL_COLUMNS)}::BIGINT AS columns, 1.0::DOUBLE AS total")(lambda c: MD.importances(MD.fit_tree(MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), MODEL_COLUMNS, "tree", c.blk).agg(F.count("*").alias("columns"), F.sum("importance").alias("total")))
 query("m11_leaf_profile", f"SELECT count(*) AS n, true AS pure FROM blk WHERE {_TRAIN}")(lambda c: MD.leaf_profile(MD.score(MD.fit_tree(t := MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), t, "m")).agg(F.sum("n").alias("n"), F.min((F.col("purity") > 1 / 3 - 1e-9) & (F.col("purity") <= 1)).alias("pure")))
+
+
+# SQL text over named views
+def _viewed(c: Chain, f: Callable[..., DataFrame], **params) -> DataFrame:
+    V.register(c.spark, c.sf_dir, c)
+    return f(c.spark, **params)
+
+
+_BURST = "SELECT start_time, prb_id, dst_addr, destination_country, destination_region, CAST(1 AS BIGINT) AS msm_id, packets_sent, packets_received FROM (SELECT t AS start_time, om.*, b.packets_sent, b.packets_received FROM om JOIN bursts0 b ON b.o_orderkey = om.o_orderkey)"
+query("sql_recent_bursts", f"SELECT start_time, prb_id, dst_addr, packets_sent, packets_received, round(CAST(packets_sent - packets_received AS DOUBLE) / packets_sent * 100, 2) AS loss_pct FROM ({_BURST}) WHERE start_time >= (SELECT max(t) FROM om) - INTERVAL 720 HOURS ORDER BY start_time DESC, prb_id, dst_addr, packets_sent, packets_received LIMIT 20")(lambda c: _viewed(c, V.recent_bursts, hours=720))
+query("sql_regional_bursts", f"SELECT * FROM ({_BURST}) WHERE start_time >= (SELECT max(t) FROM om) - INTERVAL 700 DAYS AND prb_id IN (1, 3, 5, 8, 13) AND dst_addr IN ('1-URGENT', '5-LOW')")(
+    lambda c: _viewed(c, V.regional_bursts, probes=[1, 3, 5, 8, 13], destinations=["1-URGENT", "5-LOW"], days=700).drop("pings")
+)
+query("sql_classes_by_route", "SELECT route, status_now, count(*) AS n, count(*) FILTER (WHERE status_now = status_future) AS n_same FROM blk GROUP BY 1, 2")(lambda c: _viewed(c, V.classes_by_route))
+query("s9_ingested_slices", "SELECT CAST(k AS BIGINT) AS k, count(*) AS n FROM (SELECT floor((epoch(ts) - epoch(s0)) / (240 * 3600 + 1)) AS k FROM events, (SELECT min(ts) AS s0 FROM events) WHERE floor(epoch(ts)) - floor(epoch(s0)) - floor((epoch(ts) - epoch(s0)) / (240 * 3600 + 1)) * (240 * 3600 + 1) <= 240 * 3600) GROUP BY 1")(
+    lambda c: S.in_slices(c.table("events").withColumn("t", F.col("ts")), "t", 240).groupBy("k").agg(F.count("*").alias("n"))
+)

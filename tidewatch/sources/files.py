@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ def read_layer(spark: SparkSession, path: str, made_by: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"{path} is missing; run {made_by} first") from e
 
 
@@ -95,6 +98,49 @@ def plan_slices(window: DataFrame, hours: int) -> DataFrame:
     return rows.select("k", "slice_from", F.least(F.col("slice_from") + F.make_dt_interval(hours=F.lit(hours)), F.col("stop")).alias("slice_to"))
 
 
+def in_slices(rows: DataFrame, time: str, hours: int) -> DataFrame:
+    """rows with k, the slice of ``plan_slices`` over their whole range that each lies in; rows in the second between two slices are in none."""
+    window = rows.agg(F.min(time).alias("start"), F.max(time).alias("stop"))
+    step = hours * 3600 + 1
+    past = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("start").cast("timestamp"))
+    k = F.floor(past / (step * 1_000_000))
+    return rows.crossJoin(F.broadcast(window)).withColumn("k", k).where(past - k * step * 1_000_000 <= hours * 3600 * 1_000_000).drop("start", "stop")
+
+
+def ingest_slices(source: DataFrame, time: str, day: str, path: str, start: str, stop: str, hours: int) -> list[int]:
+    """Reads a table partitioned by ``day`` slice by slice into ``path``; returns the numbers of the slices that this run took.
+
+    A slice [from, to] names the days it touches, so only their files are read.
+    Its rows replace the folder of its number, then the mark moves on; a run
+    that broke off goes on at the first slice behind the mark, and the slice in
+    which it broke off is read again.  The mark also holds the plan: another
+    start or length is refused.
+    """
+    spark = source.sparkSession
+    plan = plan_slices(spark.sql("SELECT CAST(? AS TIMESTAMP_NTZ) AS start, CAST(? AS TIMESTAMP_NTZ) AS stop", args=[start, stop]), hours).orderBy("k").collect()
+    mark = -1
+    if _exists(spark, f"{path}/mark"):
+        held = spark.read.json(f"{path}/mark", schema="k long, start string, hours int").orderBy(F.desc("k")).first()
+        if (held.start, held.hours) != (start, hours):
+            raise ValueError("the folder holds slices of another plan")
+        mark = held.k
+    done = []
+    for s in plan:
+        if s.k <= mark:
+            continue
+        at = F.col(time).cast("timestamp_ntz")
+        rows = source.where(F.col(day).between(s.slice_from.date(), s.slice_to.date()) & (at >= F.lit(s.slice_from).cast("timestamp_ntz")) & (at <= F.lit(s.slice_to).cast("timestamp_ntz")))
+        rows.write.mode("overwrite").parquet(f"{path}/rows/k={s.k}")
+        spark.createDataFrame([(s.k, start, hours)], "k long, start string, hours int").coalesce(1).write.mode("append").json(f"{path}/mark")
+        done.append(s.k)
+    return done
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def source_filter(df: DataFrame, time: str, days: int) -> DataFrame:
     """The last days before the newest row."""
     newest = df.agg(F.max(time).alias("_newest"))
@@ -117,9 +163,25 @@ def later_than_first(df: DataFrame, hours: int) -> DataFrame:
     return df.crossJoin(F.broadcast(first)).where(F.col("t") >= F.col("_first") + F.expr(f"INTERVAL {hours} HOURS")).drop("_first")
 
 
-def append_history(scored: DataFrame, path: str) -> None:
-    """Appends predictions to a history partitioned by day."""
-    scored.withColumn("day", F.to_date("created_utc")).write.mode("append").partitionBy("day").parquet(path)
+def append_history(scored: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds a run's predictions to a history partitioned by day and run.
+
+    Only the partitions of this run are replaced, so a run that is repeated after
+    a failure stands there once, and other runs stay.  Without a name a call is a
+    run of its own.
+    """
+    run = run or uuid.uuid4().hex
+    rows = scored.withColumns({"day": F.to_date("created_utc"), "run": F.lit(run)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(path)
+
+
+def ordered_names(df: DataFrame, col: str, locale: str = "UNICODE") -> DataFrame:
+    """(place, name): the different names in the order of a locale's collation, where accents and case count last; null isn't a name."""
+    from pyspark.sql.window import Window
+
+    names = df.where(F.col(col).isNotNull()).select(F.col(col).alias("name")).distinct()
+    place = F.row_number().over(Window.orderBy(F.collate("name", locale), "name"))  # over the different names, not the rows
+    return names.select(place.alias("place"), "name")
 
 
 #: A replay row in a document.
