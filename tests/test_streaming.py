@@ -165,3 +165,21 @@ def test_stopped_query_is_told_from_an_idle_source(spark, tmp_path):
     assert state([line("started", 0), line("progress", 990, 7)]) == "running"
     assert state([line("started", 0), line("progress", 700, 7)]) == "silent"
     assert state([line("started", 0), line("progress", 990, 7), line("ended", 990)]) == "ended"
+
+
+def test_recent_view_equals_batch_after_each_file(spark, tmp_path):
+    """Late hours within the view, hours that newer ones push out, timeouts, a flow without answers; the view resumes between files."""
+    t0 = datetime(2024, 1, 1)
+    row = lambda flow, hours, rtt=10.0: (flow, t0 + timedelta(hours=hours), rtt, 1.0, 0.0, int(rtt is None))
+    files = [
+        [row("a", 0), row("a", 0.5, 20.0), row("b", 3, None)],
+        [row("a", 23.5, None), row("a", 2, 40.0), row("b", 60, 5.0), row("c", 1)],
+        [row("a", 24.2, 7.0), row("a", 1, 8.0), row("b", 50, 6.0), row("b", 30)],
+    ]
+    seen = []
+    for k, rows in enumerate(files):
+        land(spark, rows, f"{tmp_path}/in", str(k), tmp_path)
+        live.run_recent(live.read_bursts(spark, f"{tmp_path}/in"), f"{tmp_path}/view", f"{tmp_path}/c", 24)
+        seen += rows
+        want = live.recent_by_flow(spark.createDataFrame(seen, live.MEASUREMENT_SCHEMA), 24)
+        assert sorted(map(tuple, live.latest_view(spark, f"{tmp_path}/view").collect())) == sorted(map(tuple, want.collect()))

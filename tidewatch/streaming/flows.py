@@ -151,3 +151,35 @@ class FlowProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._opened()
         yield self._frame(list(self._settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)))
+
+
+RECENT_SCHEMA = "flow_id string, newest_hour timestamp, n long, timeouts long, mean_rtt double"
+
+
+class RecentProcessor(StatefulProcessor):
+    """A flow's measurements of the last hours as sums by hour; hours leave when newer ones push them out, or by themselves when the flow falls silent."""
+
+    def __init__(self, hours: int) -> None:
+        self.hours = hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getMapState("sums", "hour long", "n long, timeouts long, answered long, total double", ttlDurationMs=(self.hours + 1) * 3_600_000)
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            hour = batch["t"].astype("datetime64[us]").astype("int64") // 3_600_000_000
+            found = batch.assign(hour=hour).groupby("hour").agg(n=("t", "size"), timeouts=("is_timeout", "sum"), answered=("rtt", "count"), total=("rtt", "sum"))
+            for h, *more in found.itertuples():
+                old = self.sums.getValue((h,)) or (0, 0, 0, 0.0)
+                self.sums.updateValue((h,), tuple(kind(a + b) for kind, a, b in zip((int, int, int, float), old, more)))
+        held = {h: v for (h,), v in self.sums.iterator()}  # no more hours than the view has, and those of this batch
+        newest = max(held)
+        for h in [h for h in held if h <= newest - self.hours]:
+            self.sums.removeKey((h,))
+            del held[h]
+        n, timeouts, answered, total = (sum(v[i] for _, v in sorted(held.items())) for i in range(4))
+        at = pd.to_datetime([newest * 3_600_000_000], unit="us")
+        yield pd.DataFrame({"flow_id": [key[0]], "newest_hour": at, "n": [n], "timeouts": [timeouts], "mean_rtt": [total / answered if answered else None]}).astype({"mean_rtt": "float64"})

@@ -16,13 +16,14 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.window import Window
 
 from ..functions.params import BASELINE_COLUMNS, MODEL_COLUMNS, Params
 from ..operators.baseline import cards as frozen_cards
 from ..operators.features import relative_metrics
 from ..operators.joins import compare_tables
 from ..operators.models import assemble, score
-from .flows import KEPT, OUTPUT_SCHEMA, FlowProcessor
+from .flows import KEPT, OUTPUT_SCHEMA, RECENT_SCHEMA, FlowProcessor, RecentProcessor
 
 MEASUREMENT_SCHEMA = "flow_id string, t timestamp, rtt double, jitter double, loss_pct double, is_timeout int"
 
@@ -185,6 +186,45 @@ def latest_board(spark: SparkSession, board: str) -> DataFrame:
     return last.agg(*(F.coalesce(F.sum(f"line.{c}"), F.lit(0)).alias(c) for c in ("verified", "hits", "persistence_hits")))
 
 
+def recent_view(stream: DataFrame, hours: int = 24) -> DataFrame:
+    """(flow_id, newest_hour, n, timeouts, mean_rtt) over a flow's last hours up to its newest one, a row for each flow that a batch touches; for output mode update.
+
+    State goes some time after the last row, by the clock, and costs no timer.
+    """
+    keyed_store(stream.sparkSession)
+    return stream.select("flow_id", "t", "rtt", "is_timeout").groupBy("flow_id").transformWithStateInPandas(RecentProcessor(hours), RECENT_SCHEMA, "Update", "ProcessingTime")
+
+
+def recent_by_flow(rows: DataFrame, hours: int = 24) -> DataFrame:
+    """What ``recent_view`` says last of these rows."""
+    hour = F.date_trunc("hour", F.col("t").cast("timestamp"))
+    newest = F.max("hour").over(Window.partitionBy("flow_id"))
+    kept = rows.withColumn("hour", hour).withColumn("newest_hour", newest).where(F.col("hour") > F.col("newest_hour") - F.expr(f"INTERVAL {hours} HOURS"))
+    return kept.groupBy("flow_id", "newest_hour").agg(F.count("*").alias("n"), F.sum("is_timeout").alias("timeouts"), F.avg("rtt").alias("mean_rtt"))
+
+
+def run_recent(stream: DataFrame, view: str, checkpoint: str, hours: int = 24) -> None:
+    """Carries the view on over what has arrived and ends; ``latest_view`` reads it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{view}/batch={number}")
+
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # state that follows the clock asks for one more batch without end; a query keeps what it starts with
+    try:
+        query = recent_view(stream, hours).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
+    query.awaitTermination()
+
+
+def latest_view(spark: SparkSession, view: str) -> DataFrame:
+    """The last row of each flow."""
+    last = spark.read.parquet(view).groupBy("flow_id").agg(F.max_by(F.struct("newest_hour", "n", "timeouts", "mean_rtt"), "batch").alias("line"))
+    return last.select("flow_id", "line.*")
+
+
 class ProgressTable(StreamingQueryListener):
     """Writes a line for each start, progress, idle trigger and end of a query, so that a stopped query is told from an idle source.
 
