@@ -183,3 +183,33 @@ def test_recent_view_equals_batch_after_each_file(spark, tmp_path):
         seen += rows
         want = live.recent_by_flow(spark.createDataFrame(seen, live.MEASUREMENT_SCHEMA), 24)
         assert sorted(map(tuple, live.latest_view(spark, f"{tmp_path}/view").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_job_by_cadence_and_its_claim(spark, tmp_path):
+    """Batches come by the clock until the job is stopped; it resumes for its own model and start only."""
+    import time
+
+    import pytest
+
+    p = Params(min_valid=2, baseline_hours=2, gate=(600, 840))
+    t0 = datetime(2024, 1, 1)
+    row = lambda minutes, rtt=10.0: ("a", t0 + timedelta(minutes=minutes), rtt, 1.0, 0.0, 0)
+    history = spark.createDataFrame([(*row(-k, 10.0 + k % 3), "r") for k in range(1, 60)], f"{live.MEASUREMENT_SCHEMA}, route string")
+    live.freeze_baseline(history, str(t0), p, f"{tmp_path}/cards", "m")
+    cards = live.start_or_resume(spark, f"{tmp_path}/cards", "m")
+    predicted = lambda: spark.read.schema(live.OUTPUT_SCHEMA).parquet(f"{tmp_path}/sink").where("kind = 'predicted'").count()
+    for k in range(2):
+        land(spark, [row(4 + 4 * k)], f"{tmp_path}/in", str(k), tmp_path)
+        query = live.run_live(live.live(live.read_bursts(spark, f"{tmp_path}/in"), cards, p, str(t0)), f"{tmp_path}/sink", f"{tmp_path}/c", "m", str(t0), "500 milliseconds")
+        try:
+            deadline = time.time() + 60
+            query.processAllAvailable()
+            while predicted() < k + 1 and time.time() < deadline:
+                time.sleep(0.5)
+        finally:
+            query.stop()
+    assert predicted() == 2
+    for model, start in (("other", str(t0)), ("m", "2024-01-02")):
+        with pytest.raises(ValueError, match="belongs to model m"):
+            live.claim_checkpoint(spark, f"{tmp_path}/c", model, start)
+    live.claim_checkpoint(spark, f"{tmp_path}/c", "m", str(t0))

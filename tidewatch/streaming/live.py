@@ -15,7 +15,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.window import Window
 
 from ..functions.params import BASELINE_COLUMNS, MODEL_COLUMNS, Params
@@ -85,6 +85,27 @@ def run_available(out: DataFrame, sink: str, checkpoint: str) -> None:
     out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def claim_checkpoint(spark: SparkSession, checkpoint: str, model_id: str, t0: str) -> None:
+    """Notes model and start beside a checkpoint at its first use; later, another model or start is refused.
+
+    So a query never goes on with state that belongs to other cards or predictions.
+    """
+    path, schema = f"{checkpoint}-owner", "model_id string, t0 string"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        held = spark.read.json(path, schema=schema).first()
+        if (held.model_id, held.t0) != (model_id, t0):
+            raise ValueError(f"the checkpoint belongs to model {held.model_id} started at {held.t0}")
+    else:
+        spark.createDataFrame([(model_id, t0)], schema).coalesce(1).write.mode("overwrite").json(path)
+
+
+def run_live(out: DataFrame, sink: str, checkpoint: str, model_id: str, t0: str, cadence: str = "60 seconds") -> StreamingQuery:
+    """Starts the job for good: a batch each cadence; the checkpoint is claimed first."""
+    claim_checkpoint(out.sparkSession, checkpoint, model_id, t0)
+    return out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=cadence).start()
+
+
 def backfill(measured: DataFrame, newest: datetime, hours: int, p: Params, work: str, model_id: str, step_hours: int = 24, delay: str = "30 minutes") -> DataFrame:
     """A retroactive run: the job starts some hours before ``newest`` and takes the rows since as if they arrived, step by step.
 
