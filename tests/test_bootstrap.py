@@ -53,7 +53,7 @@ def test_equals_plain_bootstrap(spark, flows, chunk):
 
 def test_flows_are_numbered_in_order(spark):
     keys = [f"k{i * 7919 % 1000}" for i in range(1000)]
-    got = E._numbered_by_ranges(spark.createDataFrame([(k,) for k in keys], "flow_id string"), "flow_id").collect()
+    got = E.flow_counts(spark.createDataFrame([(k, "OK") for k in keys], "flow_id string, status_future string"), {}).collect()
     assert sorted((r.flow_id, r._no) for r in got) == [(k, i) for i, k in enumerate(sorted(keys))]
 
 

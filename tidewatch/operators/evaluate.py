@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.params import CLASSES
+from ..sources.tables import with_position
 
 
 def _grid(df: DataFrame, *names: str) -> DataFrame:
@@ -69,21 +70,6 @@ def metrics_long(cm: DataFrame) -> DataFrame:
     return per.unionByName(total).select("metric", "class", "value")
 
 
-def _numbered_by_ranges(rows: DataFrame, key: str, pieces: int = 64) -> DataFrame:
-    """Adds _no, the place of each row in the order of a unique key of any type, from 0, without sorting all rows in one task.
-
-    Edges of the ranges are taken from a sample of keys; they set the sizes of the ranges only, not the numbers.
-    """
-    sample = rows.select(key).orderBy(F.xxhash64(key), key).limit(100 * pieces).agg(F.sort_array(F.collect_list(key)).alias("_s"))
-    edges = sample.select(F.array_compact(F.array(*(F.get("_s", F.floor(F.size("_s") * i / pieces).cast("int")) for i in range(1, pieces)))).alias("_edges"))
-    ranged = rows.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    counts = counts.select("_range", before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.join(F.broadcast(counts), "_range").withColumn("_no", F.col("_before") + place).drop("_range", "_before")
-
-
 def flow_counts(df: DataFrame, preds: dict[str, str], key: str = "flow_id") -> DataFrame:
     """One numbered row for each flow with verified rows: its rows, and support, hits and sayings of each class for each named prediction."""
     truth, sums = F.col("status_future"), [F.count("*").alias("_rows")]
@@ -91,7 +77,8 @@ def flow_counts(df: DataFrame, preds: dict[str, str], key: str = "flow_id") -> D
         sums.append(F.count_if(truth == c).alias(f"_support_{c}"))
         for m, pred in preds.items():
             sums += [F.count_if((truth == c) & (F.col(pred) == c)).alias(f"_hit_{m}_{c}"), F.count_if(F.col(pred) == c).alias(f"_said_{m}_{c}")]
-    return _numbered_by_ranges(df.where("status_future IS NOT NULL").groupBy(key).agg(*sums), key)
+    flows = with_position(df.where("status_future IS NOT NULL").groupBy(key).agg(*sums), [key], "_no")
+    return flows.withColumn("_no", F.col("_no") - 1)
 
 
 def bootstrap_draws(flows: DataFrame, resamples: int, pieces: int = 64, chunk: int = 4_096) -> DataFrame:

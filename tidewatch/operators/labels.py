@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import class_of_line, epoch_s, epoch_us, first_line, rule_number, status_of
 from ..functions.params import FIXED_RULE, Params
+from ..sources.tables import with_position
 
 
 def _by_flow():
@@ -37,22 +38,12 @@ def tag_block(rows: DataFrame, splits: tuple[float, ...], names: tuple[str, ...]
     return rows.crossJoin(F.broadcast(cuts)).select(*rows.columns, F.get(F.array(*map(F.lit, names)), number).alias("block"))
 
 
-def tag_block_by_rows(rows: DataFrame, order: list[str], splits: tuple[float, float], pieces: int = 64) -> DataFrame:
-    """Blocks by position in a total order, without sorting all rows in one task.
-
-    The rows are cut into ranges of the first order column; a row's position is
-    the number of rows in earlier ranges plus its place in its own.
-    """
-    first = order[0]
-    edges = rows.select(F.percentile_approx(first, [i / pieces for i in range(1, pieces)], 10_000).alias("_edges"))
-    ranged = rows.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(first)))).drop("_edges")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    counts = counts.select("_range", before.alias("_before"), F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = ranged.join(F.broadcast(counts), "_range").withColumn("position", F.col("_before") + place)
-    block = F.when(F.col("position") <= F.floor(F.col("_all") * splits[0]), "train").when(F.col("position") <= F.floor(F.col("_all") * splits[1]), "validation").otherwise("test")
-    return out.withColumn("block", block).drop("_range", "_before", "_all")
+def tag_block_by_rows(rows: DataFrame, order: list[str], splits: tuple[float, float]) -> DataFrame:
+    """Adds position, the place in a total order, and block by position, without sorting all rows in one task."""
+    out = with_position(rows, order)
+    ends = out.agg(F.count("*").alias("_all")).select(*(F.floor(F.col("_all") * s).alias(f"_end{i}") for i, s in enumerate(splits)))
+    block = F.when(F.col("position") <= F.col("_end0"), "train").when(F.col("position") <= F.col("_end1"), "validation").otherwise("test")
+    return out.crossJoin(F.broadcast(ends)).select(*out.columns, block.alias("block"))
 
 
 def split_ties(rows: DataFrame) -> DataFrame:
