@@ -1,14 +1,15 @@
-"""Helpers that several operators share: stored intermediate tables and column handling."""
+"""Helpers that several operators share: joins with hot keys, numbers within keys and column handling."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import release, shared_dir, stored
+
+__all__ = ["ASCII_UPPER", "HOT_SHARE", "join_facts", "lower_ascii", "numbered", "release", "shared_dir", "stored", "table"]
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -17,35 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Where the session names none, it is set: to a folder of the warehouse on a
-    cluster, to a temporary one only where driver and executors are one process.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        alone = spark.sparkContext.master.split("[")[0] == "local"
-        named = "file://" + tempfile.mkdtemp(prefix="tidewatch-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidewatch-stored"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs only the tasks that it ran,
-    and what is used twice is computed once.  The table goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key that more than this share of all rows has is hot; so there are fewer than 1 / HOT_SHARE hot keys, whatever the number of rows.
 HOT_SHARE = 0.001
 

@@ -356,8 +356,8 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).unionByName(blocks.select(F.col("component").alias("cls"), F.col("component").alias("block")).distinct())
     firsts = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.count("*").alias("held"))
     members = stored(members.join(firsts, "cls").select("cls", "block", "n", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")))
-    block_sizes = members.groupBy("block").agg(F.sum("n").alias("grams"))
-    members = members.join(block_sizes, "block").withColumn("pieces", F.ceil(F.col("grams") / PIECE))
+    block_sizes = members.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("n"))
+    members = join_facts(members.drop("n"), block_sizes, ["block"]).drop("n").withColumn("pieces", F.ceil(F.col("grams") / PIECE))
     total = block_sizes.agg(F.sum("grams")).first()[0] or 0
     buckets = total // TOGETHER + 1
     # Repeats of a row go before the shuffle, which serves the join too.  The members grow with the corpus, so they are never broadcast.
@@ -379,9 +379,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     edges = dealt.withColumn("bucket", bucket).drop("pieces").groupBy("bucket").applyInPandas(_join_pieces, "a long, b long")
 
     linked = connected_components(edges).withColumnRenamed("node", "cls")
-    named = firsts.select("cls", "first_id", F.col("held").alias("n")).join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(ids, "component").select("cls", "n", "component", "component_id")
+    named = stored(firsts.select("cls", "first_id", "held").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_facts(named, ids, ["component"]).select("cls", F.col("held").alias("n"), "component", "component_id")
     some = join_facts(rows.where("n > 0").withColumnRenamed("n", "n_shingles"), named, ["cls"]).select("doc_id", "text_hash", "n_shingles", "component_id", "component")
     none = rows.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return some.unionByName(none)

@@ -206,10 +206,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     found = stored(links(classes, cosine))
     member = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    named = classes.join(counted, "cls", "left").join(member.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("component", F.coalesce("component", "cls")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1)
-    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.select("label", "embedding", "n", "n_links", "component").join(ids, "component").select("label", "embedding", "n", "n_links", "component_id")
+    named = classes.select("cls", "n", "first_id").join(counted, "cls", "left").join(member.withColumnRenamed("node", "cls"), "cls", "left")
+    named = stored(named.select("cls", "first_id", F.coalesce("component", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_facts(named, ids, ["component"]).select("cls", "n_links", "component_id")
+    named = classes.select("cls", "label", "embedding", "n").join(named, "cls").drop("cls")
     linked = join_facts(rows.where("usable"), named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
