@@ -30,6 +30,19 @@ def labelled_account(feat: DataFrame, lab: DataFrame, declared: tuple[str, ...])
     return feat.agg(F.count("*").alias("rows_in")).crossJoin(F.broadcast(lab.agg(F.count("*").alias("rows_out")))).select("*", missing.alias("missing"), extra.alias("undeclared"))
 
 
+def floor_faults(lab: DataFrame, p: Params) -> DataFrame:
+    """(flow_id, t, fault): labels that contradict the values behind rule 3, read from the columns and not from the order of the rules.
+
+    An extreme z with an increase above the floor belongs to rules 1 to 3; an
+    extreme z with an increase below it, or without one, never to rule 3.  Without a
+    floor every increase is above it.  Rows without z have no fault.
+    """
+    extreme, rule = F.col("robust_z") >= p.z_fail, F.col("rule")
+    above = F.lit(True) if p.floor is None else F.coalesce(F.col("increase_pct") >= p.floor, F.lit(False))
+    fault = F.when(extreme & above & (rule > 3), "extreme outside rules 1 to 3").when(extreme & ~above & (rule == 3), "rule 3 below the floor")
+    return lab.select("flow_id", "t", fault.alias("fault")).where("fault IS NOT NULL")
+
+
 def block_order_faults(blk: DataFrame, names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
     """(block, fault): blocks that are absent, begin before the one before them ends, or lack a class."""
     ends = blk.groupBy("block").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.collect_set("status_now").alias("seen"))
@@ -66,11 +79,9 @@ def row_account(blk: DataFrame, k: int) -> DataFrame:
 def metrics_from_rows(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Class metrics counted from the rows, with no matrix between: an independent path to class_metrics."""
     rows = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
-    out = None
-    for c in CLASSES:
-        is_c, said_c = F.col(truth) == c, F.col(pred) == c
-        line = rows.agg(F.lit(c).alias("class"), F.count_if(is_c & said_c).alias("hit"), F.count_if(said_c & ~is_c).alias("false_alarms"), F.count_if(is_c & ~said_c).alias("misses"))
-        out = line if out is None else out.unionByName(line)
+    counts = lambda is_c, said_c: (F.count_if(is_c & said_c).alias("hit"), F.count_if(said_c & ~is_c).alias("false_alarms"), F.count_if(is_c & ~said_c).alias("misses"))
+    lines = rows.agg(*(F.struct(F.lit(c).alias("class"), *counts(F.col(truth) == c, F.col(pred) == c)).alias(c) for c in CLASSES))
+    out = lines.select(F.inline(F.array(*CLASSES)))
     zero = F.lit(0.0)
     return out.select(
         "class",
@@ -81,9 +92,12 @@ def metrics_from_rows(df: DataFrame, truth: str, pred: str) -> DataFrame:
     )
 
 
-def metric_faults(df: DataFrame, truth: str, pred: str, tol: float = 1e-9) -> DataFrame:
-    """(class, why): classes whose metrics from the matrix differ from those from the rows, and a line if the matrix doesn't sum to the rows."""
-    cm = confusion(df, truth, pred)
+def metric_faults(df: DataFrame, truth: str, pred: str, tol: float = 1e-9, cm: DataFrame | None = None) -> DataFrame:
+    """(class, why): classes whose metrics from the matrix differ from those from the rows, and a line if the matrix doesn't sum to the rows.
+
+    cm is a matrix kept elsewhere that is to be held against the rows; without it, theirs.
+    """
+    cm = confusion(df, truth, pred) if cm is None else cm
     apart = compare_tables(class_metrics(cm), metrics_from_rows(df, truth, pred), ["class"], ["precision", "recall", "f1", "support"], tol)
     n = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).agg(F.count("*").alias("rows"))
     short = cm.agg(F.sum("n").alias("n")).crossJoin(F.broadcast(n)).where("n <> rows").select(F.lit("all").alias("class"), F.lit("sum").alias("why"))

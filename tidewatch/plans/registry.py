@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from ..operators import measurements as M
 from ..operators import models as MD
 from ..sources import adapters as A
 from ..sources import files as S
+from ..sources.tables import scratch
 from . import views as V
 from .sql import KM, steps
 
@@ -171,8 +173,8 @@ query("j14_compare_tables", "SELECT flow_id, t, CASE WHEN t < (SELECT min(t) FRO
     lambda c: J.compare_tables(c.meas, S.later_than_first(c.meas, 48).withColumn("rtt", F.when(F.col("rtt") > 90, F.col("rtt") + 1).otherwise(F.col("rtt"))), ["flow_id", "t"], ["rtt", "jitter"], 1e-9)
 )
 query("j15_present_in_all", "SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey HAVING count(DISTINCT o_orderpriority) = 5")(lambda c: J.present_in_all(c.table("orders").join(c.table("customer"), F.col("o_custkey") == F.col("c_custkey")), "c_nationkey", "o_orderpriority", 5))
-query("j16_candidates", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")(
-    lambda c: J.candidates(c.table("supplier"), c.table("nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey")), c.table("lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "s_nationkey")
+query("j16_candidates", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount < 0.005)")(
+    lambda c: J.candidates(c.table("supplier"), c.table("nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey")), c.table("lineitem").where("l_quantity > 49 AND l_discount < 0.005").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "s_nationkey")
 )
 _PLACES = "SELECT c.flow_id, h.hub AS place, h.lon, h.lat, o.lon AS from_lon, o.lat AS from_lat FROM card c JOIN hub o ON o.hub = CAST(c.flow_id AS INTEGER) % 25 JOIN hub h ON h.region = o.region"
 query("j17_feasible", f"SELECT flow_id, place, round(rtt_min, 6) AS rtt_min FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY rtt_min, place) AS k, bool_or(rtt_min <= median) OVER (PARTITION BY flow_id) AS any_ok FROM (SELECT a.flow_id, a.place, c.median, 2 * {KM} / 200.0 AS rtt_min FROM (SELECT flow_id, place, from_lon AS lon, from_lat AS lat, lon AS blon, lat AS blat FROM ({_PLACES})) a JOIN (SELECT hub, lon, lat FROM hub) b ON b.hub = a.place JOIN card c ON c.flow_id = a.flow_id WHERE NOT c.insufficient)) WHERE rtt_min <= median OR (NOT any_ok AND k = 1)")(lambda c: G.feasible_places(c.card, c.hubs).select("flow_id", "place", "rtt_min"))
@@ -247,6 +249,7 @@ query("w16_chunked_window", f"SELECT flow_id, t, n5_timeout, n5_increase80, n5_m
 _PICK = "SELECT * FROM (SELECT '{0}' AS example, flow_id, t, round(rtt, 6) AS rtt, round(robust_z, 6) AS robust_z, rule FROM lab WHERE {1} ORDER BY {2}, flow_id, t LIMIT 1)"
 query("o1_pick_examples", " UNION ALL ".join(_PICK.format(*x) for x in (("ok", "status_now = 'OK' AND abs(robust_z) <= 1 AND n5_moderate = 0", "rtt DESC"), ("risk", "rule = 5 AND robust_z BETWEEN 2 AND 3.5", "abs(robust_z - 2.75)"), ("fail", "rule = 3 AND robust_z >= 4", "lab.rtt"))))(lambda c: E.pick_examples(c.lab))
 query("o2_error_case", "SELECT flow_id, t, round(rtt, 6) AS rtt FROM fut WHERE median > (SELECT quantile_cont(median, 0.5) FROM card) AND status_future = 'OK' AND rule_pred = 'FAIL' AND rtt IS NOT NULL ORDER BY fut.rtt DESC, flow_id, t LIMIT 1")(lambda c: E.error_case(J.with_scalar(c.fut, B.median_of_medians(c.card)), "rule_pred", "OK", "FAIL", True, False, True))
+query("o2_missed_failure", "SELECT flow_id, t, round(rtt, 6) AS rtt FROM fut WHERE median > (SELECT quantile_cont(median, 0.5) FROM card) AND status_future = 'FAIL' AND rule_pred = 'OK' AND rtt IS NOT NULL ORDER BY fut.rtt DESC, flow_id, t LIMIT 1")(lambda c: E.error_case(J.with_scalar(c.fut, B.median_of_medians(c.card)), "rule_pred", "FAIL", "OK", True, False, True))
 query("o3_feed", f"SELECT flow_id, t, t_future FROM fut WHERE status_future IS NOT NULL AND t_future <= {AT} AND rule_pred <> status_future ORDER BY t_future DESC, flow_id, t DESC LIMIT 20")(lambda c: E.feed(c.fut, c.instant, 20, "rule_pred").select("flow_id", "t", "t_future"))
 query("o4_page", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")(lambda c: E.page(c.table("events").select("event_id", "ts"), 3, 50, [F.desc("ts"), F.desc("event_id")]))
 query("o5_ordered", "SELECT flow_id, t, rule FROM lab ORDER BY t, flow_id")(lambda c: c.lab.select("flow_id", "t", "rule").orderBy("t", "flow_id"))
@@ -318,6 +321,14 @@ query("q15_feature_faults", "SELECT 'robust_z' AS \"column\", 'nulls changed' AS
 query("q17_row_account", "SELECT count(*) AS rows, count(*) FILTER (WHERE status_future IS NULL) AS no_future, count(*) FILTER (WHERE status_future IS NOT NULL AND in_gap) AS in_gap, count(*) FILTER (WHERE status_future IS NOT NULL AND NOT in_gap) AS kept, 0::BIGINT AS balance FROM gapped")(lambda c: U.row_account(c.blk, 3))
 query("q18_metrics_from_rows", f"SELECT class, {_six('precision', 'recall', 'f1')}, support FROM f1s")(lambda c: U.metrics_from_rows(c.fut, "status_future", "rule_pred"))
 query("q18_metric_faults", "SELECT 0::BIGINT AS faults")(lambda c: U.metric_faults(c.fut, "status_future", "rule_pred").agg(F.count("*").alias("faults")))
+_LOST = "SELECT count(*) FROM cm WHERE truth = 'FAIL' AND pred <> 'FAIL' AND n > 0 AND (SELECT h.n FROM cm h WHERE h.truth = cm.pred AND h.pred = cm.pred) > 0"
+query("q18_metric_faults_seeded", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', CAST(({_LOST}) + 2 * (SELECT CAST(sum(n) > 0 AS INTEGER) FROM cm WHERE truth = 'FAIL') AS BIGINT)")(
+    lambda c: _plain_and_seeded(lambda cm: U.metric_faults(c.fut, "status_future", "rule_pred", cm=cm), m := E.confusion(c.fut, "status_future", "rule_pred"), m.withColumn("n", F.when(F.col("truth") == "FAIL", 0).otherwise(F.col("n"))))
+)
+_SEEDED_3 = "CAST(flow_id AS INTEGER) % 7 = 1"
+query("q12_floor_faults", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', count(*) FROM lab WHERE robust_z >= 3.5 AND (({_SEEDED} AND increase_pct >= 30) OR ({_SEEDED_3} AND coalesce(increase_pct < 30, true)))")(
+    lambda c: _plain_and_seeded(lambda df: U.floor_faults(df, P), c.lab, c.lab.withColumn("rule", F.when(F.expr(_SEEDED), 6).when(F.expr(_SEEDED_3), 3).otherwise(F.col("rule"))))
+)
 query("q19_count_account", "SELECT unnest(['transitions', 'groups', 'rows']) AS part, n, hits FROM (SELECT count(*) AS n, count(*) FILTER (WHERE rule_pred = status_future) AS hits FROM fut WHERE status_future IS NOT NULL)")(lambda c: U.count_account(c.fut, "rule_pred"))
 query("q20_choice_faults", "SELECT flow_id, 'simpler' AS fault FROM card, (SELECT max(n_valid) AS best FROM card), (SELECT n_rows AS simple FROM card ORDER BY n_valid DESC, flow_id LIMIT 1) WHERE n_valid >= best - 5 AND n_rows < simple")(lambda c: U.choice_faults(c.card, c.card.orderBy(F.desc("n_valid"), "flow_id").limit(1), "flow_id", "n_valid", "n_rows", 5))
 query("q21_bootstrap_account", f"SELECT resample, count(*) AS draws, any_value(k) AS flows, CAST(sum(n_rows) AS BIGINT) AS rows, CAST(sum(n_rows) AS BIGINT) AS weighted_rows FROM ({_DRAWS.format(50)}) d JOIN ({_FLOWS}) f ON d.no = f.no, (SELECT count(*) AS k FROM ({_FLOWS})) GROUP BY resample")(lambda c: U.bootstrap_account(c.fut, 50))
@@ -383,3 +394,55 @@ query("sql_classes_by_route", "SELECT route, status_now, count(*) AS n, count(*)
 query("s9_ingested_slices", "SELECT CAST(k AS BIGINT) AS k, count(*) AS n FROM (SELECT floor((epoch(ts) - epoch(s0)) / (240 * 3600 + 1)) AS k FROM events, (SELECT min(ts) AS s0 FROM events) WHERE floor(epoch(ts)) - floor(epoch(s0)) - floor((epoch(ts) - epoch(s0)) / (240 * 3600 + 1)) * (240 * 3600 + 1) <= 240 * 3600) GROUP BY 1")(
     lambda c: S.in_slices(c.table("events").withColumn("t", F.col("ts")), "t", 240).groupBy("k").agg(F.count("*").alias("n"))
 )
+
+
+# Readers and writers, through the shared folder
+def _through(c: Chain, write: Callable[[str], object], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What is read from a new path that was written to."""
+    path = scratch(c.spark)
+    write(path)
+    return read(path)
+
+
+query("s1_snapshot", "SELECT event_id, user_id, event_type, ts, round(value, 6) AS value FROM events")(lambda c: S.snapshot(c.spark, "parquet", {}, f"{c.sf_dir}/events.parquet", scratch(c.spark))[0].select("event_id", "user_id", "event_type", "ts", "value"))
+query("s2_read_layer", f"SELECT flow_id, t, {_six('rtt')} FROM meas WHERE period = 'B'")(lambda c: _through(c, lambda path: S.write_layer(c.meas, path, ("period",)), lambda path: S.read_layer(c.spark, path, "the measurements")).where("period = 'B'").select("flow_id", "t", "rtt"))
+query("s3_write_layer", "SELECT flow_id, t, rule, status_now FROM lab")(lambda c: S.write_layer(c.lab, scratch(c.spark)).select("flow_id", "t", "rule", "status_now"))
+query("s4_report", "SELECT status_now, count(*) AS n, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lab), 6) AS share FROM lab GROUP BY status_now")(lambda c: _through(c, lambda path: S.write_report(E.distribution(c.lab, "status_now"), path), lambda path: S.read_csv(c.spark, path, "status_now string, n bigint, share double", ",")))
+query("s5_typed_csv", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_mktsegment AS segment, CASE WHEN c_acctbal >= 0 THEN round(CAST(c_acctbal AS DOUBLE), 6) END AS balance FROM customer")(
+    lambda c: _through(
+        c,
+        lambda path: c.table("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).otherwise("overdrawn").alias("balance")).write.option("sep", ";").option("header", True).csv(path),
+        lambda path: S.read_csv(c.spark, path, "c_custkey bigint, segment string, balance double"),
+    )
+)
+query("s6_probe_dim", "SELECT CAST(probe AS BIGINT) AS prb_id, lon AS longitude, lat AS latitude, CAST(nation AS VARCHAR) AS country, CAST(probe % 97 AS BIGINT) AS asn FROM probe")(
+    lambda c: _through(
+        c,
+        lambda path: c.probes.select(F.col("probe").alias("prb_id"), F.col("lon").alias("longitude"), F.col("lat").alias("latitude"), F.col("nation").alias("country"), (F.col("probe") % 97).alias("asn")).write.option("header", True).csv(path),
+        lambda path: S.read_probe_dim(c.spark, path),
+    )
+)
+query("s8_raw_record", "SELECT count(*) AS rows, count(DISTINCT flow_id) AS flows, min(t) AS first_t, max(t) AS last_t, count(*) - count(DISTINCT (flow_id, t)) AS repeats FROM om WHERE o_orderkey % 50 <> 0")(lambda c: S.land_raw(A.order_results(c.spark, c.sf_dir), scratch(c.spark)))
+
+
+# Models saved, compared and explained
+def _leaf_check(c: Chain) -> DataFrame:
+    """Rows whose leaf isn't the one that the rules of the fitted tree's leaves say."""
+    rows = MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)
+    model = MD.fit_tree(rows)
+    rules = U.leaf_rules(model, list(MODEL_COLUMNS), scratch(c.spark), c.blk)
+    scored = model.transform(rows).select("flow_id", "t", "leaf", vector_to_array("features").alias("features"))
+    return _plain_and_seeded(lambda df: U.leaf_faults(df, rules), scored, scored.withColumn("leaf", F.when(F.expr(_SEEDED), F.col("leaf") + 1).otherwise(F.col("leaf"))))
+
+
+def _families(c: Chain) -> DataFrame:
+    """A tree and a forest on the same rows of the validation block."""
+    train, rows = MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS), MD.assemble(c.blk.where("block = 'validation'"), MODEL_COLUMNS)
+    return MD.compare_models({"tree": MD.score(MD.fit_tree(train), rows, "tree"), "forest": MD.score(MD.fit_forest(train, trees=10, depth=5), rows, "forest")})
+
+
+query("q22_leaf_faults", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', count(*) FROM blk WHERE {_TRAIN} AND {_SEEDED}")(_leaf_check)
+query("m9_families", "SELECT unnest(['tree', 'forest']) AS model, n, true AS in_range FROM (SELECT count(*) AS n FROM blk WHERE block = 'validation' AND status_future IS NOT NULL)")(lambda c: _families(c).select("model", "n", (F.col("macro_f1").between(0, 1) & (F.col("accuracy") > 1 / 3)).alias("in_range")))
+query("m13_round_trip", "SELECT count(*) AS n, 0::BIGINT AS changed FROM blk")(
+    lambda c: (rows := MD.assemble(c.blk, MODEL_COLUMNS)).agg(F.count("*").alias("n")).crossJoin(F.broadcast(MD.round_trip(MD.fit_tree(MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), rows, scratch(c.spark)).agg(F.count("*").alias("changed"))))
+)

@@ -30,6 +30,14 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -38,10 +46,8 @@ def stored(df: DataFrame) -> DataFrame:
     ends, or before that by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
     return again
