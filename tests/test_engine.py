@@ -189,6 +189,15 @@ def test_audits_find_seeded_faults(spark):
     assert faults("m2") == set() and faults("m3") == {("m2", "simpler")} and faults("m4") == {("m4", "out of tolerance")}
 
 
+def test_floor_read_from_values(spark):
+    rows = [("high", 4.0, 40.0, 6), ("low", 4.0, 10.0, 3), ("none", 4.0, None, 3), ("loss", 4.0, 40.0, 1), ("right", 4.0, 40.0, 3), ("calm", 4.0, 10.0, 6), ("silent", None, None, 3)]
+    lab = spark.createDataFrame(rows, "flow_id string, robust_z double, increase_pct double, rule int").withColumn("t", F.lit(0))
+    found = lambda p: {(r.flow_id, r.fault) for r in U.floor_faults(lab, p).collect()}
+    outside, below = "extreme outside rules 1 to 3", "rule 3 below the floor"
+    assert found(P) == {("high", outside), ("low", below), ("none", below)}
+    assert found(Params(floor=None)) == {("high", outside), ("calm", outside)}
+
+
 def test_checks_and_decode(spark):
     df = spark.createDataFrame([(101.0, 2.0, 5.5, float("nan")), (50.0, 1.0, 5.0, 1.0), (None, None, None, None)], "loss_pct double, is_timeout double, n5_timeout double, robust_z double")
     assert [r.errors for r in C.model_row_errors(df).collect()] == [["loss_pct", "is_timeout", "n5_timeout", "robust_z"], [], []]
