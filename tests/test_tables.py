@@ -44,6 +44,14 @@ def test_blocks_by_position(spark):
     assert ends == {"train": (1, 500), "validation": (501, 700), "test": (701, 1001)}
 
 
+def test_blocks_end_at_whole_shares(spark):
+    df = spark.range(90).select("id", F.timestamp_micros("id").cast("timestamp_ntz").alias("t"))  # 0.7 * 90 is 62.99999999999999 in doubles
+    rows = labels.tag_block_by_rows(df, ["id"], (0.5, 0.7)).groupBy("block").count().collect()
+    assert {r["block"]: r["count"] for r in rows} == {"train": 45, "validation": 18, "test": 27}
+    times = labels.tag_block(df.unionByName(df.limit(1).select(F.lit(90).cast("long").alias("id"), F.timestamp_micros(F.lit(90)).cast("timestamp_ntz").alias("t"))), (0.5, 0.7))
+    assert {r.block: r.first for r in times.groupBy("block").agg(F.min("id").alias("first")).collect()} == {"train": 0, "validation": 45, "test": 63}
+
+
 def test_a_released_table_is_gone(spark):
     kept, gone = stored(spark.range(5)), stored(spark.range(5))
     release(gone)

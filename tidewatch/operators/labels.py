@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import class_of_line, epoch_s, epoch_us, first_line, rule_number, status_of
+from ..functions.exprs import class_of_line, epoch_s, epoch_us, first_line, rule_number, status_of, whole_share
 from ..functions.params import FIXED_RULE, Params
 from ..sources.tables import with_position
 
@@ -33,7 +33,7 @@ def tag_block(rows: DataFrame, splits: tuple[float, ...], names: tuple[str, ...]
     """Adds block: the part of the whole time range, cut at ``splits``, that a row lies in.  Cuts are whole microseconds after the first row."""
     us = epoch_us(F.col("t"))
     span = rows.agg(F.min(us).alias("_zero"), (F.max(us) - F.min(us)).alias("_length"))
-    cuts = span.select(F.array(*(F.col("_zero") + F.floor(F.col("_length") * s) for s in splits)).alias("_cuts"))
+    cuts = span.select(F.array(*(F.col("_zero") + whole_share(F.col("_length"), s) for s in splits)).alias("_cuts"))
     number = F.size(F.filter("_cuts", lambda c: c <= us))
     return rows.crossJoin(F.broadcast(cuts)).select(*rows.columns, F.get(F.array(*map(F.lit, names)), number).alias("block"))
 
@@ -41,7 +41,7 @@ def tag_block(rows: DataFrame, splits: tuple[float, ...], names: tuple[str, ...]
 def tag_block_by_rows(rows: DataFrame, order: list[str], splits: tuple[float, float]) -> DataFrame:
     """Adds position, the place in a total order, and block by position, without sorting all rows in one task."""
     out = with_position(rows, order)
-    ends = out.agg(F.count("*").alias("_all")).select(*(F.floor(F.col("_all") * s).alias(f"_end{i}") for i, s in enumerate(splits)))
+    ends = out.agg(F.count("*").alias("_all")).select(*(whole_share(F.col("_all"), s).alias(f"_end{i}") for i, s in enumerate(splits)))
     block = F.when(F.col("position") <= F.col("_end0"), "train").when(F.col("position") <= F.col("_end1"), "validation").otherwise("test")
     return out.crossJoin(F.broadcast(ends)).select(*out.columns, block.alias("block"))
 
