@@ -6,7 +6,9 @@ from tidewatch.operators import audits as U
 from tidewatch.operators import evaluate as E
 from tidewatch.operators import models as ML
 from tidewatch.operators.labels import usable_rows
+from tidewatch.plans import registry
 from tidewatch.plans.registry import Chain
+from tidewatch.sources import adapters
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,3 +67,23 @@ def test_leaf_rules_select_their_rows(spark, blocks, tmp_path):
     scored = model.transform(validation).select("flow_id", "t", "leaf", vector_to_array("features").alias("features"))
     assert U.leaf_faults(scored, rules).count() == 0
     assert U.leaf_faults(scored.withColumn("leaf", F.col("leaf") + 1), rules).count() == scored.count()
+
+
+@pytest.mark.parametrize("name", "m7_grid".split())
+def test_models_compute_the_chain_once(spark, monkeypatch, name):
+    read = spark.sparkContext.accumulator(0)
+    plain = adapters.event_measurements
+
+    def counted(spark, sf_dir):
+        def told(batches):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        rows = plain(spark, sf_dir)
+        return rows.mapInArrow(told, rows.schema)
+
+    monkeypatch.setattr(adapters, "event_measurements", counted)
+    registry.QUERIES[name](spark, SF).collect()
+    # The cards, their spread, and the rows that they are joined to.
+    assert read.value <= 3 * adapters.table(spark, SF, "events").count()

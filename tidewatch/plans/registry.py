@@ -9,7 +9,7 @@ sums depend on their order.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.params import EVENT_PARAMS as P
-from ..functions.params import HIDDEN_COLUMNS, MODEL_COLUMNS
+from ..functions.params import EXTRA_COLUMNS, HIDDEN_COLUMNS, MODEL_COLUMNS
 from ..operators import audits as U
 from ..operators import baseline as B
 from ..operators import checks as C
@@ -30,7 +30,7 @@ from ..operators import measurements as M
 from ..operators import models as MD
 from ..sources import adapters as A
 from ..sources import files as S
-from ..sources.tables import scratch
+from ..sources.tables import release, scratch, stored
 from . import views as V
 from .sql import KM, steps
 
@@ -39,6 +39,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 AT = "TIMESTAMP '2024-01-20 00:00:00'"
 
+#: What fits, scores and accounts of models read of a labelled row, besides its block.
+MODEL_ROW = tuple(dict.fromkeys(("flow_id", "t", "region", "rtt", "is_timeout", "status_now", "status_future", *MODEL_COLUMNS, *EXTRA_COLUMNS)))
+
 
 class Chain:
     """The measurement chain over one folder of tables; every step is a lazy DataFrame."""
@@ -57,6 +60,14 @@ class Chain:
     def table(self, name: str) -> DataFrame:
         return A.table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def model_rows(self) -> DataFrame:
+        """What models read of blk, stored: a fit passes over its rows several times, scores and accounts do again, and each pass would compute the chain anew."""
+        held = stored(self.fut.select(*MODEL_ROW))
+        rows = stored(L.tag_block(held, P.splits))
+        release(held)
+        return rows
+
     @property
     def bursts(self) -> DataFrame:
         return A.order_bursts(self.spark, self.sf_dir)
@@ -366,7 +377,7 @@ _CERTAIN = "SELECT count(*) AS n, count(*) AS n_class, count(*) AS n_sum FROM bl
 query("m4_tree_scores", _CERTAIN)(lambda c: _certain(_fitted(c, MD.fit_tree)))
 query("m5_forest_scores", _CERTAIN)(lambda c: _certain(_fitted(c, MD.fit_forest, trees=10, depth=5)))
 query("m6_boost_scores", "SELECT count(*) AS n, count(*) AS n_class, count(*) AS n_whole FROM blk")(lambda c: _fitted(c, MD.fit_boost, rounds=3, depth=3).agg(F.count("*").alias("n"), F.count_if(F.col("model_pred").isin("OK", "RISK", "FAIL")).alias("n_class"), F.count_if(F.abs(F.col("p_ok") + F.col("p_risk") + F.col("p_fail") - 1) < 1e-9).alias("n_whole")))
-query("m7_grid", "SELECT unnest([2, 4]) AS depth, true AS learned, true AS gap_adds_up")(lambda c: MD.grid(MD.fit_tree, {"depth": [2, 4]}, MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS), MD.prepare(c.blk.where("block = 'validation' AND status_future IS NOT NULL"), MODEL_COLUMNS)).select(F.col("depth").cast("int").alias("depth"), (F.col("f1_train") > 0).alias("learned"), (F.abs(F.col("f1_train") - F.col("f1_validation") - F.col("gap")) < 1e-9).alias("gap_adds_up")))
+query("m7_grid", "SELECT unnest([2, 4]) AS depth, true AS learned, true AS gap_adds_up")(lambda c: MD.grid(MD.fit_tree, {"depth": [2, 4]}, MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS), MD.prepare(c.model_rows.where("block = 'validation' AND status_future IS NOT NULL"), MODEL_COLUMNS)).select(F.col("depth").cast("int").alias("depth"), (F.col("f1_train") > 0).alias("learned"), (F.abs(F.col("f1_train") - F.col("f1_validation") - F.col("gap")) < 1e-9).alias("gap_adds_up")))
 query("a21_importances", f"SELECT {len(MODEL_COLUMNS)}::BIGINT AS columns, 1.0::DOUBLE AS total")(lambda c: MD.importances(MD.fit_tree(MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), MODEL_COLUMNS, "tree", c.blk).agg(F.count("*").alias("columns"), F.sum("importance").alias("total")))
 query("m11_leaf_profile", f"SELECT count(*) AS n, true AS pure FROM blk WHERE {_TRAIN}")(lambda c: MD.leaf_profile(MD.score(MD.fit_tree(t := MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), t, "m")).agg(F.sum("n").alias("n"), F.min((F.col("purity") > 1 / 3 - 1e-9) & (F.col("purity") <= 1)).alias("pure")))
 
