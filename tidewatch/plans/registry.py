@@ -439,9 +439,9 @@ query("s8_raw_record", "SELECT count(*) AS rows, count(DISTINCT flow_id) AS flow
 # Models saved, compared and explained
 def _leaf_check(c: Chain) -> DataFrame:
     """Rows whose leaf isn't the one that the rules of the fitted tree's leaves say."""
-    rows = MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)
+    rows = MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS)
     model = MD.fit_tree(rows)
-    rules = U.leaf_rules(model, list(MODEL_COLUMNS), scratch(c.spark), c.blk)
+    rules = U.leaf_rules(model, list(MODEL_COLUMNS), scratch(c.spark), c.model_rows)
     scored = model.transform(rows).select("flow_id", "t", "leaf", vector_to_array("features").alias("features"))
     return _plain_and_seeded(lambda df: U.leaf_faults(df, rules), scored, scored.withColumn("leaf", F.when(F.expr(_SEEDED), F.col("leaf") + 1).otherwise(F.col("leaf"))))
 
