@@ -363,8 +363,8 @@ _TRAIN = "block = 'train' AND status_future IS NOT NULL"
 
 
 def _fitted(c: Chain, fit: Callable[..., object], **params) -> DataFrame:
-    train = MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)
-    return MD.score(fit(train, **params), MD.assemble(c.blk, MODEL_COLUMNS), "m", ("flow_id", "t"))
+    train = MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS)
+    return MD.score(fit(train, **params), MD.assemble(c.model_rows, MODEL_COLUMNS), "m", ("flow_id", "t"))
 
 
 def _certain(scored: DataFrame) -> DataFrame:
