@@ -69,7 +69,7 @@ def test_leaf_rules_select_their_rows(spark, blocks, tmp_path):
     assert U.leaf_faults(scored.withColumn("leaf", F.col("leaf") + 1), rules).count() == scored.count()
 
 
-@pytest.mark.parametrize("name", "m4_tree_scores m5_forest_scores m6_boost_scores m7_grid m11_leaf_profile m12_scored_classes q22_leaf_faults".split())
+@pytest.mark.parametrize("name", "m4_tree_scores m5_forest_scores m6_boost_scores m7_grid m11_leaf_profile m12_scored_classes m13_round_trip q22_leaf_faults".split())
 def test_models_compute_the_chain_once(spark, monkeypatch, name):
     read = spark.sparkContext.accumulator(0)
     plain = adapters.event_measurements
@@ -87,3 +87,23 @@ def test_models_compute_the_chain_once(spark, monkeypatch, name):
     registry.QUERIES[name](spark, SF).collect()
     # The cards, their spread, and the rows that they are joined to.
     assert read.value <= 3 * adapters.table(spark, SF, "events").count()
+
+
+def test_a_round_trip_counts_rows_of_one_key_once(spark, blocks, tmp_path):
+    _, train, validation = blocks
+    model = ML.fit_tree(train)
+    other = ML.fit_tree(train.withColumn("label", 2 - F.col("label")))
+    twice = validation.limit(50).unionByName(validation.limit(50)).cache()
+
+    class Changed:
+        """Comes back from its file as another model."""
+
+        def write(self):
+            return other.write()
+
+        def transform(self, df):
+            return model.transform(df)
+
+    Changed.load = staticmethod(type(other).load)
+    found = ML.round_trip(Changed(), twice, f"{tmp_path}/tree").count()
+    assert 0 < found <= 100

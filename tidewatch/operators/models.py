@@ -138,7 +138,8 @@ def round_trip(model: Model, df: DataFrame, path: str) -> DataFrame:
     else:
         model.write().overwrite().save(path)
         again = type(model).load(path)
-    return model.transform(df).select("flow_id", "t", F.col("prediction").alias("before")).join(again.transform(df).select("flow_id", "t", F.col("prediction").alias("after")), ["flow_id", "t"]).where("before <> after")
+    first = model.transform(df).select("*", F.col("prediction").alias("before")).select(*df.columns, "before")
+    return again.transform(first).select("flow_id", "t", "before", F.col("prediction").alias("after")).where("before <> after")
 
 
 def contrast(train: DataFrame, validation: DataFrame, categories: list, **params) -> tuple[Model, DataFrame]:

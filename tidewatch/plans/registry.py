@@ -455,5 +455,5 @@ def _families(c: Chain) -> DataFrame:
 query("q22_leaf_faults", f"SELECT 'plain' AS rows, 0::BIGINT AS offenders UNION ALL SELECT 'seeded', count(*) FROM blk WHERE {_TRAIN} AND {_SEEDED}")(_leaf_check)
 query("m9_families", "SELECT unnest(['tree', 'forest']) AS model, n, true AS in_range FROM (SELECT count(*) AS n FROM blk WHERE block = 'validation' AND status_future IS NOT NULL)")(lambda c: _families(c).select("model", "n", (F.col("macro_f1").between(0, 1) & (F.col("accuracy") > 1 / 3)).alias("in_range")))
 query("m13_round_trip", "SELECT count(*) AS n, 0::BIGINT AS changed FROM blk")(
-    lambda c: (rows := MD.assemble(c.blk, MODEL_COLUMNS)).agg(F.count("*").alias("n")).crossJoin(F.broadcast(MD.round_trip(MD.fit_tree(MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), rows, scratch(c.spark)).agg(F.count("*").alias("changed"))))
+    lambda c: (rows := MD.assemble(c.model_rows, MODEL_COLUMNS)).agg(F.count("*").alias("n")).crossJoin(F.broadcast(MD.round_trip(MD.fit_tree(MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS)), rows, scratch(c.spark)).agg(F.count("*").alias("changed"))))
 )
