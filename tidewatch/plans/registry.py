@@ -448,7 +448,7 @@ def _leaf_check(c: Chain) -> DataFrame:
 
 def _families(c: Chain) -> DataFrame:
     """A tree and a forest on the same rows of the validation block."""
-    train, rows = MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS), MD.assemble(c.blk.where("block = 'validation'"), MODEL_COLUMNS)
+    train, rows = MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS), MD.assemble(c.model_rows.where("block = 'validation'"), MODEL_COLUMNS)
     return MD.compare_models({"tree": MD.score(MD.fit_tree(train), rows, "tree"), "forest": MD.score(MD.fit_forest(train, trees=10, depth=5), rows, "forest")})
 
 
