@@ -387,7 +387,7 @@ query("m10_contrast", f"SELECT {len(MODEL_COLUMNS) + 6}::BIGINT AS columns, 1.0:
 query("m12_scored_classes", "SELECT block, 'm' AS model_id, count(*) AS n, count(status_future) AS n_known FROM blk GROUP BY block")(
     lambda c: MD.score(MD.fit_boost(MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS), rounds=2, depth=2), c.model_rows, "m", ("block",)).groupBy("block", "model_id").agg(F.count("model_pred").alias("n"), F.count("status_future").alias("n_known"))
 )
-query("m15_simple_tree", "SELECT block, count(*) AS n, true AS better_than_chance FROM blk GROUP BY block")(lambda c: MD.simple_tree(c.blk)[1].select("block", "n", (F.col("accuracy") > 1 / 3).alias("better_than_chance")))
+query("m15_simple_tree", "SELECT block, count(*) AS n, true AS better_than_chance FROM blk GROUP BY block")(lambda c: MD.simple_tree(c.model_rows)[1].select("block", "n", (F.col("accuracy") > 1 / 3).alias("better_than_chance")))
 
 
 # SQL text over named views
