@@ -378,7 +378,7 @@ query("m4_tree_scores", _CERTAIN)(lambda c: _certain(_fitted(c, MD.fit_tree)))
 query("m5_forest_scores", _CERTAIN)(lambda c: _certain(_fitted(c, MD.fit_forest, trees=10, depth=5)))
 query("m6_boost_scores", "SELECT count(*) AS n, count(*) AS n_class, count(*) AS n_whole FROM blk")(lambda c: _fitted(c, MD.fit_boost, rounds=3, depth=3).agg(F.count("*").alias("n"), F.count_if(F.col("model_pred").isin("OK", "RISK", "FAIL")).alias("n_class"), F.count_if(F.abs(F.col("p_ok") + F.col("p_risk") + F.col("p_fail") - 1) < 1e-9).alias("n_whole")))
 query("m7_grid", "SELECT unnest([2, 4]) AS depth, true AS learned, true AS gap_adds_up")(lambda c: MD.grid(MD.fit_tree, {"depth": [2, 4]}, MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS), MD.prepare(c.model_rows.where("block = 'validation' AND status_future IS NOT NULL"), MODEL_COLUMNS)).select(F.col("depth").cast("int").alias("depth"), (F.col("f1_train") > 0).alias("learned"), (F.abs(F.col("f1_train") - F.col("f1_validation") - F.col("gap")) < 1e-9).alias("gap_adds_up")))
-query("a21_importances", f"SELECT {len(MODEL_COLUMNS)}::BIGINT AS columns, 1.0::DOUBLE AS total")(lambda c: MD.importances(MD.fit_tree(MD.prepare(c.blk.where(_TRAIN), MODEL_COLUMNS)), MODEL_COLUMNS, "tree", c.blk).agg(F.count("*").alias("columns"), F.sum("importance").alias("total")))
+query("a21_importances", f"SELECT {len(MODEL_COLUMNS)}::BIGINT AS columns, 1.0::DOUBLE AS total")(lambda c: MD.importances(MD.fit_tree(MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS)), MODEL_COLUMNS, "tree", c.model_rows).agg(F.count("*").alias("columns"), F.sum("importance").alias("total")))
 query("m11_leaf_profile", f"SELECT count(*) AS n, true AS pure FROM blk WHERE {_TRAIN}")(lambda c: MD.leaf_profile(MD.score(MD.fit_tree(t := MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS)), t, "m")).agg(F.sum("n").alias("n"), F.min((F.col("purity") > 1 / 3 - 1e-9) & (F.col("purity") <= 1)).alias("pure")))
 
 query("m10_contrast", f"SELECT {len(MODEL_COLUMNS) + 6}::BIGINT AS columns, 1.0::DOUBLE AS total")(
