@@ -69,7 +69,7 @@ def test_leaf_rules_select_their_rows(spark, blocks, tmp_path):
     assert U.leaf_faults(scored.withColumn("leaf", F.col("leaf") + 1), rules).count() == scored.count()
 
 
-@pytest.mark.parametrize("name", "m4_tree_scores m5_forest_scores m6_boost_scores m7_grid m9_families m11_leaf_profile m12_scored_classes m13_round_trip m15_simple_tree a21_importances q22_leaf_faults".split())
+@pytest.mark.parametrize("name", "m4_tree_scores m5_forest_scores m6_boost_scores m7_grid m9_families m10_contrast m11_leaf_profile m12_scored_classes m13_round_trip m15_simple_tree a21_importances q22_leaf_faults".split())
 def test_models_compute_the_chain_once(spark, monkeypatch, name):
     read = spark.sparkContext.accumulator(0)
     plain = adapters.event_measurements

@@ -382,7 +382,7 @@ query("a21_importances", f"SELECT {len(MODEL_COLUMNS)}::BIGINT AS columns, 1.0::
 query("m11_leaf_profile", f"SELECT count(*) AS n, true AS pure FROM blk WHERE {_TRAIN}")(lambda c: MD.leaf_profile(MD.score(MD.fit_tree(t := MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS)), t, "m")).agg(F.sum("n").alias("n"), F.min((F.col("purity") > 1 / 3 - 1e-9) & (F.col("purity") <= 1)).alias("pure")))
 
 query("m10_contrast", f"SELECT {len(MODEL_COLUMNS) + 6}::BIGINT AS columns, 1.0::DOUBLE AS total")(
-    lambda c: MD.contrast(c.blk.where(_TRAIN), c.blk.where("block = 'validation'"), list(range(5)), depth=4)[1].agg(F.count("*").alias("columns"), F.sum("importance").alias("total"))
+    lambda c: MD.contrast(c.model_rows.where(_TRAIN), c.model_rows.where("block = 'validation'"), list(range(5)), depth=4)[1].agg(F.count("*").alias("columns"), F.sum("importance").alias("total"))
 )
 query("m12_scored_classes", "SELECT block, 'm' AS model_id, count(*) AS n, count(status_future) AS n_known FROM blk GROUP BY block")(
     lambda c: MD.score(MD.fit_boost(MD.prepare(c.model_rows.where(_TRAIN), MODEL_COLUMNS), rounds=2, depth=2), c.model_rows, "m", ("block",)).groupBy("block", "model_id").agg(F.count("model_pred").alias("n"), F.count("status_future").alias("n_known"))
