@@ -95,3 +95,22 @@ def test_tree_equals_all_pairs():
     got = set(zip(s.tolist(), p.tolist()))
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b))}
     assert got == want
+
+
+def test_phrases_of_many_unlike_sets_make_no_large_block(spark, monkeypatch):
+    """Phrases that the table misses link a few sets each, and so nearly all of them; the pieces of one block would copy each set many times."""
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(100_000)]
+    phrases = [rnd.choices(words, k=6) for _ in range(120)]
+    rows = []
+    for i in range(300):
+        own = rnd.choices(words, k=20) + [w for p in rnd.sample(phrases, 8) for w in p + rnd.choices(words, k=3)]
+        rows += [(2 * i, " ".join(own))] + [(2 * i + 1, " ".join(own[:-1] + ["end"]))] * (i % 10 == 0)
+    for k, v in {"PAIRED": 4, "PIECE": 1_000, "TOGETHER": 1_000, "FREQUENT_COUNT": 10**9}.items():
+        monkeypatch.setattr(ngrams, k, v)
+    most = []
+    plain_join = ngrams.join_facts
+    monkeypatch.setattr(ngrams, "join_facts", lambda rows, facts, keys: (keys == ["block"] and most.append(facts.agg(F.max("n")).first()[0]), plain_join(rows, facts, keys))[1])
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngrams.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(plain(rows))
+    assert most[0] > 300 and most[-1] <= 40

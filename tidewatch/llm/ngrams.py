@@ -14,6 +14,8 @@ are equal form one class, so exact copies never meet each other in pairs.
    so no group ever yields all its pairs.  An n-gram that has many classes in one
    task's prefixes already links them there and sends the first one on only.  The components of these candidate
    links are blocks: every true pair lies within one block.
+   Links that no pair was checked for can join unlike sets, more of them the larger the corpus.  So the sets of large
+   blocks are dealt anew, with the n-grams that linked many classes last in the order, until blocks stay as they are.
 3. A block's sets, in pieces of bounded size, are stored in a prefix tree (most
    frequent first, so copies share paths) and traversed once for all the sets
    that probe it, carrying the overlaps so far down the shared paths and leaving
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_facts, stored, table
+from .common import join_facts, release, stored, table
 from .components import connected_components, local_roots
 
 #: Words of an n-gram, and the similarity as a fraction.
@@ -50,11 +52,13 @@ TEXT = 1_000_000
 #: N-grams of a batch counted together.
 BATCH = 4_000_000
 #: Most classes of an n-gram that are paired with each other.
-PAIRED = 32
+PAIRED = 128
 #: Prefix entries that a task looks through together for n-grams with many classes.
 POSTED = 2_000_000
 #: N-grams of the sets of one piece of a block, and of blocks joined in one call.
 PIECE, TOGETHER = 300_000, 100_000
+#: Blocks are refined while their pieces make of all sets more copies than this on average, and while that leaves at most so much of the copies.
+COPIES, LEFT = 2, 0.8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -241,8 +245,8 @@ def _needed(a: Column, b: Column) -> Column:
     return F.ceil(NUMERATOR * (a + b) / (NUMERATOR + DENOMINATOR))
 
 
-def candidate_links(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(a, b): links between classes; every pair of similar sets is connected by them."""
+def candidate_links(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between classes; every pair of similar sets is connected by them.  And (gram, linked, classes): the n-grams that linked many."""
     posted = docs.select("text").mapInPandas(_prefixes(frequent), _POSTED)
     by = Window.partitionBy("key")
     new = F.coalesce(F.lag("cls").over(by.orderBy("cls")) != F.col("cls"), F.lit(True))
@@ -260,7 +264,29 @@ def candidate_links(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     beyond = F.ceil(NUMERATOR * F.greatest("na", "nb") / DENOMINATOR) - 1
     pairs = pairs.where(F.col("both") + beyond >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
     many = shared.where(~pairwise & (F.col("cls") != F.col("least"))).select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    return pairs.unionByName(many).unionByName(found)
+    heavy = shared.where(~pairwise).groupBy("gram").agg(F.max("linked").alias("linked"), F.max("classes").alias("classes"))
+    return pairs.unionByName(many).unionByName(found), heavy
+
+
+def _last(heavy: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """frequent with the heavy n-grams at its end, those of the most classes last."""
+    top = heavy.orderBy(F.desc("linked"), F.desc("classes"), "gram").limit(FREQUENT).toPandas()  # of bounded size
+    found = top["gram"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    return np.concatenate((frequent[~np.isin(frequent, found)], found))
+
+
+def _members(links: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(cls, block, grams, one_id, one_hash): the classes that have links, the sizes of their sets and a document of each."""
+    blocks = connected_components(links)
+    members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).unionByName(blocks.select(F.col("component").alias("cls"), F.col("component").alias("block")).distinct())
+    return stored(members.join(firsts, "cls").select("cls", "block", F.col("n").alias("grams"), F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")))
+
+
+def _in_pieces(members: DataFrame) -> tuple[DataFrame, int, int]:
+    """members with the number of pieces of their block, the n-grams of all, and those of all copies that the pieces need."""
+    sizes = members.groupBy("block").agg(F.sum("grams").alias("grams"), F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("grams") / PIECE))
+    once, copied = sizes.agg(F.sum("grams"), F.sum(F.col("grams") * F.col("pieces"))).first()
+    return join_facts(members, sizes.drop("grams"), ["block"]).drop("n"), once or 0, copied or 0
 
 
 def tree_links(sets: list[np.ndarray], probes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -352,19 +378,26 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     top = counted.orderBy(F.desc("seen"), "gram").limit(FREQUENT).toPandas()  # of bounded size
     frequent = top["gram"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
-    blocks = connected_components(candidate_links(docs, frequent))
-    members = blocks.select(F.col("node").alias("cls"), F.col("component").alias("block")).unionByName(blocks.select(F.col("component").alias("cls"), F.col("component").alias("block")).distinct())
     firsts = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"), F.count("*").alias("held"))
-    members = stored(members.join(firsts, "cls").select("cls", "block", "n", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")))
-    block_sizes = members.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("n"))
-    members = join_facts(members.drop("n"), block_sizes, ["block"]).drop("n").withColumn("pieces", F.ceil(F.col("grams") / PIECE))
-    total = block_sizes.agg(F.sum("grams")).first()[0] or 0
-    buckets = total // TOGETHER + 1
+    links, heavy = candidate_links(docs, frequent)
+    members = _members(links, firsts)
+    placed, once, copied = _in_pieces(members)
     # Repeats of a row go before the shuffle, which serves the join too.  The members grow with the corpus, so they are never broadcast.
     one = docs.select(F.xxhash64("doc_id", "text_hash").alias("key"), "text_hash", "text").dropDuplicates(["key"])
-    members = members.withColumn("key", F.xxhash64("one_id", "one_hash")).hint("merge")
     # The hashes are compared in a form that is no key of the join, so that the texts are not shuffled a second time for it.
-    texts = one.join(members, "key").where(F.col("text_hash").bitwiseXOR(F.col("one_hash")) == 0)
+    texts = one.join(placed.withColumn("key", F.xxhash64("one_id", "one_hash")).hint("merge"), "key").where(F.col("text_hash").bitwiseXOR(F.col("one_hash")) == 0).select("text", "cls", "block", "pieces")
+    if copied > COPIES * once:
+        kept, before = stored(texts.select("text", "cls")), np.inf
+        while copied > COPIES * once and copied <= LEFT * before:
+            frequent = _last(heavy, frequent)
+            large = stored(kept.join(placed.where("pieces > 1").select("cls").hint("merge"), "cls", "left_semi"))
+            links, heavy = candidate_links(large, frequent)
+            release(large)
+            members = stored(placed.where("pieces = 1").drop("pieces").unionByName(_members(links, firsts)))
+            before = copied
+            placed, once, copied = _in_pieces(members)
+        texts = kept.join(placed.select("cls", "block", "pieces").hint("merge"), "cls")
+    buckets = once // TOGETHER + 1
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
