@@ -4,6 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from corpus_pipeline import near_duplicate_stage
 from tidewatch.llm import ngrams
 
 
@@ -97,20 +98,39 @@ def test_tree_equals_all_pairs():
     assert got == want
 
 
-def test_phrases_of_many_unlike_sets_make_no_large_block(spark, monkeypatch):
-    """Phrases that the table misses link a few sets each, and so nearly all of them; the pieces of one block would copy each set many times."""
+def unlike(n):
+    """Texts that share phrases with many others and are like none, but for every tenth, which has a near copy."""
     rnd = random.Random(5)
     words = [f"w{k}" for k in range(100_000)]
-    phrases = [rnd.choices(words, k=6) for _ in range(120)]
+    phrases = [rnd.choices(words, k=6) for _ in range(2 * n // 5)]
     rows = []
-    for i in range(300):
+    for i in range(n):
         own = rnd.choices(words, k=20) + [w for p in rnd.sample(phrases, 8) for w in p + rnd.choices(words, k=3)]
         rows += [(2 * i, " ".join(own))] + [(2 * i + 1, " ".join(own[:-1] + ["end"]))] * (i % 10 == 0)
+    return rows
+
+
+def watch_blocks(monkeypatch):
+    """How many sets the largest block has, each time that blocks get their pieces."""
     for k, v in {"PAIRED": 4, "PIECE": 1_000, "TOGETHER": 1_000, "FREQUENT_COUNT": 10**9}.items():
         monkeypatch.setattr(ngrams, k, v)
     most = []
     plain_join = ngrams.join_facts
     monkeypatch.setattr(ngrams, "join_facts", lambda rows, facts, keys: (keys == ["block"] and most.append(facts.agg(F.max("n")).first()[0]), plain_join(rows, facts, keys))[1])
+    return most
+
+
+def test_phrases_of_many_unlike_sets_make_no_large_block(spark, monkeypatch):
+    """Phrases that the table misses link a few sets each, and so nearly all of them; the pieces of one block would copy each set many times."""
+    rows, most = unlike(300), watch_blocks(monkeypatch)
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngrams.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == sorted(plain(rows))
     assert most[0] > 300 and most[-1] <= 40
+
+
+def test_the_stage_of_the_pipeline_makes_no_large_block(spark, monkeypatch):
+    rows, most = unlike(200), watch_blocks(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [2 * i for i in range(200)]
+    assert most[0] > 200 and most[-1] <= most[0] // 4
